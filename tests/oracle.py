@@ -32,8 +32,26 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
+# DuckDB's name for each Spark type.
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp": "TIMESTAMP",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def differences(spark_df, con, sql: str) -> list[str]:
-    """Empty when names, row counts and values agree."""
+    """Empty when names, types, row counts and values agree."""
+    relation = con.sql(sql)
+    theirs = dict(zip(relation.columns, map(str, relation.types)))
+    ours = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in spark_df.schema.fields}
+    other = [f"{c}: {ours.get(c)} != {t}" for c, t in theirs.items() if ours.get(c) != t]
+    if other:
+        return ["types differ", *other]
     names, got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     cur = con.execute(sql)
     oracle_names, want = rows_of([d[0] for d in cur.description], cur.fetchall())

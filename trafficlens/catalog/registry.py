@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trafficlens.catalog import feature_oracles, feature_queries
+from trafficlens.catalog import feature_oracles, feature_queries, source_queries
 
-QUERIES = {**feature_queries.QUERIES}
-ORACLES = {**feature_oracles.ORACLES}
+QUERIES = {**feature_queries.QUERIES, **source_queries.QUERIES}
+ORACLES = {**feature_oracles.ORACLES, **source_queries.ORACLES}
