@@ -33,9 +33,14 @@ def with_file(df: DataFrame, numbered: bool = True) -> DataFrame:
     """Add ``capture_file`` and, for Parquet, ``packet_no`` from the row's place in its file.
 
     Both come from the scan itself, so file order costs neither a sort nor a shuffle.
+    Landed tables that already name their capture keep what they have.
     """
-    df = df.withColumn("capture_file", file_name(F.col("_metadata.file_path")))
-    return df.withColumn("packet_no", F.col("_metadata.row_index")) if numbered else df
+    if "capture_file" in df.columns:
+        return df
+    file = file_name(F.col("_metadata.file_path"))
+    if not numbered:
+        return df.withColumn("capture_file", file)
+    return df.select("*", file.alias("capture_file"), F.col("_metadata.row_index").alias("packet_no"))
 
 
 def read_packets_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
