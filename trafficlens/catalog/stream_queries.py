@@ -14,6 +14,8 @@ from trafficlens.session import fresh_path
 from trafficlens.streaming import live
 
 FILES = 3
+# Means of two times in microseconds end on a half in the seventh digit.
+DIGITS = 8
 
 
 def landed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
@@ -46,7 +48,8 @@ def stream_flow_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         done.select(
             F.unix_micros("window_start").alias("window_us"),
             *[c for c in done.columns if c not in ("window_start", "window_end")],
-        )
+        ),
+        DIGITS,
     )
 
 
@@ -84,9 +87,9 @@ QUERIES = {
 
 
 def _stats(name: str, x: str, whole: bool) -> str:
-    cast = "cast({} as bigint)" if whole else "round({}, 6)"
+    cast = "cast({} as bigint)" if whole else f"round({{}}, {DIGITS})"
     return (
-        f"round(avg({x}), 6) as {name}_mean, round(stddev_pop({x}), 6) as {name}_std, "
+        f"round(avg({x}), {DIGITS}) as {name}_mean, round(stddev_pop({x}), {DIGITS}) as {name}_std, "
         f"{cast.format(f'max({x})')} as {name}_max, {cast.format(f'min({x})')} as {name}_min"
     )
 
@@ -95,8 +98,8 @@ ORACLES = {
     "stream_packets": on_packets("select packet_id, capture_file, packet_no, packet_length from numbered"),
     "stream_flow_rates": on_packets(
         f"""select window_us, capture_file, cast(sum(n) as bigint) as total_packets, cast(sum(bytes) as bigint) as total_bytes,
-              round(case when max(t1) > min(t0) then sum(n) / ((max(t1) - min(t0)) / 1e6) end, 6) as packets_per_second,
-              round(case when max(t1) > min(t0) then sum(bytes) / ((max(t1) - min(t0)) / 1e6) end, 6) as bytes_per_second,
+              round(case when max(t1) > min(t0) then sum(n) / ((max(t1) - min(t0)) / 1e6) end, {DIGITS}) as packets_per_second,
+              round(case when max(t1) > min(t0) then sum(bytes) / ((max(t1) - min(t0)) / 1e6) end, {DIGITS}) as bytes_per_second,
               count(*) filter (where is_flow) as flow_count,
               {_stats('packets_per_flow', 'case when is_flow then n end', True)},
               {_stats('bytes_per_flow', 'case when is_flow then bytes end', True)},

@@ -29,18 +29,14 @@ def flag_bits(flags: Column) -> Column:
     """TCP flags as a bit mask, from ``0x12``, ``18`` or letters such as ``SA``."""
     text = F.trim(flags.cast("string"))
     digits = F.regexp_extract(text, r"^0[xX]([0-9a-fA-F]+)$", 1)
-    letters = sum(
-        (
-            F.when(text.contains(TCP_FLAG_LETTERS[name]), F.lit(bit)).otherwise(F.lit(0))
-            for name, bit in TCP_FLAG_BITS.items()
-        ),
-        F.lit(0),
-    )
+    letters = [
+        F.when(text.contains(TCP_FLAG_LETTERS[name]), bit).otherwise(0) for name, bit in TCP_FLAG_BITS.items()
+    ]
     return (
-        F.when(text.isNull() | (text == ""), F.lit(None).cast("int"))
+        F.when(text.isNull() | (text == ""), None)
         .when(digits != "", F.conv(digits, 16, 10).try_cast("int"))
         .when(text.rlike(r"^[0-9]+(\.0+)?$"), text.try_cast("double").try_cast("int"))
-        .otherwise(letters)
+        .otherwise(sum(letters[1:], letters[0]))
     )
 
 
@@ -57,10 +53,10 @@ def ratio(part: Column, whole: Column, scale: float = 1.0) -> Column:
     return F.when(whole > 0, part / whole * F.lit(scale)).otherwise(F.lit(0.0))
 
 
-def equal_width_bin(x: Column, low: Column, high: Column, bins: int = 10) -> Column:
-    """1-based bin of ``x``; bins are closed on the right and the minimum is in bin 1."""
-    inner = [F.when(x > low + F.lit(i) * (high - low) / F.lit(bins), 1).otherwise(0) for i in range(1, bins)]
-    return F.when(x.isNotNull(), sum(inner, F.lit(1)))
+def equal_width_bin(x: str, low: str, high: str, bins: int = 10) -> Column:
+    """1-based bin of the SQL value ``x``; bins are closed on the right, the minimum is in bin 1."""
+    above = [f"if({x} > {low} + {i} * ({high} - {low}) / {bins}, 1, 0)" for i in range(1, bins)]
+    return F.expr(f"if({x} is null, null, 1 + {' + '.join(above)})")
 
 
 def histogram_bin(x: Column, low: Column, high: Column, bins: int = 10) -> Column:
@@ -83,13 +79,13 @@ def pair_key(a: Column, b: Column, sep: str = "|") -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.concat(F.least(a, b), F.lit(sep), F.greatest(a, b)))
 
 
-def entropy_from_sums(total: Column, n_log_n: Column) -> Column:
-    """Shannon entropy in bits from ``sum(n)`` and ``sum(n * log2(n))``.
+def entropy_from_sums(total: str, n_log_n: str) -> Column:
+    """Shannon entropy in bits from the SQL values ``sum(n)`` and ``sum(n * log2(n))``.
 
     ``-sum(p log2 p) = log2(N) - sum(n log2 n) / N``, so one pass over the counts
     is enough and nothing has to be joined back.
     """
-    return F.when(total > 0, F.greatest(F.lit(0.0), F.log2(total) - n_log_n / total)).otherwise(F.lit(0.0))
+    return F.expr(f"if({total} > 0, greatest(0D, log2({total}) - {n_log_n} / {total}), 0D)")
 
 
 def base_name(path: Column) -> Column:

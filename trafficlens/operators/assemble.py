@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.expressions import micros
-from trafficlens.operators.counted import counted, counted_plan
+from trafficlens.operators.counted import ENTROPY_COLUMNS, counted, counted_plan
 from trafficlens.operators.lengths import length_features
 from trafficlens.operators.statistical import ratio_maps
 from trafficlens.operators.timing import time_features
 from trafficlens.schema import ENTITY, FIXED_FEATURES, MAP_FEATURES
 from trafficlens.settings import MIN_PACKETS, FeatureSettings
 
+# What a group has that gives the tallies no value at all: no flow, and entropy 0.
+EMPTY_VALUES = {"flow_count": 0} | {f"entropy_{c}": 0.0 for c in ENTROPY_COLUMNS}
+
 STATUS_OK = "ok"
 STATUS_FEW = "too_few_packets"
 
@@ -67,6 +70,7 @@ def extract_features(
     row = parts[0]
     for part in parts[1:]:
         row = row.join(part, list(by), "left")
+    row = row.fillna({c: v for c, v in EMPTY_VALUES.items() if c in row.columns})
     large = F.col("total_packets") >= minimum
     features = [c for c in (*FIXED_FEATURES, *MAP_FEATURES) if c in row.columns and c != "total_packets"]
     return row.select(

@@ -1,151 +1,147 @@
 """Features that follow from the tallies table: flags, TTL, ports, addresses, flows, pairs.
 
-Each function gives named aggregate expressions over the columns of ``tallies``; one
-``groupBy`` evaluates all of them together with fixed-size state per group.
+Each function gives named SQL aggregates over the columns of ``prepared``; one ``groupBy``
+evaluates all of them together with fixed-size state per group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.functions.expressions import (
-    TCP_FLAG_BITS,
-    entropy_from_sums,
-    flag_bits,
-    has_bit,
-    well_known,
-)
+from trafficlens.functions.expressions import TCP_FLAG_BITS, flag_bits
 from trafficlens.operators.tallies import flow_key, tallies
 
 MICROS = 1e6
 ENTROPY_COLUMNS = ("protocol", "src_port", "dst_port", "ip_src", "ip_dst", "ttl")
 
 
-def _of(kind: str, value: Column) -> Column:
-    return F.when(F.col("kind") == kind, value)
+def prepared(table: DataFrame) -> DataFrame:
+    """Tallies with the values that several aggregates share, each computed once per row."""
+    return (
+        table.withColumn("flags", F.when(F.col("kind") == "tcp_flags", flag_bits(F.col("val"))))
+        .withColumn("number", F.expr("if(kind in ('ttl', 'src_port', 'dst_port'), try_cast(val as bigint), null)"))
+        .withColumn("nlogn", F.expr("n * log2(n)"))
+        .withColumn("share", F.expr("if(kind = 'pair', greatest(forward, n - forward) / n, null)"))
+        # Lengths that are all missing add up to 0 bytes.
+        .withColumn("size", F.expr("if(kind = 'flow', coalesce(bytes, 0), null)"))
+        .withColumn("seconds", F.expr("if(kind = 'flow' and n > 1 and t1 > t0, (t1 - t0) / 1e6D, null)"))
+        .withColumn("pps", F.expr("n / seconds"))
+        .withColumn("bps", F.expr("size / seconds"))
+    )
 
 
-def _packets(kind: str) -> Column:
-    """Packets with a value of this kind; NULL when there are none."""
-    return F.sum(_of(kind, F.col("n")))
+def _of(kind: str) -> str:
+    return f"filter (where kind = '{kind}')"
 
 
-def _distinct(kind: str) -> Column:
-    return F.nullif(F.count(_of(kind, F.lit(1))), F.lit(0))
+def _packets(kind: str) -> str:
+    """Packets with a value of this kind; NULL when there are none."""
+    return f"sum(n) {_of(kind)}"
 
 
-def _entropy(kind: str) -> Column:
-    n = F.col("n")
-    return entropy_from_sums(F.sum(_of(kind, n)), F.sum(_of(kind, n * F.log2(n))))
+def _entropy(kind: str) -> str:
+    total = _packets(kind)
+    return f"coalesce(greatest(0D, log2({total}) - sum(nlogn) {_of(kind)} / {total}), 0D)"
 
 
-def flag_exprs() -> dict[str, Column]:
-    n, bits = F.col("n"), flag_bits(F.col("val"))
+def flag_exprs() -> dict[str, str]:
     return {
-        f"{name}_ratio": F.sum(_of("tcp_flags", F.when(has_bit(bits, bit), n).otherwise(F.lit(0))))
-        / _packets("tcp_flags")
+        f"{name}_ratio": f"sum(if(flags & {bit} <> 0, n, 0)) {_of('tcp_flags')} / {_packets('tcp_flags')}"
         for name, bit in TCP_FLAG_BITS.items()
     }
 
 
-def ttl_exprs() -> dict[str, Column]:
-    n, value = F.col("n"), F.col("val").try_cast("bigint")
-    count, total, squares = _packets("ttl"), F.sum(_of("ttl", n * value)), F.sum(_of("ttl", n * value * value))
-    wide = "decimal(38,0)"
+def ttl_exprs() -> dict[str, str]:
+    ttl, count = _of("ttl"), _packets("ttl")
+    wide = "decimal(38, 0)"
+    total, squares = f"sum(n * number) {ttl}", f"sum(n * number * number) {ttl}"
     # n * sum(x^2) - sum(x)^2 in whole numbers: exact, so equal values give a deviation of 0.
-    spread = (count.cast(wide) * squares.cast(wide) - total.cast(wide) * total.cast(wide)).cast("double")
+    spread = (
+        f"cast(cast({count} as {wide}) * cast({squares} as {wide}) "
+        f"- cast({total} as {wide}) * cast({total} as {wide}) as double)"
+    )
     return {
-        "ttl_mean": total / count,
-        "ttl_std": F.when(count > 1, F.sqrt(spread / count / (count - 1))),
-        "ttl_min": F.min(_of("ttl", value)),
-        "ttl_max": F.max(_of("ttl", value)),
+        "ttl_mean": f"{total} / {count}",
+        "ttl_std": f"if({count} > 1, sqrt({spread} / {count} / ({count} - 1)), null)",
+        "ttl_min": f"min(number) {ttl}",
+        "ttl_max": f"max(number) {ttl}",
     }
 
 
-def port_exprs(columns: Sequence[str]) -> dict[str, Column]:
-    out: dict[str, Column] = {}
+def port_exprs(columns: Sequence[str]) -> dict[str, str]:
+    out: dict[str, str] = {}
     for side in ("src", "dst"):
         kind = f"{side}_port"
         if kind in columns:
-            known = F.when(well_known(F.col("val").try_cast("int")), F.col("n")).otherwise(F.lit(0))
-            out[f"unique_{side}_ports"] = _distinct(kind)
-            out[f"well_known_{side}_port_ratio"] = F.sum(_of(kind, known)) / _packets(kind)
+            out[f"unique_{side}_ports"] = f"nullif(count(n) {_of(kind)}, 0)"
+            out[f"well_known_{side}_port_ratio"] = (
+                f"sum(if(number between 0 and 1023, n, 0)) {_of(kind)} / {_packets(kind)}"
+            )
     return out
 
 
-def _both_ends(value: Column) -> Column:
-    return F.when(_packets("ip_src").isNotNull() & _packets("ip_dst").isNotNull(), value)
+def _both_ends(value: str) -> str:
+    """Only where both sides have addresses."""
+    seen = [f"count(n) {_of(kind)} > 0" for kind in ("ip_src", "ip_dst")]
+    return f"if({' and '.join(seen)}, {value}, null)"
 
 
-def ip_exprs() -> dict[str, Column]:
-    return {f"unique_{side}_ips": _both_ends(_distinct(f"ip_{side}")) for side in ("src", "dst")}
+def ip_exprs() -> dict[str, str]:
+    return {f"unique_{side}_ips": _both_ends(f"count(n) {_of(f'ip_{side}')}") for side in ("src", "dst")}
 
 
-def ip_entropy_exprs() -> dict[str, Column]:
+def ip_entropy_exprs() -> dict[str, str]:
     return {f"entropy_{side}_ip": _both_ends(_entropy(f"ip_{side}")) for side in ("src", "dst")}
 
 
-def entropy_exprs(columns: Sequence[str]) -> dict[str, Column]:
+def entropy_exprs(columns: Sequence[str]) -> dict[str, str]:
     return {f"entropy_{c}": _entropy(c) for c in ENTROPY_COLUMNS if c in columns}
 
 
-def direction_exprs() -> dict[str, Column]:
-    n, forward = F.col("n"), F.col("forward")
-    share = _of("pair", F.greatest(forward, n - forward) / n)
-    return {
-        "direction_ratio_mean": F.avg(share),
-        "direction_ratio_min": F.min(share),
-        "direction_ratio_max": F.max(share),
-    }
+def direction_exprs() -> dict[str, str]:
+    return {f"direction_ratio_{s}": f"{f}(share)" for s, f in (("mean", "avg"), ("min", "min"), ("max", "max"))}
 
 
-def four_stats(name: str, value: Column) -> dict[str, Column]:
-    return {
-        f"{name}_mean": F.avg(value),
-        f"{name}_std": F.stddev_pop(value),
-        f"{name}_max": F.max(value),
-        f"{name}_min": F.min(value),
-    }
+def four_stats(name: str, value: str, where: str = "") -> dict[str, str]:
+    """Mean, population deviation, maximum and minimum of a SQL value."""
+    functions = (("mean", "avg"), ("std", "stddev_pop"), ("max", "max"), ("min", "min"))
+    return {f"{name}_{s}": f"{f}({value}) {where}".strip() for s, f in functions}
 
 
-def flow_exprs(has_time: bool, has_length: bool) -> dict[str, Column]:
+def flow_exprs(has_time: bool, has_length: bool) -> dict[str, str]:
     """Flow statistics; durations and rates only over flows of positive duration."""
-    n, size = F.col("n"), F.col("bytes")
-    seconds = (F.col("t1") - F.col("t0")) / MICROS
-    moving = (n > 1) & (F.col("t1") > F.col("t0"))
-    out = {"flow_count": F.count(_of("flow", F.lit(1)))}
-    out |= four_stats("packets_per_flow", _of("flow", n))
+    out = {"flow_count": f"count(n) {_of('flow')}"}
+    out |= four_stats("packets_per_flow", "n", _of("flow"))
     if has_time:
-        out |= four_stats("flow_duration", _of("flow", F.when(moving, seconds)))
-        out |= four_stats("packets_per_second", _of("flow", F.when(moving, n / seconds)))
+        out |= four_stats("flow_duration", "seconds")
+        out |= four_stats("packets_per_second", "pps")
     if has_length:
-        # Lengths that are all missing add up to 0 bytes.
-        size = F.coalesce(size, F.lit(0))
-        out |= four_stats("bytes_per_flow", _of("flow", size))
+        out |= four_stats("bytes_per_flow", "size")
         if has_time:
-            out |= four_stats("bytes_per_second", _of("flow", F.when(moving, size / seconds)))
+            out |= four_stats("bytes_per_second", "bps")
     return out
 
 
-def counted(
-    packets: DataFrame, by: Sequence[str], kinds: Sequence[str], exprs: Mapping[str, Column]
-) -> DataFrame:
-    """Evaluate named expressions over the tallies of ``kinds``, one row per group."""
-    table = tallies(packets, by, kinds)
-    return table.groupBy(*by).agg(*[expr.alias(name) for name, expr in exprs.items()])
+def aggregates(exprs: Mapping[str, str]) -> list:
+    return [F.expr(f"{sql} as `{name}`") for name, sql in exprs.items()]
+
+
+def counted(packets: DataFrame, by: Sequence[str], kinds: Sequence[str], exprs: Mapping[str, str]) -> DataFrame:
+    """Evaluate named aggregates over the tallies of ``kinds``, one row per group."""
+    return prepared(tallies(packets, by, kinds)).groupBy(*by).agg(*aggregates(exprs))
 
 
 def counted_plan(
     columns: Sequence[str], basic: bool, flow: bool, statistical: bool, use_entropy: bool
-) -> tuple[list[str], dict[str, Column]]:
-    """Kinds and expressions for the chosen feature groups, leaving out absent columns."""
+) -> tuple[list[str], dict[str, str]]:
+    """Kinds and aggregates for the chosen feature groups, leaving out absent columns."""
     kinds: list[str] = []
-    exprs: dict[str, Column] = {}
+    exprs: dict[str, str] = {}
 
-    def add(new_kinds: Sequence[str], new_exprs: Mapping[str, Column]) -> None:
+    def add(new_kinds: Sequence[str], new_exprs: Mapping[str, str]) -> None:
         kinds.extend(k for k in new_kinds if k not in kinds)
         exprs.update(new_exprs)
 

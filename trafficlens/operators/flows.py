@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.operators.counted import MICROS, four_stats
+from trafficlens.operators.counted import MICROS, aggregates, four_stats
 from trafficlens.operators.tallies import flow_key
 
 
@@ -50,7 +50,7 @@ def flow_count(flows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _stats(flows: DataFrame, by: Sequence[str], name: str, column: str) -> DataFrame:
-    return flows.groupBy(*by).agg(*[e.alias(a) for a, e in four_stats(name, F.col(column)).items()])
+    return flows.groupBy(*by).agg(*aggregates(four_stats(name, column)))
 
 
 def packets_per_flow(flows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.expressions import entropy_from_sums, equal_width_bin
+from trafficlens.operators.counted import aggregates
 
 PERCENTILES = (25, 75, 90, 95)
 LENGTH_BINS = 10
@@ -37,45 +38,39 @@ def length_features(
         return packets.groupBy(*by).agg(
             F.count(F.lit(1)).alias("total_packets"), *[F.min(c).alias(c) for c in keep]
         )
-    group = Window.partitionBy(*by)
-    x, n = F.col("packet_length"), F.col("n")
-    known = F.when(x.isNotNull(), n)
-    freq = (
-        length_freq(packets, by, keep)
-        .withColumn("_low", F.min(x).over(group))
-        .withColumn("_high", F.max(x).over(group))
-        .withColumn("_mean", F.sum(x * n).over(group) / F.sum(known).over(group))
-        .withColumn("_bin", equal_width_bin(x, F.col("_low"), F.col("_high"), LENGTH_BINS))
+    over = f"over (partition by {', '.join(f'`{c}`' for c in by)})"
+    freq = length_freq(packets, by, keep).select(
+        *by,
+        *keep,
+        "packet_length",
+        "n",
+        F.expr(f"min(packet_length) {over} as _low"),
+        F.expr(f"max(packet_length) {over} as _high"),
+        F.expr(f"sum(packet_length * n) {over} / sum(if(packet_length is null, null, n)) {over} as _mean"),
     )
-    count = F.sum(known)
-    wanted = [F.sum(n).alias("total_packets"), *[F.min(c).alias(c) for c in keep]]
-    if basic:
-        off = x - F.col("_mean")
-        cuts = [0.5] + [p / 100 for p in PERCENTILES]
-        wanted += [
-            F.min("_mean").alias("packet_length_mean"),
-            F.when(count > 1, F.sqrt(F.sum(n * off * off) / (count - 1))).alias("packet_length_std"),
-            F.min("_low").alias("packet_length_min"),
-            F.min("_high").alias("packet_length_max"),
-            F.percentile(x, F.array(*[F.lit(c) for c in cuts]), n).alias("_cuts"),
-        ]
-    if binned_entropy:
-        wanted += [
-            F.coalesce(F.sum(F.when(F.col("_bin") == b, n)), F.lit(0)).alias(f"_bin{b}")
-            for b in range(1, LENGTH_BINS + 1)
-        ]
-    out = freq.groupBy(*by).agg(*wanted)
+    wanted = {"total_packets": "sum(n)"} | {c: f"min({c})" for c in keep}
     columns = [*by, *keep, "total_packets"]
     if basic:
-        columns += [F.col(f"packet_length_{s}") for s in ("mean", "std", "min", "max")]
-        columns += [F.col("_cuts")[0].alias("packet_length_median")]
-        columns += [F.col("_cuts")[i].alias(f"packet_length_percentile_{p}") for i, p in enumerate(PERCENTILES, 1)]
+        cuts = ", ".join(f"{p / 100}D" for p in (50, *PERCENTILES))
+        known = "sum(n) filter (where packet_length is not null)"
+        wanted |= {
+            "packet_length_mean": "min(_mean)",
+            "packet_length_std": f"if({known} > 1, sqrt(sum(n * pow(packet_length - _mean, 2)) / ({known} - 1)), null)",
+            "packet_length_min": "min(_low)",
+            "packet_length_max": "min(_high)",
+            "_cuts": f"percentile(packet_length, array({cuts}), n)",
+        }
+        columns += [f"packet_length_{s}" for s in ("mean", "std", "min", "max")]
+        columns += [F.expr("_cuts[0] as packet_length_median")]
+        columns += [F.expr(f"_cuts[{i}] as packet_length_percentile_{p}") for i, p in enumerate(PERCENTILES, 1)]
     if binned_entropy:
-        counts = [F.col(f"_bin{b}") for b in range(1, LENGTH_BINS + 1)]
-        total = sum(counts[1:], counts[0])
-        n_log_n = sum((F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0)) for c in counts), F.lit(0.0))
+        freq = freq.withColumn("_bin", equal_width_bin("packet_length", "_low", "_high", LENGTH_BINS))
+        bins = range(1, LENGTH_BINS + 1)
+        wanted |= {f"_bin{b}": f"coalesce(sum(n) filter (where _bin = {b}), 0)" for b in bins}
+        total = "(" + " + ".join(f"_bin{b}" for b in bins) + ")"
+        n_log_n = "(" + " + ".join(f"if(_bin{b} > 0, _bin{b} * log2(_bin{b}), 0D)" for b in bins) + ")"
         columns.append(entropy_from_sums(total, n_log_n).alias("entropy_packet_length"))
-    return out.select(*columns)
+    return freq.groupBy(*by).agg(*aggregates(wanted)).select(*columns)
 
 
 def basic_counts(packets: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -107,7 +102,7 @@ def bin_counts(packets: DataFrame, by: Sequence[str], column: str, bins: int = L
     bounds = packets.groupBy(*by).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
     return (
         packets.join(bounds, list(by))
-        .withColumn("bin", equal_width_bin(x, F.col("_low"), F.col("_high"), bins))
+        .withColumn("bin", equal_width_bin(column, "_low", "_high", bins))
         .where(F.col("bin").isNotNull())
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n"))

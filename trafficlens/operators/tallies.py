@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.functions.expressions import entropy_from_sums, pair_key
+from trafficlens.functions.expressions import entropy_from_sums
 
 FLOW_KEY = ("ip_src", "ip_dst", "src_port", "dst_port", "protocol")
 VALUE_KINDS = ("protocol", "src_port", "dst_port", "ip_src", "ip_dst", "ttl", "tcp_flags")
@@ -33,10 +33,7 @@ def value_freq(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Data
 
 def entropy_by_column(freq: DataFrame, by: Sequence[str]) -> DataFrame:
     """Shannon entropy in bits of each column of a ``value_freq`` table."""
-    n = F.col("n")
-    return freq.groupBy(*by, "col").agg(
-        entropy_from_sums(F.sum(n), F.sum(n * F.log2(n))).alias("entropy")
-    )
+    return freq.groupBy(*by, "col").agg(entropy_from_sums("sum(n)", "sum(n * log2(n))").alias("entropy"))
 
 
 def value_ratios(freq: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -89,35 +86,21 @@ def tallies(df: DataFrame, by: Sequence[str], kinds: Sequence[str]) -> DataFrame
         measures += [F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1")]
     collapsed = df.groupBy(*by, *needed).agg(*measures)
 
-    none = F.lit(None).cast("bigint")
-    size = F.col("bytes") if has_length else none
-    first, last = (F.col("t0"), F.col("t1")) if has_time else (none, none)
-
-    def entry(kind: str, val: Column, *measured: Column) -> Column:
-        size_, first_, last_, forward_ = measured or (none, none, none, none)
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            val.cast("string").alias("val"),
-            size_.alias("bytes"),
-            first_.alias("t0"),
-            last_.alias("t1"),
-            forward_.alias("forward"),
-        )
+    def entry(kind: str, val: str, size: str = "null", t0: str = "null", t1: str = "null", forward: str = "null") -> str:
+        numbers = (("bytes", size), ("t0", t0), ("t1", t1), ("forward", forward))
+        fields = ", ".join(f"cast({x} as bigint) as {name}" for name, x in numbers)
+        return f"struct('{kind}' as kind, {val} as val, {fields})"
 
-    entries = [entry(k, F.col(k)) for k in values]
+    entries = [entry(k, f"cast({k} as string)") for k in values]
     if pair:
-        src, dst = F.col("ip_src"), F.col("ip_dst")
-        forward = F.when(src < dst, F.col("n")).otherwise(F.lit(0))
-        entries.append(entry("pair", pair_key(src, dst), none, none, none, forward))
+        key = "if(ip_src is null or ip_dst is null, null, least(ip_src, ip_dst) || '|' || greatest(ip_src, ip_dst))"
+        entries.append(entry("pair", key, forward="if(ip_src < ip_dst, n, 0)"))
     if flow:
-        parts = [F.col(c).cast("string") for c in flow]
-        joined = parts[0]
-        for part in parts[1:]:
-            joined = F.concat(joined, F.lit("|"), part)
-        entries.append(entry("flow", joined, size, first, last, none))
+        times = ("t0", "t1") if has_time else ("null", "null")
+        entries.append(entry("flow", " || '|' || ".join(flow), "bytes" if has_length else "null", *times))
 
     return (
-        collapsed.select(*by, "n", F.inline(F.array(*entries)))
+        collapsed.select(*by, "n", F.expr(f"inline(array({', '.join(entries)}))"))
         .where(F.col("val").isNotNull())
         .groupBy(*by, "kind", "val")
         .agg(

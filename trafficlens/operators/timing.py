@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trafficlens.operators.counted import aggregates
 from trafficlens.operators.ordering import MAX_ROWS_PER_TASK, largest_group, with_position
 
 MICROS = 1e6
@@ -61,80 +62,76 @@ def time_windows(
             .withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(in_order))
             .where(F.col("_chunk") == chunk)
         )
-    gap = F.col("_gap")
-    size = F.sum(F.col("packet_length").cast("bigint")) if known_length else F.lit(None).cast("bigint")
-    return (
-        steps.withColumn("window_no", F.floor(F.col("_pos") / window_size).cast("bigint"))
-        .groupBy(*group, "window_no")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("ts_us").alias("t0"),
-            F.max("ts_us").alias("t1"),
-            size.alias("bytes"),
-            F.count(gap).alias("gaps"),
-            F.sum(gap).alias("gap_sum"),
-            (F.var_pop(gap) * F.count(gap)).alias("gap_m2"),
-            F.max(gap).alias("gap_max"),
-            F.min(gap).alias("gap_min"),
-        )
-        .drop("_chunk")
-    )
+    size = "sum(cast(packet_length as bigint))" if known_length else "cast(null as bigint)"
+    measures = {
+        "n": "count(*)",
+        "t0": "min(ts_us)",
+        "t1": "max(ts_us)",
+        "bytes": size,
+        "gaps": "count(_gap)",
+        "gap_sum": "sum(_gap)",
+        "gap_m2": "var_pop(_gap) * count(_gap)",
+        "gap_max": "max(_gap)",
+        "gap_min": "min(_gap)",
+    }
+    numbered = steps.withColumn("window_no", F.floor(F.col("_pos") / window_size).cast("bigint"))
+    return numbered.groupBy(*group, "window_no").agg(*aggregates(measures)).drop("_chunk")
 
 
 def time_features_from_windows(
     windows: DataFrame, by: Sequence[str], window_size: int = 100, has_length: bool = True
 ) -> DataFrame:
     """All time features of each group from its window rows."""
-    wide = "decimal(38,0)"
-    gaps, gap_sum = F.sum("gaps"), F.sum("gap_sum")
-    # Squared deviations within windows plus those between window means. The second part
-    # is a difference of large numbers and is therefore computed in decimals.
-    between = F.sum(F.when(F.col("gaps") > 0, F.col("gap_sum").cast(wide) * F.col("gap_sum").cast(wide) / F.col("gaps")))
-    total = F.col("_gap_sum").cast(wide)
-    spread = F.col("_m2") + F.greatest(
-        F.lit(0.0), (F.col("_between") - total * total / F.col("_gaps")).cast("double")
-    )
-    seconds = (F.col("t1") - F.col("t0")) / MICROS
-    counted = F.col("n") > 1
-    size = F.coalesce(F.col("bytes"), F.lit(0))
-    pps = F.when(counted, F.when(seconds > 0, F.col("n") / seconds).otherwise(F.lit(0.0)))
-    bps = F.when(counted, F.when(seconds > 0, size / seconds).otherwise(F.lit(0.0)))
-    grouped = windows.groupBy(*by).agg(
-        F.sum("n").alias("_n"),
-        F.min("t0").alias("_t0"),
-        F.max("t1").alias("_t1"),
-        F.sum(size).alias("_bytes"),
-        gaps.alias("_gaps"),
-        gap_sum.alias("_gap_sum"),
-        F.sum("gap_m2").alias("_m2"),
-        between.alias("_between"),
-        F.max("gap_max").alias("_gap_max"),
-        F.min("gap_min").alias("_gap_min"),
-        *[f(rate).alias(f"_{name}_{s}") for name, rate in (("pps", pps), ("bps", bps))
-          for s, f in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max))],
+    wide = "cast({} as decimal(38, 0))"
+    gap_sum, total = wide.format("gap_sum"), wide.format("_gap_sum")
+    measures = {
+        "_n": "sum(n)",
+        "_t0": "min(t0)",
+        "_t1": "max(t1)",
+        "_bytes": "sum(size)",
+        "_gaps": "sum(gaps)",
+        "_gap_sum": "sum(gap_sum)",
+        "_m2": "sum(gap_m2)",
+        # Squared deviations within windows (above) plus those between window means. The second
+        # part is a difference of large numbers and is therefore computed in decimals.
+        "_between": f"sum(if(gaps > 0, {gap_sum} * {gap_sum} / gaps, null))",
+        "_gap_max": "max(gap_max)",
+        "_gap_min": "min(gap_min)",
+    }
+    parts = (("mean", "avg"), ("std", "stddev_pop"), ("max", "max"))
+    measures |= {f"_{rate}_{s}": f"{f}({rate})" for rate in ("pps", "bps") for s, f in parts}
+    grouped = (
+        windows.withColumn("size", F.expr("coalesce(bytes, 0)"))
+        # A window of one packet does not count; one without duration has rate 0.
+        .withColumn("pps", F.expr("if(n > 1, if(t1 > t0, n / ((t1 - t0) / 1e6D), 0D), null)"))
+        .withColumn("bps", F.expr("if(n > 1, if(t1 > t0, size / ((t1 - t0) / 1e6D), 0D), null)"))
+        .groupBy(*by)
+        .agg(*aggregates(measures))
+        .withColumn("_span", F.expr("(_t1 - _t0) / 1e6D"))
+        .withColumn("_mean", F.expr("try_divide(_gap_sum, _gaps) / 1e6D"))
+        .withColumn(
+            "_std",
+            F.expr(
+                f"if(_gaps > 0, sqrt((_m2 + greatest(0D, cast(_between - {total} * {total} / _gaps as double))) / _gaps)"
+                " / 1e6D, null)"
+            ),
+        )
     )
-    span = (F.col("_t1") - F.col("_t0")) / MICROS
-    moving = F.col("_t1") > F.col("_t0")
-    many = moving & (F.col("_n") > window_size)
-    mean = F.col("_gap_sum") / F.col("_gaps") / MICROS
-    std = F.sqrt(spread / F.col("_gaps")) / MICROS
-    out = [
-        span.alias("time_span"),
-        F.when(moving, F.col("_n") / span).alias("packets_per_second"),
-    ]
-    if has_length:
-        out.append(F.when(moving, F.col("_bytes") / span).alias("bytes_per_second"))
-    out += [
-        F.when(moving, mean).alias("inter_arrival_time_mean"),
-        F.when(moving, std).alias("inter_arrival_time_std"),
-        F.when(moving, F.col("_gap_max") / MICROS).alias("inter_arrival_time_max"),
-        F.when(moving, F.col("_gap_min") / MICROS).alias("inter_arrival_time_min"),
-        F.when(moving, F.when(mean > 0, std / mean).otherwise(F.lit(0.0))).alias("inter_arrival_time_cv"),
-    ]
-    out += [F.when(many, F.col(f"_pps_{s}")).alias(f"window_packets_per_second_{s}") for s in ("mean", "std", "max")]
-    if has_length:
-        out += [F.when(many, F.col(f"_bps_{s}")).alias(f"window_bytes_per_second_{s}") for s in ("mean", "std", "max")]
-    return grouped.select(*by, *out)
+    moving = {
+        "packets_per_second": "_n / _span",
+        "bytes_per_second": "_bytes / _span",
+        "inter_arrival_time_mean": "_mean",
+        "inter_arrival_time_std": "_std",
+        "inter_arrival_time_max": "_gap_max / 1e6D",
+        "inter_arrival_time_min": "_gap_min / 1e6D",
+        "inter_arrival_time_cv": "if(_mean > 0, _std / _mean, 0D)",
+    }
+    many = {f"window_{name}_per_second_{s}": f"_{rate}_{s}"
+            for name, rate in (("packets", "pps"), ("bytes", "bps")) for s, _ in parts}
+    exprs = {"time_span": "_span"}
+    exprs |= {name: f"if(_t1 > _t0, {sql}, null)" for name, sql in moving.items()}
+    exprs |= {name: f"if(_t1 > _t0 and _n > {window_size}, {sql}, null)" for name, sql in many.items()}
+    return grouped.select(*by, *aggregates({k: v for k, v in exprs.items() if has_length or "bytes" not in k}))
 
 
 def time_features(

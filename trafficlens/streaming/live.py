@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trafficlens.learning.models import TrafficModel
-from trafficlens.operators.counted import MICROS, four_stats
+from trafficlens.operators.counted import MICROS, aggregates, four_stats
 from trafficlens.operators.livewindows import with_window_id
 from trafficlens.operators.tallies import flow_key
 from trafficlens.plans.scoring import score_windows
@@ -38,22 +39,17 @@ def flow_rates(packets: DataFrame, width: str = "1 minute", by: Sequence[str] =
     (a missing member of the key) count in the totals only.
     """
     key = flow_key(packets.columns)
-    n, size = F.col("n"), F.col("bytes")
     per_flow = packets.groupBy(F.window("timestamp", width), *by, *key).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.col("packet_length").cast("bigint")), F.lit(0)).alias("bytes"),
         F.min(F.unix_micros("timestamp")).alias("t0"),
         F.max(F.unix_micros("timestamp")).alias("t1"),
     )
-    is_flow = F.lit(True)
-    for c in key:
-        is_flow = is_flow & F.col(c).isNotNull()
-    seconds = (F.col("t1") - F.col("t0")) / MICROS
-    moving = is_flow & (n > 1) & (F.col("t1") > F.col("t0"))
+    is_flow = " and ".join(f"{c} is not null" for c in key) or "true"
     stats = (
-        four_stats("packets_per_flow", F.when(is_flow, n))
-        | four_stats("bytes_per_flow", F.when(is_flow, size))
-        | four_stats("flow_duration", F.when(moving, seconds))
+        four_stats("packets_per_flow", "n", f"filter (where {is_flow})")
+        | four_stats("bytes_per_flow", "bytes", f"filter (where {is_flow})")
+        | four_stats("flow_duration", "(t1 - t0) / 1e6D", f"filter (where {is_flow} and n > 1 and t1 > t0)")
     )
     span = (F.col("_t1") - F.col("_t0")) / MICROS
     return (
@@ -63,8 +59,8 @@ def flow_rates(packets: DataFrame, width: str = "1 minute", by: Sequence[str] =
             F.sum("bytes").alias("total_bytes"),
             F.min("t0").alias("_t0"),
             F.max("t1").alias("_t1"),
-            F.count(F.when(is_flow, 1)).alias("flow_count"),
-            *[e.alias(name) for name, e in stats.items()],
+            F.expr(f"count(*) filter (where {is_flow}) as flow_count"),
+            *aggregates(stats),
         )
         .select(
             F.col("window.start").alias("window_start"),
@@ -80,6 +76,18 @@ def flow_rates(packets: DataFrame, width: str = "1 minute", by: Sequence[str] =
     )
 
 
+def _pack(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(held).read_all().to_pandas()
+
+
 def closed_windows(packets: DataFrame, window_size: int = DEFAULT_LIVE_WINDOW, idle_seconds: int = 600) -> DataFrame:
     """The packets of each count window, let through once the window is complete.
 
@@ -95,10 +103,8 @@ def closed_windows(packets: DataFrame, window_size: int = DEFAULT_LIVE_WINDOW, i
     held_schema = T.StructType([T.StructField("packets", T.BinaryType()), T.StructField("last_ms", T.LongType())])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import pickle
-
         held, last = (state.get if state.exists else (None, 0))
-        parts = [pickle.loads(held)] if held else []
+        parts = [_unpack(held)] if held else []
         if state.hasTimedOut:
             state.remove()
             yield from parts
@@ -114,7 +120,7 @@ def closed_windows(packets: DataFrame, window_size: int = DEFAULT_LIVE_WINDOW, i
                 state.remove()
             yield rows
             return
-        state.update((pickle.dumps(rows), last))
+        state.update((_pack(rows), last))
         # A time-out must lie after the current watermark.
         state.setTimeoutTimestamp(max(last + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
