@@ -145,6 +145,17 @@ class TrafficModel:
         scored = self.predict(features, ["label", *(["status"] if "status" in features.columns else [])])
         return score_metrics(scored, self.labels)
 
+    def info(self, spark: SparkSession) -> dict[str, Any]:
+        """Kind of model, its inputs and classes, and the five most important features."""
+        last = self.pipeline.stages[-1]
+        known = {p.name: last.getOrDefault(p) for p in last.params if last.hasDefault(p) or last.isSet(p)}
+        shape = {name: known[name] for name in ("numTrees", "maxIter", "maxDepth", "layers") if name in known}
+        top = {r["feature"]: r["importance"] for r in self.importances(spark, 5).collect()}
+        return {
+            "model_type": type(last).__name__, "num_features": len(self.feature_names),
+            "features": self.feature_names, "labels": self.labels, "top_features": top, **shape,
+        }
+
     def importances(self, spark: SparkSession, top_n: int = 20) -> DataFrame:
         """(rank, feature, importance), largest first; empty for models without importances."""
         schema = "rank int, feature string, importance double"

@@ -12,12 +12,14 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trafficlens.functions.expressions import hash_order
 from trafficlens.operators.ordering import with_position
 from trafficlens.schema import FIXED_FEATURES, MAP_FEATURES
 
 MAX_VOCABULARY = 10_000
+MAX_CLASSES = 1_000
 
 
 def vocabulary(features: DataFrame) -> list[str]:
@@ -68,16 +70,30 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
 
 
+def _class_table(df: DataFrame, label: str) -> DataFrame:
+    """Classes, their rows and balanced weights as a small local table.
+
+    The number of classes is checked, so this table may be broadcast: a join with it
+    leaves the rows where they are, although a class may hold most of them.
+    """
+    rows = class_counts(df, label).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in column {label}")
+    total = sum(r["count"] for r in rows)
+    weighted = [(r[label], r["count"], total / (len(rows) * r["count"])) for r in rows]
+    schema = T.StructType(
+        [df.schema[label], T.StructField("count", T.LongType()), T.StructField("weight", T.DoubleType())]
+    )
+    return df.sparkSession.createDataFrame(weighted, schema)
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
-    counts = class_counts(df, label)
-    totals = counts.agg(F.sum("count").alias("_rows"), F.count(F.lit(1)).alias("_classes")).first()
-    rows, classes = totals["_rows"] or 0, totals["_classes"]
-    return counts.select(label, "count", (F.lit(float(rows)) / (F.lit(classes) * F.col("count"))).alias("weight"))
+    return _class_table(df, label)
 
 
 def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.join(class_weights(df, label).select(label, "weight"), label)
+    return df.join(F.broadcast(_class_table(df, label).select(label, "weight")), label)
 
 
 def _in_hash_order(df: DataFrame, label: str, key: Column, seed: int) -> DataFrame:
@@ -92,13 +108,13 @@ def with_split(
     """Add ``part``: ``train`` or ``eval``, the same share of each class.
 
     A class may hold most rows, so positions come from ``with_position`` and class sizes
-    from a joined aggregate instead of a window over the whole class.
+    from a broadcast table of classes instead of a window over the whole class.
     """
-    sizes = class_counts(df, label).withColumnRenamed("count", "_size")
+    sizes = _class_table(df, label).select(label, F.col("count").alias("_size"))
     rank = F.col("_position") / F.greatest(F.col("_size") - 1, F.lit(1))
     return (
         _in_hash_order(df, label, key, seed)
-        .join(sizes, label)
+        .join(F.broadcast(sizes), label)
         .withColumn("part", F.when(rank < 1 - test_size, "train").otherwise("eval"))
         .select(*df.columns, "part")
     )

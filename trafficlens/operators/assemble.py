@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trafficlens.functions.expressions import micros
 from trafficlens.operators.counted import ENTROPY_COLUMNS, counted, counted_plan
 from trafficlens.operators.lengths import length_features
-from trafficlens.operators.statistical import ratio_maps
+from trafficlens.operators.statistical import as_ratios, count_maps, known_counts, map_columns
 from trafficlens.operators.timing import time_features
 from trafficlens.schema import ENTITY, FIXED_FEATURES, MAP_FEATURES
 from trafficlens.settings import MIN_PACKETS, FeatureSettings
@@ -56,20 +56,21 @@ def extract_features(
     statistical = "statistical" in settings.groups and settings.use_statistics
     keep = ["label"] if "label" in columns and "label" not in by else []
 
-    parts = [length_features(packets, by, binned_entropy=statistical, keep=keep)]
+    mapped = map_columns(columns, statistical)
+    parts = [length_features(packets, by, binned_entropy=statistical, keep=keep, counts=known_counts(mapped))]
     kinds, exprs = counted_plan(columns, True, "flow" in settings.groups, statistical, settings.use_entropy)
     if kinds:
         parts.append(counted(packets, by, kinds, exprs))
     if "time" in settings.groups and "ts_us" in columns:
         order = [c for c in tie if c in columns]
         parts.append(time_features(packets, by, settings.window_size, order, strategy))
-    maps = ratio_maps(packets, by, top=statistical)
-    if maps is not None:
-        parts.append(maps)
+    if mapped:
+        parts.append(count_maps(packets, by, mapped))
 
     row = parts[0]
     for part in parts[1:]:
         row = row.join(part, list(by), "left")
+    row = as_ratios(row, mapped)
     row = row.fillna({c: v for c, v in EMPTY_VALUES.items() if c in row.columns})
     large = F.col("total_packets") >= minimum
     features = [c for c in (*FIXED_FEATURES, *MAP_FEATURES) if c in row.columns and c != "total_packets"]

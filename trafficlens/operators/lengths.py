@@ -7,7 +7,7 @@ bounded by the number of possible lengths and not by the number of packets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +19,12 @@ PERCENTILES = (25, 75, 90, 95)
 LENGTH_BINS = 10
 
 
-def length_freq(packets: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def length_freq(
+    packets: DataFrame, by: Sequence[str], keep: Sequence[str] = (), counts: Mapping[str, str] | None = None
+) -> DataFrame:
     """(``by``, packet_length, n) including a row for missing lengths."""
     return packets.groupBy(*by, "packet_length").agg(
-        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in keep]
+        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in keep], *aggregates(counts or {})
     )
 
 
@@ -32,24 +34,31 @@ def length_features(
     basic: bool = True,
     binned_entropy: bool = True,
     keep: Sequence[str] = (),
+    counts: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """``total_packets``, moments, exact percentiles and the entropy of ten equal bins."""
+    """``total_packets``, moments, exact percentiles and the entropy of ten equal bins.
+
+    ``keep`` are columns that are constant in a group; ``counts`` are further packet
+    counts (named SQL aggregates) that ride along.
+    """
+    counts = counts or {}
     if "packet_length" not in packets.columns:
         return packets.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("total_packets"), *[F.min(c).alias(c) for c in keep]
+            F.count(F.lit(1)).alias("total_packets"), *[F.min(c).alias(c) for c in keep], *aggregates(counts)
         )
     over = f"over (partition by {', '.join(f'`{c}`' for c in by)})"
-    freq = length_freq(packets, by, keep).select(
+    freq = length_freq(packets, by, keep, counts).select(
         *by,
         *keep,
+        *counts,
         "packet_length",
         "n",
         F.expr(f"min(packet_length) {over} as _low"),
         F.expr(f"max(packet_length) {over} as _high"),
         F.expr(f"sum(packet_length * n) {over} / sum(if(packet_length is null, null, n)) {over} as _mean"),
     )
-    wanted = {"total_packets": "sum(n)"} | {c: f"min({c})" for c in keep}
-    columns = [*by, *keep, "total_packets"]
+    wanted = {"total_packets": "sum(n)"} | {c: f"min({c})" for c in keep} | {c: f"sum({c})" for c in counts}
+    columns = [*by, *keep, *counts, "total_packets"]
     if basic:
         cuts = ", ".join(f"{p / 100}D" for p in (50, *PERCENTILES))
         known = "sum(n) filter (where packet_length is not null)"

@@ -41,13 +41,14 @@ def with_position(
     out: str = "position",
     strategy: str = "auto",
     max_rows: int = MAX_ROWS_PER_TASK,
+    total: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group, in ``order``.
 
     ``order`` must identify a row within its group, otherwise ties are broken at will.
     ``strategy``: ``window`` (one sort per group), ``range`` (balanced), or ``auto``.
+    ``total`` is the number of rows, where the caller knows it.
     """
-    total = None
     if strategy == "auto":
         largest, total = largest_group(df, by)
         strategy = "window" if largest <= max_rows else "range"

@@ -14,34 +14,44 @@ TOP_COLUMNS = ("tcp_flags", "icmp_type", "http_method")
 PROTOCOL_NUMBERS = 256
 
 
-def ratio_maps(
-    packets: DataFrame, by: Sequence[str], protocols: bool = True, top: bool = True, k: int = TOP_K
-) -> DataFrame | None:
-    """``protocol_ratio`` and the top-``k`` maps of flags, ICMP types and HTTP methods.
+def map_columns(columns: Sequence[str], top: bool = True) -> list[str]:
+    """Columns that give a map of value ratios."""
+    return [c for c in ("protocol", *(TOP_COLUMNS if top else ())) if c in columns]
+
+
+def count_maps(packets: DataFrame, by: Sequence[str], columns: Sequence[str], k: int = TOP_K) -> DataFrame:
+    """``<column>_counts``: how often each protocol and the ``k`` most frequent other values occur.
 
     A protocol number has 8 bits, so rank 256 keeps every protocol; that rank bound also
     lets Spark cut each group before the exchange of the ranking.
     """
-    tops = [c for c in TOP_COLUMNS if top and c in packets.columns]
-    columns = (["protocol"] if protocols and "protocol" in packets.columns else []) + tops
-    if not columns:
-        return None
-    freq = value_freq(packets, by, columns)
     best = Window.partitionBy(*by, "col").orderBy(F.desc("n"), F.asc("val"))
     kept = (
-        freq.withColumn("rank", F.row_number().over(best))
+        value_freq(packets, by, columns)
+        .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= PROTOCOL_NUMBERS)
         .where((F.col("col") == "protocol") | (F.col("rank") <= k))
     )
-    totals = freq.groupBy(*by, "col").agg(F.sum("n").alias("total"))
-    share = F.struct(F.col("val"), (F.col("n") / F.col("total")).alias("ratio"))
-    return (
-        kept.join(totals, [*by, "col"])
-        .groupBy(*by)
-        .agg(
-            *[
-                F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("col") == c, share)))).alias(f"{c}_ratio")
-                for c in columns
-            ]
-        )
-    )
+    entries = [
+        F.expr(f"map_from_entries(sort_array(collect_list(struct(val, n)) filter (where col = '{c}'))) as {c}_counts")
+        for c in columns
+    ]
+    return kept.groupBy(*by).agg(*entries)
+
+
+def known_counts(columns: Sequence[str]) -> dict[str, str]:
+    """Aggregates that count the packets with a value, the whole of each ratio."""
+    return {f"{c}_known": f"count({c})" for c in columns}
+
+
+def as_ratios(counted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``<column>_ratio`` from ``<column>_counts`` and ``<column>_known``."""
+    ratios = [F.expr(f"transform_values({c}_counts, (v, n) -> n / {c}_known) as {c}_ratio") for c in columns]
+    return counted.select("*", *ratios).drop(*[f"{c}_counts" for c in columns], *[f"{c}_known" for c in columns])
+
+
+def ratio_maps(packets: DataFrame, by: Sequence[str], top: bool = True, k: int = TOP_K) -> DataFrame:
+    """``protocol_ratio`` and the top-``k`` maps of flags, ICMP types and HTTP methods."""
+    columns = map_columns(packets.columns, top)
+    totals = packets.groupBy(*by).agg(*[F.expr(f"{sql} as {name}") for name, sql in known_counts(columns).items()])
+    return as_ratios(totals.join(count_maps(packets, by, columns, k), list(by)), columns)

@@ -41,8 +41,10 @@ def time_windows(
     known_length = _has_length(packets)
     order = ["ts_us", *tie]
     narrow = packets.select(*by, *order, *(["packet_length"] if known_length else []))
+    total = None
     if strategy == "auto":
-        strategy = "window" if largest_group(narrow, by)[0] <= max_rows else "range"
+        largest, total = largest_group(narrow, by)
+        strategy = "window" if largest <= max_rows else "range"
     if strategy == "window":
         group = list(by)
         in_order = Window.partitionBy(*by).orderBy(*order)
@@ -57,7 +59,7 @@ def time_windows(
         carried = F.when(F.pmod(F.col("_pos") + 1, F.lit(chunk_rows)) == 0, F.array(chunk, chunk + 1))
         in_order = Window.partitionBy(*group).orderBy("_pos")
         steps = (
-            with_position(narrow, by, order, "_pos", strategy="range", max_rows=max_rows)
+            with_position(narrow, by, order, "_pos", strategy="range", max_rows=max_rows, total=total)
             .withColumn("_chunk", F.explode(F.coalesce(carried, F.array(chunk))))
             .withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(in_order))
             .where(F.col("_chunk") == chunk)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +57,6 @@ def window_summary(windows: DataFrame, window_size: int) -> DataFrame:
     )
 
 
-def window_lists(windows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Window rows of a capture as one ordered array, for the JSON report only."""
-    return windows.groupBy("capture_file").agg(
-        F.sort_array(F.collect_list(F.struct("window_start", *[c for c in columns if c != "window_start"]))).alias(
-            "windows"
-        )
-    )
-
-
 def _limits(df: DataFrame, column: str):
     x = F.col(column)
     return df.agg(

@@ -16,6 +16,8 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # A feature row compiles more classes than the default cache of 100 holds.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
@@ -28,6 +30,7 @@ def local_session(cores: int | str = "*", app: str = "trafficlens", memory: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

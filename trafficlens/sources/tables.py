@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trafficlens.functions.expressions import file_name, label_from_name, to_timestamp
+from trafficlens.operators.ordering import with_position
 from trafficlens.schema import PACKET_FIELDS
 
 
@@ -98,6 +99,11 @@ def good_rows(df: DataFrame) -> DataFrame:
     return df.where(~misfit).drop(CORRUPT)
 
 
+def number_lines(df: DataFrame) -> DataFrame:
+    """Consecutive ``packet_no`` per file from ``file_order``, for windows in file order."""
+    return with_position(df, ["capture_file"], ["file_order"], "packet_no").drop("file_order")
+
+
 def with_label(df: DataFrame, label: str) -> DataFrame:
     """One label for a whole folder."""
     return df.withColumn("label", F.lit(label))
