@@ -11,7 +11,7 @@ from trafficlens.catalog.fixture import numbered_packets, packets, table
 from trafficlens.catalog.shape import rounded
 from trafficlens.functions import expressions as X
 from trafficlens.operators import assemble, counted, flows, lengths, livewindows, tallies, timing
-from trafficlens.schema import FIXED_FEATURES
+from trafficlens.schema import FIXED_FEATURES, MAP_FEATURES
 
 E = ["capture_file"]
 TIE = ["packet_id"]
@@ -121,8 +121,7 @@ def entropy_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def protocol_ratio(p: DataFrame) -> DataFrame:
-    freq = tallies.value_freq(p, E, ["protocol"])
-    return tallies.value_ratios(freq, E).select(*E, F.col("val").alias("protocol"), "n", "ratio")
+    return tallies.value_ratios(p, E, ["protocol"]).select(*E, F.col("val").alias("protocol"), "n", "ratio")
 
 
 def top5_ratios(p: DataFrame) -> DataFrame:
@@ -153,14 +152,11 @@ def feature_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trafficlens.operators.statistical import ratio_maps
 
     maps = ratio_maps(packets(spark, sf_dir), E)
-    entries = [
-        maps.select(*E, F.lit(m).alias("feature"), F.explode(m).alias("val", "ratio"))
-        for m in ("protocol_ratio", "tcp_flags_ratio", "icmp_type_ratio", "http_method_ratio")
+    parts = [
+        f"transform(map_entries({m}), e -> struct('{m}' as feature, e.key as val, e.value as ratio))"
+        for m in MAP_FEATURES
     ]
-    out = entries[0]
-    for e in entries[1:]:
-        out = out.unionByName(e)
-    return rounded(out)
+    return rounded(maps.select(*E, F.expr(f"inline(concat({', '.join(parts)}))")))
 
 
 LIVE = 50

@@ -17,10 +17,12 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, value = F.col("user_id"), F.col("value")
     day = F.dayofmonth("ts")
     kind, event = F.col("event_type"), F.col("event_id")
+    # The stored times carry no zone; their microseconds must not depend on the session's.
+    since_epoch = F.expr("timestampdiff(microsecond, timestamp_ntz '1970-01-01 00:00:00', ts)")
     prepared = table(spark, sf_dir, "events").select(
         event.alias("packet_id"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        F.timestamp_micros(since_epoch).alias("timestamp"),
+        since_epoch.alias("ts_us"),
         user,
         value,
         F.get_json_object("props", "$.k").cast("int").alias("k"),

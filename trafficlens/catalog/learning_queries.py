@@ -42,8 +42,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small labelled table per window for checks that need no model."""
     numbered = numbered_packets(spark, sf_dir).withColumn("window_id", F.floor(F.col("packet_no") / LIVE))
-    return numbered.groupBy(*W).agg(
-        F.min("label").alias("label"),
+    return numbered.groupBy(*W, "label").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("packet_length").alias("len_mean"),
         F.avg("ttl").alias("ttl_mean"),
@@ -155,17 +154,20 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.report_summary(results(spark, sf_dir)))
 
 
-def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of every capture of a batch: decoded, too small, cut short, or no capture at all."""
-    blobs = capture_blobs(numbered_packets(spark, sf_dir))
+def broken_files(numbered: DataFrame) -> DataFrame:
+    """Capture files of the packets; some are no captures and some end in the middle of a packet."""
     day = F.regexp_extract("path", r"cap_(\d+)", 1).cast("int")
     body = F.col("content")
-    few = F.substring(body, F.lit(1), F.lit(24 + 16))  # header and a record that is cut short
-    files = blobs.withColumn(
-        "content", F.when(day % 5 == 0, F.encode(F.lit("no capture"), "utf-8")).when(day % 7 == 0, few).otherwise(body)
-    )
-    found = captures.pieces_of_contents(files)
-    status = captures.status_of_pieces(found)
+    few = F.substring(body, F.lit(1), F.lit(24 + 16))  # the header and a record without its bytes
+    text = F.encode(F.lit("no capture"), "utf-8")
+    content = F.when(day % 5 == 0, text).when(day % 7 == 0, few).otherwise(body)
+    return capture_blobs(numbered).withColumn("content", content)
+
+
+def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of every capture of a batch: decoded, cut short, or no capture at all."""
+    files = broken_files(numbered_packets(spark, sf_dir))
+    status = captures.status_of_pieces(captures.pieces_of_contents(files))
     counts = lengths.basic_counts(captures.packets_of_frames(captures.frames_of_contents(files)), E)
     return status.join(counts, E, "left").select(
         *E, "status", F.coalesce(F.col("total_packets"), F.lit(0)).alias("total_packets"), "error"
@@ -251,15 +253,20 @@ def _capture_model(spark: SparkSession, sf_dir: str) -> models.TrafficModel:
     return models.train(windows(spark, sf_dir), SMALL_FOREST, W, stored=True)
 
 
-def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def score_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every capture with the number of its known features."""
     model = _capture_model(spark, sf_dir)
-    return scoring.score_captures(model, packets(spark, sf_dir), tie=TIE).drop("features")
+    scored = scoring.score_captures(model, packets(spark, sf_dir), tie=TIE)
+    return scored.withColumn("features", F.size("features"))
 
 
-def score_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture files to verdicts; files that are cut short or no captures keep an error row."""
     model = _capture_model(spark, sf_dir)
-    one = scoring.score_capture(model, packets(spark, sf_dir), "cap_03.pcap", tie=TIE)
-    return one.withColumn("features", F.size("features"))
+    files = store(broken_files(numbered_packets(spark, sf_dir)), "files")
+    status = captures.status_of_pieces(captures.pieces_of_contents(files))
+    decoded = store(captures.packets_of_frames(captures.frames_of_contents(files)), "packets")
+    return scoring.score_captures(model, decoded, status).drop("features")
 
 
 def window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from trafficlens.catalog.encode import capture_blobs
 from trafficlens.catalog.feature_oracles import on_packets
 from trafficlens.catalog.fixture import numbered_packets, packets
 from trafficlens.catalog.shape import rounded
-from trafficlens.operators import counted, lengths
+from trafficlens.operators import counted
 from trafficlens.schema import PACKET_FIELDS
 from trafficlens.session import fresh_path
 from trafficlens.sources import captures, sinks, tables
@@ -48,9 +48,7 @@ def label_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
         label: sinks.write_packets(p.where(rows), fresh_path(spark, label))
         for label, rows in (("ddos", attack), ("normal", ~attack))
     }
-    parts = [
-        tables.with_label(tables.read_parquet_dir(spark, folder), label) for label, folder in folders.items()
-    ]
+    parts = [tables.label_folder(spark, folder, label) for label, folder in folders.items()]
     return tables.stack(parts).select("packet_id", "label")
 
 

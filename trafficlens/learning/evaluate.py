@@ -22,16 +22,14 @@ def _safe(part: Column, whole: Column) -> Column:
 
 def class_report(matrix: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per class (classes seen as truth or as prediction)."""
-    n, hit = F.col("count"), F.col("truth") == F.col("prediction")
-    as_truth = matrix.select(
-        F.col("truth").alias("class"), n.alias("support"), F.lit(0).alias("predicted"),
-        F.when(hit, n).otherwise(F.lit(0)).alias("hits"),
+    sides = (
+        "struct(truth as class, count as support, 0L as predicted, if(truth = prediction, count, 0L) as hits)",
+        "struct(prediction as class, 0L as support, count as predicted, 0L as hits)",
     )
-    as_prediction = matrix.select(
-        F.col("prediction").alias("class"), F.lit(0).alias("support"), n.alias("predicted"), F.lit(0).alias("hits")
-    )
-    sums = as_truth.unionByName(as_prediction).groupBy("class").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in ("support", "predicted", "hits")]
+    sums = (
+        matrix.select(F.expr(f"inline(array({', '.join(sides)}))"))
+        .groupBy("class")
+        .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
     )
     precision, recall = _safe(F.col("hits"), F.col("predicted")), _safe(F.col("hits"), F.col("support"))
     return sums.select(

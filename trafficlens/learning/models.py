@@ -63,7 +63,7 @@ def make_classifier(settings: ModelSettings, inputs: int, classes: int = 2) -> E
         return MultilayerPerceptronClassifier(
             layers=[inputs, *s.hidden_layers, classes], maxIter=s.max_iter, seed=s.random_state, **common
         )
-    raise ValueError(f"Unsupported model type: {settings.model_type}")
+    raise ValueError(f"no such kind of model: {settings.model_type}")
 
 
 def make_pipeline(settings: ModelSettings, names: Sequence[str]) -> Pipeline:

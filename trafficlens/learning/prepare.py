@@ -48,22 +48,22 @@ def feature_names(features: DataFrame) -> list[str]:
     return [c for c in FIXED_FEATURES if c in features.columns] + vocabulary(features)
 
 
-def _value_of(name: str, columns: Sequence[str]) -> Column:
+def _value_of(name: str, columns: Sequence[str]) -> str:
+    """SQL value of a model input: the column, the entry of a map, or 0."""
     if name in columns:
-        value = F.col(f"`{name}`")
-        return F.coalesce(value.cast("double"), F.lit(0.0))
+        return f"coalesce(cast(`{name}` as double), 0D)"
     for m in MAP_FEATURES:
         prefix = m.removesuffix("ratio")
         if m in columns and name.startswith(prefix) and name.endswith("_ratio"):
-            key = name[len(prefix) : -len("_ratio")]
-            return F.coalesce(F.try_element_at(F.col(m), F.lit(key)), F.lit(0.0))
-    return F.lit(0.0)
+            key = name[len(prefix) : -len("_ratio")].replace("\\", "\\\\").replace("'", "\\'")
+            return f"coalesce(try_element_at({m}, '{key}'), 0D)"
+    return "0D"
 
 
 def align(features: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``keep`` and exactly ``names``, in that order: missing ones 0, extra ones dropped."""
-    kept = [c for c in keep if c in features.columns]
-    return features.select(*kept, *[_value_of(n, features.columns).alias(n) for n in names])
+    kept = [f"`{c}`" for c in keep if c in features.columns]
+    return features.selectExpr(*kept, *[f"{_value_of(n, features.columns)} as `{n}`" for n in names])
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:

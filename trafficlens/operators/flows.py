@@ -11,7 +11,7 @@ from trafficlens.operators.counted import MICROS, aggregates, four_stats
 from trafficlens.operators.tallies import flow_key
 
 
-def flow_table(packets: DataFrame, by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def flow_table(packets: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per directional flow: packets, bytes, duration and rates.
 
     ``packets`` needs ``ts_us`` (time in microseconds) for durations. Rates are NULL for
@@ -29,7 +29,6 @@ def flow_table(packets: DataFrame, by: Sequence[str], keep: Sequence[str] = ())
             F.coalesce(F.sum(F.col("packet_length").cast("bigint")), F.lit(0)).alias("bytes"),
             F.min("ts_us").alias("t0"),
             F.max("ts_us").alias("t1"),
-            *[F.min(c).alias(c) for c in keep],
         )
         .select(
             *by,
@@ -40,7 +39,6 @@ def flow_table(packets: DataFrame, by: Sequence[str], keep: Sequence[str] = ())
             F.when(moving, n / seconds).alias("pps"),
             F.when(moving, size / seconds).alias("bps"),
             F.when(moving, seconds).alias("active_seconds"),
-            *keep,
         )
     )
 

@@ -22,9 +22,13 @@ LENGTH_BINS = 10
 def length_freq(
     packets: DataFrame, by: Sequence[str], keep: Sequence[str] = (), counts: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """(``by``, packet_length, n) including a row for missing lengths."""
-    return packets.groupBy(*by, "packet_length").agg(
-        F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in keep], *aggregates(counts or {})
+    """(``by``, ``keep``, packet_length, n) including a row for missing lengths.
+
+    Kept columns are grouped on: a text minimum could not be updated in a hash aggregate,
+    and Spark would sort all packets before combining them.
+    """
+    return packets.groupBy(*by, *keep, "packet_length").agg(
+        F.count(F.lit(1)).alias("n"), *aggregates(counts or {})
     )
 
 
@@ -43,9 +47,9 @@ def length_features(
     """
     counts = counts or {}
     if "packet_length" not in packets.columns:
-        return packets.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("total_packets"), *[F.min(c).alias(c) for c in keep], *aggregates(counts)
-        )
+        counted = packets.groupBy(*by, *keep).agg(F.count(F.lit(1)).alias("total_packets"), *aggregates(counts))
+        sums = {c: f"sum({c})" for c in ("total_packets", *counts)} | {c: f"min({c})" for c in keep}
+        return counted.groupBy(*by).agg(*aggregates(sums))
     over = f"over (partition by {', '.join(f'`{c}`' for c in by)})"
     freq = length_freq(packets, by, keep, counts).select(
         *by,

@@ -36,16 +36,20 @@ def entropy_by_column(freq: DataFrame, by: Sequence[str]) -> DataFrame:
     return freq.groupBy(*by, "col").agg(entropy_from_sums("sum(n)", "sum(n * log2(n))").alias("entropy"))
 
 
-def value_ratios(freq: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add the share of each value within (``by``, col).
+def value_totals(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(``by``, col, total): rows with a value. One plain aggregate, unfolded only at the end."""
+    counts = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in columns])
+    return counts.unpivot(list(by), list(columns), "col", "total")
 
-    The totals come from a second, far smaller aggregate that is joined back, so no
-    column with many distinct values has to fit into one window group.
+
+def value_ratios(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Each value with its count and its share within (``by``, col).
+
+    The totals are joined back, so no column with many distinct values has to fit into
+    one window group.
     """
-    totals = freq.groupBy(*by, "col").agg(F.sum("n").alias("total"))
-    return freq.join(totals, [*by, "col"]).select(
-        *by, "col", "val", "n", (F.col("n") / F.col("total")).alias("ratio")
-    )
+    joined = value_freq(df, by, columns).join(value_totals(df, by, columns), [*by, "col"])
+    return joined.select(*by, "col", "val", "n", (F.col("n") / F.col("total")).alias("ratio"))
 
 
 def top_values(df: DataFrame, by: Sequence[str], columns: Sequence[str], k: int = 5) -> DataFrame:
@@ -54,11 +58,11 @@ def top_values(df: DataFrame, by: Sequence[str], columns: Sequence[str], k: int
     The rank filter is applied before the exchange too, so at most ``k`` rows of each
     group and map task are shuffled for the ranking.
     """
-    freq = value_freq(df, by, columns)
     best = Window.partitionBy(*by, "col").orderBy(F.desc("n"), F.asc("val"))
-    ranked = freq.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    totals = freq.groupBy(*by, "col").agg(F.sum("n").alias("total"))
-    return ranked.join(totals, [*by, "col"]).select(
+    ranked = (
+        value_freq(df, by, columns).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    )
+    return ranked.join(value_totals(df, by, columns), [*by, "col"]).select(
         *by, "col", "val", "n", "rank", (F.col("n") / F.col("total")).alias("ratio")
     )
 
@@ -85,6 +89,11 @@ def tallies(df: DataFrame, by: Sequence[str], kinds: Sequence[str]) -> DataFrame
     if has_time:
         measures += [F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1")]
     collapsed = df.groupBy(*by, *needed).agg(*measures)
+    if list(kinds) == values and len(values) == 1:
+        # One plain column is already counted per value.
+        parts = [f"'{values[0]}' as kind", f"cast({values[0]} as string) as val", "n"]
+        blanks = [f"cast(null as bigint) as {c}" for c in ("bytes", "t0", "t1", "forward")]
+        return collapsed.dropna(subset=values).select(*by, *[F.expr(x) for x in (*parts, *blanks)])
 
     def entry(kind: str, val: str, size: str = "null", t0: str = "null", t1: str = "null", forward: str = "null") -> str:
         numbers = (("bytes", size), ("t0", t0), ("t1", t1), ("forward", forward))

@@ -10,7 +10,6 @@ DDOS = "ddos"
 MIN_PACKETS = 10
 DEFAULT_LIVE_WINDOW = 1000
 CAPTURE_EXTENSIONS = ("pcap", "pcapng")
-TABLE_EXTENSIONS = ("csv", "pcap_ISCX")
 
 
 @dataclass(frozen=True)
