@@ -13,17 +13,19 @@ from trafficlens.learning import models
 from trafficlens.session import fresh_path
 from trafficlens.streaming import live
 
-FILES = 3
-# Means of two times in microseconds end on a half in the seventh digit.
-DIGITS = 8
+PARTS = 3
+# The packets land ten days at a time, in files of any order: nothing is later than that.
+DELAY = "10 days"
+# Means of a few whole microseconds often end on a half at the sixth digit or later.
+DURATION_DIGITS = 3
 
 
 def landed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """The packets in three files, one after the other in time."""
+    """The packets of three times ten days, one part after the other."""
     packets = numbered_packets(spark, sf_dir).drop("ts_us", "label")
     path = fresh_path(spark, "landed")
     third = F.floor((F.dayofmonth("timestamp") - 1) / 10)
-    for i in range(FILES):
+    for i in range(PARTS):
         packets.where(third == i).write.mode("append").parquet(path)
     return path, spark.read.parquet(path)
 
@@ -38,25 +40,25 @@ def stream_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_flow_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly rates of all closed windows; windows after the last watermark are still open."""
+    """Hourly rates of all closed windows; windows after the last watermark, ten days back, are still open."""
     path, table = landed(spark, sf_dir)
-    stream = live.flow_rates(live.packet_stream(spark, path, table.schema, "0 seconds", 1), "1 hour")
+    stream = live.flow_rates(live.packet_stream(spark, path, table.schema, DELAY, 1), "1 hour")
     out = fresh_path(spark, "rates")
     live.run_to_parquet(stream, out).awaitTermination()
     done = spark.read.schema(stream.schema).parquet(out)
+    columns = [c for c in done.columns if c not in ("window_start", "window_end")]
     return rounded(
         done.select(
             F.unix_micros("window_start").alias("window_us"),
-            *[c for c in done.columns if c not in ("window_start", "window_end")],
-        ),
-        DIGITS,
+            *[F.round(c, DURATION_DIGITS).alias(c) if "duration" in c else F.col(c) for c in columns],
+        )
     )
 
 
 def stream_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete count windows as the stream releases them, summed up per window."""
     path, table = landed(spark, sf_dir)
-    stream = live.closed_windows(live.packet_stream(spark, path, table.schema, "0 seconds", 1), LIVE, 10**9)
+    stream = live.closed_windows(live.packet_stream(spark, path, table.schema, DELAY, 1), LIVE, 10**9)
     out = fresh_path(spark, "closed")
     live.run_to_parquet(stream, out).awaitTermination()
     done = spark.read.schema(stream.schema).parquet(out)
@@ -73,7 +75,7 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = models.train(windows(spark, sf_dir), SMALL_FOREST, W, stored=True)
     path, table = landed(spark, sf_dir)
     out = fresh_path(spark, "verdicts")
-    packets = live.packet_stream(spark, path, table.schema, "0 seconds", 1)
+    packets = live.packet_stream(spark, path, table.schema, DELAY, 1)
     live.live_verdicts(packets, model, out, LIVE).awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
@@ -86,10 +88,10 @@ QUERIES = {
 }
 
 
-def _stats(name: str, x: str, whole: bool) -> str:
-    cast = "cast({} as bigint)" if whole else f"round({{}}, {DIGITS})"
+def _stats(name: str, x: str, whole: bool, digits: int = 6) -> str:
+    cast = "cast({} as bigint)" if whole else f"round({{}}, {digits})"
     return (
-        f"round(avg({x}), {DIGITS}) as {name}_mean, round(stddev_pop({x}), {DIGITS}) as {name}_std, "
+        f"round(avg({x}), {digits}) as {name}_mean, round(stddev_pop({x}), {digits}) as {name}_std, "
         f"{cast.format(f'max({x})')} as {name}_max, {cast.format(f'min({x})')} as {name}_min"
     )
 
@@ -98,13 +100,13 @@ ORACLES = {
     "stream_packets": on_packets("select packet_id, capture_file, packet_no, packet_length from numbered"),
     "stream_flow_rates": on_packets(
         f"""select window_us, capture_file, cast(sum(n) as bigint) as total_packets, cast(sum(bytes) as bigint) as total_bytes,
-              round(case when max(t1) > min(t0) then sum(n) / ((max(t1) - min(t0)) / 1e6) end, {DIGITS}) as packets_per_second,
-              round(case when max(t1) > min(t0) then sum(bytes) / ((max(t1) - min(t0)) / 1e6) end, {DIGITS}) as bytes_per_second,
+              round(case when max(t1) > min(t0) then sum(n) / ((max(t1) - min(t0)) / 1e6) end, 6) as packets_per_second,
+              round(case when max(t1) > min(t0) then sum(bytes) / ((max(t1) - min(t0)) / 1e6) end, 6) as bytes_per_second,
               count(*) filter (where is_flow) as flow_count,
               {_stats('packets_per_flow', 'case when is_flow then n end', True)},
               {_stats('bytes_per_flow', 'case when is_flow then bytes end', True)},
-              {_stats('flow_duration', 'case when is_flow and n > 1 and t1 > t0 then (t1 - t0) / 1e6 end', False)}
-            from hourly where window_us + 3600000000 <= (select max(ts_us) // 1000 * 1000 from packets)
+              {_stats('flow_duration', 'case when is_flow and n > 1 and t1 > t0 then (t1 - t0) / 1e6 end', False, DURATION_DIGITS)}
+            from hourly where window_us + 3600000000 <= (select max(ts_us) // 1000 * 1000 - 864000000000 from packets)
             group by window_us, capture_file""",
         """hourly as (select ts_us // 3600000000 * 3600000000 as window_us, capture_file, count(*) as n,
              sum(packet_length) as bytes, min(ts_us) as t0, max(ts_us) as t1, src_port is not null as is_flow
