@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trafficlens.catalog.fixture import PACKETS_SQL
+from trafficlens.catalog.shape import digits_of
 
 CAP = "capture_file"
 
@@ -13,10 +14,9 @@ def on_packets(body: str, *more: str) -> str:
 
 
 def four(name: str, x: str) -> str:
-    return (
-        f"round(avg({x}), 6) as {name}_mean, round(stddev_pop({x}), 6) as {name}_std, "
-        f"round(max({x}), 6) as {name}_max, round(min({x}), 6) as {name}_min"
-    )
+    digits = digits_of(f"{name}_mean")
+    functions = (("mean", "avg"), ("std", "stddev_pop"), ("max", "max"), ("min", "min"))
+    return ", ".join(f"round({f}({x}), {digits}) as {name}_{s}" for s, f in functions)
 
 
 def four_int(name: str, x: str) -> str:
@@ -67,10 +67,7 @@ IPS = "count(distinct ip_src) as unique_src_ips, count(distinct ip_dst) as uniqu
 GAPS = f"""gaps as (
   select *, (ts_us - lag(ts_us) over (partition by {CAP} order by ts_us, packet_id)) / 1e6 as g,
     (row_number() over (partition by {CAP} order by ts_us, packet_id) - 1) // 100 as window_no from packets)"""
-GAP_STATS = """
-  round(avg(g), 6) as inter_arrival_time_mean, round(stddev_pop(g), 6) as inter_arrival_time_std,
-  round(max(g), 6) as inter_arrival_time_max, round(min(g), 6) as inter_arrival_time_min,
-  round(stddev_pop(g) / avg(g), 6) as inter_arrival_time_cv"""
+GAP_STATS = four("inter_arrival_time", "g") + ", round(stddev_pop(g) / avg(g), 6) as inter_arrival_time_cv"
 COUNTED = f"""wins as (
   select {CAP}, window_no, count(*) as n, min(ts_us) as t0, max(ts_us) as t1,
     cast(sum(packet_length) as bigint) as bytes from gaps group by {CAP}, window_no),
@@ -164,7 +161,7 @@ from b2 b left join f using ({WKEY}) left join h1 using ({WKEY}) left join h2 us
         ('unique_src_ips', 'count(distinct ip_src)'),
         ('time_span', 'round((max(ts_us) - min(ts_us)) / 1e6, 6)'),
         ('packets_per_second', 'round(count(*) / ((max(ts_us) - min(ts_us)) / 1e6), 6)'),
-        ('inter_arrival_time_std', 'round(stddev_pop(g), 6)')))}
+        ('inter_arrival_time_std', 'round(stddev_pop(g), 3)')))}
       from lagged group by {WKEY})""",
     f"big as (select {WKEY} from w group by {WKEY} having count(*) >= 10)",
     f"wf as (select {WKEY}, count(*) as n from w join big using ({WKEY}) where src_port is not null and dst_port is not null group by {WKEY}, ip_src, ip_dst, src_port, dst_port, protocol)",

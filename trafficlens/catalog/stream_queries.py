@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trafficlens.catalog.feature_oracles import on_packets
 from trafficlens.catalog.fixture import numbered_packets
 from trafficlens.catalog.learning_queries import LIVE, SMALL_FOREST, W, windows
-from trafficlens.catalog.shape import rounded
+from trafficlens.catalog.shape import digits_of, rounded
 from trafficlens.learning import models
 from trafficlens.session import fresh_path
 from trafficlens.streaming import live
@@ -16,8 +16,6 @@ from trafficlens.streaming import live
 PARTS = 3
 # The packets land ten days at a time, in files of any order: nothing is later than that.
 DELAY = "10 days"
-# Means of a few whole microseconds often end on a half at the sixth digit or later.
-DURATION_DIGITS = 3
 
 
 def landed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
@@ -50,7 +48,7 @@ def stream_flow_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         done.select(
             F.unix_micros("window_start").alias("window_us"),
-            *[F.round(c, DURATION_DIGITS).alias(c) if "duration" in c else F.col(c) for c in columns],
+            *columns,
         )
     )
 
@@ -88,7 +86,8 @@ QUERIES = {
 }
 
 
-def _stats(name: str, x: str, whole: bool, digits: int = 6) -> str:
+def _stats(name: str, x: str, whole: bool) -> str:
+    digits = digits_of(f"{name}_mean")
     cast = "cast({} as bigint)" if whole else f"round({{}}, {digits})"
     return (
         f"round(avg({x}), {digits}) as {name}_mean, round(stddev_pop({x}), {digits}) as {name}_std, "
@@ -105,7 +104,7 @@ ORACLES = {
               count(*) filter (where is_flow) as flow_count,
               {_stats('packets_per_flow', 'case when is_flow then n end', True)},
               {_stats('bytes_per_flow', 'case when is_flow then bytes end', True)},
-              {_stats('flow_duration', 'case when is_flow and n > 1 and t1 > t0 then (t1 - t0) / 1e6 end', False, DURATION_DIGITS)}
+              {_stats('flow_duration', 'case when is_flow and n > 1 and t1 > t0 then (t1 - t0) / 1e6 end', False)}
             from hourly where window_us + 3600000000 <= (select max(ts_us) // 1000 * 1000 - 864000000000 from packets)
             group by window_us, capture_file""",
         """hourly as (select ts_us // 3600000000 * 3600000000 as window_us, capture_file, count(*) as n,

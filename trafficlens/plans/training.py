@@ -41,14 +41,15 @@ def features_of_folder(
     """Feature rows of every file of a folder.
 
     ``kind``: ``parquet``, ``csv`` or ``capture``. Without ``label`` the label follows
-    from the file names, and files that match no rule are left out.
+    from the file names, and files that match no rule are left out. Captures and CSV are
+    decoded once and landed, as the parts of a feature row each read the packets.
     """
     if kind == "capture":
-        packets = read_captures(spark, folder)
+        packets = store(read_captures(spark, folder), "packets")
     elif kind == "parquet":
         packets = tables.with_file(tables.read_parquet_dir(spark, folder))
     elif kind == "csv":
-        packets = tables.good_rows(tables.read_packets_csv(spark, folder))
+        packets = store(tables.good_rows(tables.read_packets_csv(spark, folder)), "packets")
     else:
         raise ValueError(f"unknown kind of folder: {kind}")
     if label is None:
