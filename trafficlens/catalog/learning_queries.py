@@ -399,6 +399,7 @@ ORACLES = {
         + ") where v > 0.01",
         WINDOWS,
     ),
+    "train_from_features": on_packets("select label, count(*) as count from win group by label", WINDOWS),
     "class_distribution": on_packets(
         "select prediction, count(*) as count from judged group by prediction", WINDOWS
     ),
