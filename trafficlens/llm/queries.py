@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import oracles, quality_rules
+from trafficlens.llm import oracles, packing, quality_rules, tokenfiles
 from trafficlens.llm.tables import store, table
 
 
@@ -19,8 +19,20 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as seekable token files and read back."""
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
+    "op4_best_fit_packing": packed,
+    "op5_token_files": token_output,
 }
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY,
