@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import oracles, packing, quality_rules, tokenfiles
+from trafficlens.llm import fingerprints, oracles, packing, quality_rules, tokenfiles
 from trafficlens.llm.tables import store, table
 
 
@@ -19,6 +19,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and the search of every twentieth id against all."""
+    return fingerprints.search(fingerprints.report(table(spark, sf_dir, "documents")))
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -31,6 +36,7 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": quality,
+    "op3_fingerprints": simhash,
     "op4_best_fit_packing": packed,
     "op5_token_files": token_output,
 }
