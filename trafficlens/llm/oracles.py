@@ -53,3 +53,19 @@ select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
   not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by
 from f left join hits using (doc_id)
 """
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# Five hex digits are four letters of base 32.
+_DIGEST = " || ".join(
+    f"substr('{_BASE32}', 1 + cast((cast('0x' || substr(x, {5 * i + 1}, 5) as bigint) >> {shift}) & 31 as integer), 1)"
+    for i in range(8) for shift in (15, 10, 5, 0)
+)
+
+WARC = f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as x from pages),
+d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, {_DIGEST} as payload_digest,
+  min(page_id) over (partition by html) as original from p)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = original then 'response' else 'revisit' end as record_type,
+  case when page_id <> original then original end as refers_to from d
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import fingerprints, oracles, packing, quality_rules, tokenfiles
+from trafficlens.llm import fingerprints, oracles, packing, quality_rules, tokenfiles, warc
 from trafficlens.llm.tables import store, table
 
 
@@ -34,12 +34,19 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
 
 
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by byte ranges."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op3_fingerprints": simhash,
     "op4_best_fit_packing": packed,
     "op5_token_files": token_output,
+    "op7_warc": archives,
 }
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY,
+    "op7_warc": oracles.WARC,
 }
