@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import fingerprints, oracles, packing, quality_rules, tokenfiles, warc
+from trafficlens.llm import bpe, fingerprints, oracles, packing, quality_rules, tokenfiles, warc
 from trafficlens.llm.tables import store, table
 
 
@@ -39,12 +39,18 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents from shared chunks, decoded again."""
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op3_fingerprints": simhash,
     "op4_best_fit_packing": packed,
     "op5_token_files": token_output,
     "op7_warc": archives,
+    "op9_bpe": bpe_digests,
 }
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY,

@@ -100,6 +100,16 @@ class WordEncoder:
                 held, size = [], 0
         yield from self._encode_block(held)
 
+    def short(self, text: str) -> bytes:
+        """Ids of a few words."""
+        if ODD_SPACE.search(text):
+            return self.whole(text)
+        words = text.split()
+        missing = {w for w in words if w not in self.known}
+        if missing:
+            self._learn(missing)
+        return b"".join([self.known[w] for w in words])
+
     def _encode_block(self, held: list[list[str] | str]) -> Iterator[bytes]:
         if len(self.known) > MAX_WORDS:
             self.known.clear()
@@ -107,7 +117,7 @@ class WordEncoder:
         for words in held:
             if not isinstance(words, str):
                 missing.update(words)
-        missing.difference_update(self.known)
+        missing = {w for w in missing if w not in self.known}
         if missing:
             self._learn(missing)
         get = self.known.__getitem__
