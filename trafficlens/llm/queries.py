@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import bpe, fingerprints, oracles, packing, quality_rules, tokenfiles, warc
+from trafficlens.llm import bpe, classifier, fingerprints, oracles, packing, quality_rules, tokenfiles, warc
 from trafficlens.llm.tables import store, table
 
 
@@ -44,6 +44,11 @@ def bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's score of every document."""
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op3_fingerprints": simhash,
@@ -51,6 +56,7 @@ QUERIES = {
     "op5_token_files": token_output,
     "op7_warc": archives,
     "op9_bpe": bpe_digests,
+    "op10_rule_classifier": classified,
 }
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY,
