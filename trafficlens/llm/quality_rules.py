@@ -15,7 +15,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.textstats import text_stats
@@ -122,15 +122,17 @@ def calibrate(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     grid = F.create_map(*[x for rule, cutoffs in GRID.items() for x in (F.lit(rule), F.array(*map(F.lit, cutoffs)))])
     tests = (
         pooled.select("stratum", "rule", "levels", "n_good", F.posexplode(grid[F.col("rule")]).alias("j", "cutoff"))
-        # Scores above the cutoff: the lenient cutoffs come first, so a score above the j-th is above j + 1 at least.
-        .withColumn("n_rejected", F.aggregate(F.filter("levels", lambda x: x["above"] > F.col("j")), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+        # The cutoffs fall, so a score above the j-th is above all that follow: above len - j cutoffs at least.
+        .withColumn("least", F.size(grid[F.col("rule")]) - F.col("j"))
+        .withColumn("n_rejected", F.aggregate(F.filter("levels", lambda x: x["above"] >= F.col("least")), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     )
-    strata = pooled.groupBy().agg((F.count_distinct("stratum") * len(GRID)).alias("n_tests"), F.lit(1).alias("one"))
+    # Every stratum has a row for each rule, so the rows of a rule are the strata.
+    n_tests = F.count(F.lit(1)).over(Window.partitionBy("rule", "j")) * len(GRID)
     passed = (
-        tests.withColumn("one", F.lit(1)).join(F.broadcast(strata), "one")
+        tests.withColumn("n_tests", n_tests)
         .withColumn("p_value", binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha))
         .where(F.col("p_value") <= F.lit(delta) / F.col("n_tests"))
-    )
+    )
     best = F.max_by(F.struct("n_good", "n_rejected", "p_value", "cutoff"), "j").alias("best")
     return passed.groupBy("stratum", "rule").agg(best).select("stratum", "rule", "best.*")
 
@@ -143,7 +145,8 @@ def judge(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
     table = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("own"))
     own = F.broadcast(table)
     rest = F.broadcast(table.where(F.col("stratum") == POOLED).select(F.col("own").alias("rest"), F.col("stratum").alias("pooled")))
-    joined = scored.withColumn("pooled", F.lit(POOLED)).join(own, "stratum", "left").join(rest, "pooled", "left")
+    joined = scored.join(own, "stratum", "left")
+    joined = joined.withColumn("pooled", F.when(F.col("own").isNull(), F.lit(POOLED))).join(rest, "pooled", "left")
     limits = F.coalesce("own", "rest")
     rejecting = F.array_compact(F.array(*[
         F.when(F.col(f"scores.{rule}") > limits[rule], F.lit(rule)) for rule in GRID
