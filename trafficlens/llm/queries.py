@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import bpe, classifier, fingerprints, oracles, packing, quality_rules, tokenfiles, warc
+from trafficlens.llm import bpe, classifier, fingerprints, oracles, packing, pii, quality_rules, tokenfiles, warc
 from trafficlens.llm.tables import store, table
 
 
@@ -39,6 +39,11 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data found in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents from shared chunks, decoded again."""
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_best_fit_packing": packed,
     "op5_token_files": token_output,
     "op7_warc": archives,
+    "op8_personal_data": personal,
     "op9_bpe": bpe_digests,
     "op10_rule_classifier": classified,
 }
