@@ -69,3 +69,17 @@ select page_id, payload_bytes, payload_digest,
   case when page_id = original then 'response' else 'revisit' end as record_type,
   case when page_id <> original then original end as refers_to from d
 """
+
+JACCARD = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as x from d),
+e as (select doc_id, len(x) as n, unnest(x) as shingle from s),
+pairs as (select a.doc_id as a, b.doc_id as b from e a join e b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reach(doc_id, other) as (select doc_id, doc_id from s union select reach.doc_id, links.b from reach join links on links.a = reach.other)
+select doc_id, cast(len(x) as bigint) as n_shingles, r.component_id
+from s join (select doc_id, min(other) as component_id from reach group by doc_id) r using (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import bpe, classifier, fingerprints, oracles, packing, pii, quality_rules, tokenfiles, warc
+from trafficlens.llm import bpe, classifier, fingerprints, jaccard, oracles, packing, pii, quality_rules, tokenfiles, warc
 from trafficlens.llm.tables import store, table
 
 
@@ -34,6 +34,11 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"))
 
 
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of those they are linked to."""
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back by byte ranges."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -59,6 +64,7 @@ QUERIES = {
     "op3_fingerprints": simhash,
     "op4_best_fit_packing": packed,
     "op5_token_files": token_output,
+    "op6_jaccard_join": linked,
     "op7_warc": archives,
     "op8_personal_data": personal,
     "op9_bpe": bpe_digests,
@@ -66,5 +72,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY,
+    "op6_jaccard_join": oracles.JACCARD,
     "op7_warc": oracles.WARC,
 }
