@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trafficlens.llm import bpe, classifier, fingerprints, jaccard, oracles, packing, pii, quality_rules, tokenfiles, warc
 from trafficlens.llm.tables import store, table
 
@@ -69,6 +70,7 @@ QUERIES = {
     "op8_personal_data": personal,
     "op9_bpe": bpe_digests,
     "op10_rule_classifier": classified,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY,
