@@ -15,8 +15,8 @@ import numpy as np
 #: Python cuts at these four controls, the tokenizer does not: such texts are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Most words a worker remembers; then it starts anew.
-MAX_WORDS = 500_000
+#: Words a worker remembers; then it starts anew, and keeps the words before as a second choice.
+MAX_WORDS = 600_000
 #: Characters whose words are held at once.
 BLOCK_CHARS = 2_000_000
 
@@ -52,6 +52,7 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -71,22 +72,39 @@ class WordEncoder:
                 self.known[word] = raw[4 * at : 4 * cut]
                 at = cut
 
-    def _learn(self, missing: set[str]) -> None:
-        known, later, base = self.known, [], set()
+    def _learn(self, missing: Iterable[str]) -> None:
+        known, later, odd, base = self.known, [], [], set()
         for word in missing:
+            if word.isascii() and word.islower() and word.isalpha():
+                base.add(word)
+                continue
             stem = word[:-1] if word[-1] in ".," else word
             if stem and PLAIN.fullmatch(stem):
-                base.add(stem.lower())
-                later.append((word, stem.lower(), word[len(stem) :]))
+                lower = stem.lower()
+                base.add(lower)
+                later.append((word, lower, word[len(stem) :]))
             else:
-                known[word] = self.whole(word)
+                odd.append(word)
+        odd += [mark for mark in (".", ",") if mark not in known]
+        if odd:
+            found = self.tokenizer.encode_batch(odd, add_special_tokens=False)
+            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(odd, found))
+        self._recall(base)
         self._learn_plain([w for w in base if w not in known])
-        for mark in (".", ","):
-            if mark not in known:
-                known[mark] = self.whole(mark)
         for word, stem, mark in later:
             known[word] = known[stem] + known[mark] if mark else known[stem]
 
+    def _recall(self, words: Iterable[str]) -> None:
+        """What was known before the last start anew is known again."""
+        older = self.older
+        self.known.update((w, older[w]) for w in words if w in older)
+
+    def _need(self, words: Iterable[str]) -> None:
+        missing = {w for w in words if w not in self.known}
+        if missing:
+            self._recall(missing)
+            self._learn([w for w in missing if w not in self.known])
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
         held: list[list[str] | str] = []
@@ -105,21 +123,17 @@ class WordEncoder:
         if ODD_SPACE.search(text):
             return self.whole(text)
         words = text.split()
-        missing = {w for w in words if w not in self.known}
-        if missing:
-            self._learn(missing)
+        self._need(words)
         return b"".join([self.known[w] for w in words])
 
     def _encode_block(self, held: list[list[str] | str]) -> Iterator[bytes]:
         if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        missing: set[str] = set()
+            self.older, self.known = self.known, {}
+        present: set[str] = set()
         for words in held:
             if not isinstance(words, str):
-                missing.update(words)
-        missing = {w for w in missing if w not in self.known}
-        if missing:
-            self._learn(missing)
+                present.update(words)
+        self._need(present)
         get = self.known.__getitem__
         for words in held:
             yield self.whole(words) if isinstance(words, str) else b"".join(map(get, words))
