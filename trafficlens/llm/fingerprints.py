@@ -11,7 +11,8 @@ fingerprint probes each table with its own prefix: no pair is missed. A pair is
 
 Defined cases: a null or empty text (or one without words) has the fingerprint 0. The next document of the last one is
 the first. Repeated rows of a doc_id: each gets a row; the next document of every one of them is the next *different* doc_id,
-with the smallest text of its rows (near_next: the row of fewest characters). A null doc_id comes before all others and counts as one id.
+with the smallest text of its rows (near_next: the row of fewest characters). A null doc_id comes before all others, counts as one
+id and is not distinguished from the smallest long; it is never a query of the search.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SHINGLE = 5
 FIELD = 21
 MASK = 1 | 1 << FIELD | 1 << 2 * FIELD
 SEGMENT = 1 << 20
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 RADIUS = 3
 BLOCKS = 5
 
@@ -77,53 +80,45 @@ def text_of(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), BITS // 4, "0")
 
 
-def following(docs: DataFrame) -> DataFrame:
-    """from_id and next_id, the following distinct doc_id (of the last: the first), without gathering all ids in a task.
+def following(ids: DataFrame) -> DataFrame:
+    """id and next_id, the following id (of the last: the first) for distinct ids, without gathering all in a task.
 
     Ids are dealt by ranges; inside a range the next id follows by a window, and the last of a range takes the first of
     the next range that has any.
     """
-    ids = docs.select("doc_id").distinct()
-    width = shuffle_width(docs.sparkSession)
-    ranged = ids.repartitionByRange(width, "doc_id").withColumn("part", F.spark_partition_id())
+    width = shuffle_width(ids.sparkSession)
+    ranged = ids.repartitionByRange(width, "id").withColumn("part", F.spark_partition_id())
     ranged = store(ranged, "id-ranges")  # the numbers of the ranges must not change between the uses below
-    inside = ranged.withColumn("next", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    inside = inside.withColumn("is_last", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("doc_id"))) == 1)
-    # One row per range from here on.
-    firsts = ranged.groupBy("part").agg(F.struct(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("has_null")).alias("f"))
-    firsts = firsts.select("part", F.when(F.col("f.has_null"), F.lit(None)).otherwise(F.col("f.id")).alias("first"))
+    inside = ranged.withColumn("next", F.lead("id").over(Window.partitionBy("part").orderBy("id")))
+    firsts = ranged.groupBy("part").agg(F.min("id").alias("first"))  # one row per range
     ordered = Window.orderBy("part")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select(
-        "part",
-        F.when(F.lead("part").over(ordered).isNull(), F.first("first").over(whole)).otherwise(F.lead("first").over(ordered)).alias("after"),
-    )
-    return inside.join(after, "part").select(F.col("doc_id").alias("from_id"), F.when(F.col("is_last"), F.col("after")).otherwise(F.col("next")).alias("next_id"))
+    after = firsts.select("part", F.coalesce(F.lead("first").over(ordered), F.first("first").over(whole)).alias("after"))
+    return inside.join(after, "part").select("id", F.coalesce("next", "after").alias("next_id"))
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id, n_chars, text and edited of every row.
+    """id (doc_id, NO_ID for null), next_id, n_chars, text and edited of every row.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next document.
-    Texts are shuffled by doc_id once, and the needed beginnings once more.
+    Texts are shuffled by id once (both joins use that shuffle, and all that follows per id stays in place), and the needed
+    beginnings once more.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    links = following(docs)
-    wanted = (
-        texts.groupBy(F.col("doc_id").alias("to_id")).agg(F.max(F.length("text")).alias("n"))
-        .join(links, F.col("to_id").eqNullSafe(F.col("from_id")))
-        .select("to_id", "next_id", F.floor(F.col("n") / 2).cast("int").alias("cut"))
-    )
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.groupBy("id").agg(F.max(F.length("text")).alias("n"))
+    wanted = sizes.join(following(texts.select("id").distinct()), "id").select(
+        F.col("id").alias("to_id"), "next_id", F.floor(F.col("n") / 2).cast("int").alias("cut")
+    )
     beginnings = (
-        wanted.join(texts, F.col("next_id").eqNullSafe(F.col("doc_id")))
+        wanted.join(texts, F.col("next_id") == F.col("id"))
         .select("to_id", "next_id", F.substring("text", F.lit(1), F.col("cut")).alias("beginning"))
-        .groupBy("to_id", "next_id").agg(F.min("beginning").alias("beginning"))
+        .groupBy("to_id").agg(F.min("beginning").alias("beginning"), F.max("next_id").alias("next_id"))
     )
-    joined = texts.join(beginnings, F.col("doc_id").eqNullSafe(F.col("to_id")))
+    joined = texts.join(beginnings, F.col("id") == F.col("to_id"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("beginning"), F.lit(1), half))
-    return joined.select("doc_id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    return joined.select("id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
 
 def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -156,12 +151,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id, n_chars, edited_sha256, own and edit (the two fingerprints) of every row, as a stored table."""
+    """id, next_id, n_chars, edited_sha256, own and edit (the two fingerprints) of every row, as a stored table."""
     both = with_edited(docs).select(
-        "doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("text_hash"),
+        "id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("text_hash"),
         F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("t"),
     )
-    keys = ["doc_id", "next_id", "n_chars", "edited_sha256", "text_hash"]
+    keys = ["id", "next_id", "n_chars", "edited_sha256", "text_hash"]
     # Equal rows share a key; their votes are then a multiple of one row's, with the same majority.
     printed = fingerprints(both.select(*keys, "t.kind", "t.text"), *keys, "kind")
     rows = printed.groupBy(*keys).agg(
@@ -176,17 +171,18 @@ def report(docs: DataFrame) -> DataFrame:
 def search(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Likenesses of each row of ``report``; n_near: for ids divisible by 20, the other rows within ``radius`` bits."""
     by_print = rows.groupBy(F.col("own").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n_rows"))
-    asked = rows.where(F.col("doc_id") % 20 == 0).select(F.col("own").alias("fingerprint")).distinct()
+    asking = F.col("id") % 20 == 0
+    asked = rows.where(asking & (F.col("id") != NO_ID)).select(F.col("own").alias("fingerprint")).distinct()
     found = near(by_print.select("fingerprint"), asked, radius).join(by_print, "fingerprint")
     n_near = found.groupBy("query").agg((F.sum("n_rows") - 1).alias("n_near"))
-    next_print = rows.groupBy(F.col("doc_id").alias("after_id")).agg(F.min(F.struct("n_chars", "own")).alias("x")).select("after_id", F.col("x.own").alias("after"))
+    next_print = rows.groupBy(F.col("id").alias("after_id")).agg(F.min(F.struct("n_chars", "own")).alias("x")).select("after_id", F.col("x.own").alias("after"))
     return (
-        rows.join(next_print, F.col("next_id").eqNullSafe(F.col("after_id")), "left")
-        .join(n_near, F.col("own") == F.col("query"), "left")
+        rows.join(next_print, F.col("next_id") == F.col("after_id"))
+        .join(n_near, F.when(asking, F.col("own")) == F.col("query"), "left")
         .select(
-            "doc_id", "n_chars", "edited_sha256",
+            F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256",
             text_of(F.col("own")).alias("fingerprint"), text_of(F.col("edit")).alias("edited_fingerprint"),
             likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
-            F.when(F.col("doc_id") % 20 == 0, F.col("n_near")).alias("n_near"),
+            "n_near",
         )
     )
