@@ -224,6 +224,16 @@ ORACLES: dict[str, str] = {
               round(count(*) * 1e0 / sum(count(*)) over (partition by {CAP}), 6) as ratio
             from packets group by {CAP}, protocol"""
     ),
+    "protocol_ratio_many": """select l_returnflag, cast(cast(l_orderkey % 1000 as int) as varchar) as protocol,
+        round(count(*) * 1e0 / sum(count(*)) over (partition by l_returnflag), 6) as ratio
+      from lineitem group by l_returnflag, l_orderkey % 1000""",
+    "null_times": on_packets(
+        f"""select {CAP}, pos // 20 as window_no, count(*) as n, min(t) as t0, max(t) as t1,
+              cast(sum(packet_length) as bigint) as bytes, count(t - before) as gaps
+            from (select *, row_number() over w - 1 as pos, lag(t) over w as before
+                  from (select *, case when packet_id % 7 <> 0 then ts_us end as t from packets)
+                  window w as (partition by {CAP} order by t nulls last, packet_id)) group by {CAP}, pos // 20"""
+    ),
     "flag_ratios": on_packets(f"select {CAP}, {FLAGS} from packets group by {CAP}"),
     "length_stats": on_packets(f"select {CAP}, {LENGTH} from packets group by {CAP}"),
     "length_percentiles": on_packets(f"select {CAP}, {PERCENTILES} from packets group by {CAP}"),

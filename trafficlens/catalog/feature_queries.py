@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trafficlens.catalog.fixture import numbered_packets, packets, table
 from trafficlens.catalog.shape import rounded
 from trafficlens.functions import expressions as X
-from trafficlens.operators import assemble, counted, flows, lengths, livewindows, tallies, timing
+from trafficlens.operators import assemble, counted, flows, lengths, livewindows, statistical, tallies, timing
 from trafficlens.schema import FIXED_FEATURES, MAP_FEATURES
 
 E = ["capture_file"]
@@ -133,6 +133,19 @@ def count_windows(p: DataFrame) -> DataFrame:
     return w.select(*E, "window_no", "n", "t0", "t1", "bytes")
 
 
+def null_times(p: DataFrame) -> DataFrame:
+    """Windows of packets some of which have no time: those come last."""
+    partly = p.withColumn("ts_us", F.when(F.col("packet_id") % 7 != 0, F.col("ts_us")))
+    return timing.time_windows(partly, E, 20, TIE).select(*E, "window_no", "n", "t0", "t1", "bytes", "gaps")
+
+
+def protocol_ratio_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of protocols where a column has more values than there are protocol numbers."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_orderkey") % 1000).cast("int").alias("protocol"))
+    maps = statistical.ratio_maps(lines, ["l_returnflag"])
+    return rounded(maps.select("l_returnflag", F.explode("protocol_ratio").alias("protocol", "ratio")))
+
+
 def time_part(prefix: str) -> Callable[[DataFrame], DataFrame]:
     def operator(p: DataFrame) -> DataFrame:
         all_features = timing.time_features(p, E, tie=TIE)
@@ -203,6 +216,8 @@ QUERIES: dict[str, Query] = {
     "entropy": entropy_lineitem,
     "basic_counts": on_packets(lambda p: lengths.basic_counts(p, E)),
     "protocol_ratio": on_packets(protocol_ratio),
+    "protocol_ratio_many": protocol_ratio_many,
+    "null_times": on_packets(null_times),
     "flag_ratios": on_packets(lambda p: counted.flag_ratios(p, E)),
     "length_stats": on_packets(lambda p: lengths.length_stats(p, E)),
     "length_percentiles": on_packets(lambda p: lengths.length_percentiles(p, E)),

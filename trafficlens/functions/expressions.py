@@ -97,6 +97,14 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]+)$", 1)
 
 
+def path_below(path: Column, depth: int) -> Column:
+    """The address below a folder of ``depth`` parts, which tells files of one name in several folders apart."""
+    inner = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    parts = F.filter(F.split(inner, "/"), lambda p: p != "")
+    below = F.array_join(F.slice(parts, F.lit(depth + 1), F.greatest(F.size(parts), F.lit(1))), "/")
+    return F.when(below == "", file_name(path)).otherwise(below)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]*)$", 1))
 

@@ -39,7 +39,7 @@ def extract_features(
     by: Sequence[str] = ENTITY,
     settings: FeatureSettings | None = None,
     tie: Sequence[str] = ("packet_no",),
-    strategy: str = "auto",
+    strategy: str = "range",
     minimum: int = MIN_PACKETS,
 ) -> DataFrame:
     """One feature row per group, for all groups at once.

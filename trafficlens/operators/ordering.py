@@ -1,9 +1,7 @@
 """Exact consecutive positions within a group, also when one group holds most rows.
 
-``row_number`` over a group sorts that whole group in one task. That is the best plan
-while every group is small, and it cannot work for a group of billions of rows. So the
-largest group is counted first (a partial aggregate on the group columns only), and
-large groups take the range route:
+``row_number`` over a group sorts that whole group in one task, which cannot work for a group of billions of
+rows. So positions come from ranges, whatever the sizes:
 
 1. range-partition on (group, order) and sort inside the partitions. The keys are
    unique, so Spark's sampled bounds cut a hot group into equal parts;
@@ -12,11 +10,13 @@ large groups take the range route:
 3. count rows per (partition, group): one row for each piece, from which the running
    offset of each piece follows;
 4. position = row in the piece + offset of the piece.
+
+A caller that knows its groups to be small (windows of packets, say) may ask for one sort per group instead
+(``strategy="window"``). Missing values of the order come last in both.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,14 +24,9 @@ from pyspark.sql import functions as F
 
 from trafficlens.session import store
 
-MAX_ROWS_PER_TASK = 4_000_000
-
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
-    """(rows in the largest group, rows in all); two numbers come back to the driver."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else df.agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return int(row["largest"] or 0), int(row["total"] or 0)
+def in_order(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in order]
 
 
 def with_position(
@@ -39,31 +34,25 @@ def with_position(
     by: Sequence[str],
     order: Sequence[str],
     out: str = "position",
-    strategy: str = "auto",
-    max_rows: int = MAX_ROWS_PER_TASK,
-    total: int | None = None,
+    strategy: str = "range",
+    parts: int | None = None,
 ) -> DataFrame:
-    """Add the 0-based position of each row in its group, in ``order``.
+    """Add the 0-based position of each row in its group, in ``order``, missing values last.
 
     ``order`` must identify a row within its group, otherwise ties are broken at will.
-    ``strategy``: ``window`` (one sort per group), ``range`` (balanced), or ``auto``.
-    ``total`` is the number of rows, where the caller knows it.
+    ``strategy``: ``range`` (balanced; stores the rows) or ``window`` (one sort per group, for groups known to be
+    small). ``parts``: number of ranges, by default that of shuffle partitions.
     """
-    if strategy == "auto":
-        largest, total = largest_group(df, by)
-        strategy = "window" if largest <= max_rows else "range"
     if strategy == "window":
-        window = Window.partitionBy(*by).orderBy(*order)
+        window = Window.partitionBy(*by).orderBy(*in_order(order))
         return df.withColumn(out, (F.row_number().over(window) - 1).cast("bigint"))
-    if total is None:
-        total = df.count()
-    return _by_range(df, by, order, out, max(1, math.ceil(total / max_rows)))
+    if strategy != "range":
+        raise ValueError(f"unknown strategy: {strategy}")
+    return _by_range(df, by, order, out, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _by_range(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, pieces: int) -> DataFrame:
-    spark = df.sparkSession
-    parts = max(pieces, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys: list[Column] = [F.col(c) for c in (*by, *order)]
+def _by_range(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, parts: int) -> DataFrame:
+    keys = [*[F.col(c) for c in by], *in_order(order)]
     ordered = (
         df.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)

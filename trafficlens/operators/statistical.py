@@ -11,7 +11,6 @@ from trafficlens.operators.tallies import value_freq
 
 TOP_K = 5
 TOP_COLUMNS = ("tcp_flags", "icmp_type", "http_method")
-PROTOCOL_NUMBERS = 256
 
 
 def map_columns(columns: Sequence[str], top: bool = True) -> list[str]:
@@ -22,16 +21,13 @@ def map_columns(columns: Sequence[str], top: bool = True) -> list[str]:
 def count_maps(packets: DataFrame, by: Sequence[str], columns: Sequence[str], k: int = TOP_K) -> DataFrame:
     """``<column>_counts``: how often each protocol and the ``k`` most frequent other values occur.
 
-    A protocol number has 8 bits, so rank 256 keeps every protocol; that rank bound also
-    lets Spark cut each group before the exchange of the ranking.
+    Protocols are not ranked, as all of them stay; the rank bound of the others lets Spark cut each
+    group before the exchange of the ranking.
     """
     best = Window.partitionBy(*by, "col").orderBy(F.desc("n"), F.asc("val"))
-    kept = (
-        value_freq(packets, by, columns)
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= PROTOCOL_NUMBERS)
-        .where((F.col("col") == "protocol") | (F.col("rank") <= k))
-    )
+    frequencies = value_freq(packets, by, columns)
+    ranked = frequencies.where(F.col("col") != "protocol").withColumn("rank", F.row_number().over(best))
+    kept = ranked.where(F.col("rank") <= k).drop("rank").unionByName(frequencies.where(F.col("col") == "protocol"))
     entries = [
         F.expr(f"map_from_entries(sort_array(collect_list(struct(val, n)) filter (where col = '{c}'))) as {c}_counts")
         for c in columns

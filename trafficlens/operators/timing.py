@@ -1,9 +1,8 @@
 """Time features: span, rates, inter-arrival times and fixed-count windows.
 
-Packets are put in time order per group. While the largest group fits one task this is
-one shuffle and one sort; otherwise positions come from the range route of ``ordering``
+Packets are put in time order per group, those without a time last. Positions come from the range route of ``ordering``
 and the work is cut into chunks of consecutive positions, so that a single capture is
-spread over many tasks.
+spread over many tasks. Groups known to be small may be sorted one by one (``strategy="window"``).
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.operators.counted import aggregates
-from trafficlens.operators.ordering import MAX_ROWS_PER_TASK, largest_group, with_position
+from trafficlens.operators.ordering import in_order, with_position
 
 MICROS = 1e6
 WINDOWS_PER_CHUNK = 10_000
@@ -29,8 +28,7 @@ def time_windows(
     by: Sequence[str],
     window_size: int = 100,
     tie: Sequence[str] = ("packet_no",),
-    strategy: str = "auto",
-    max_rows: int = MAX_ROWS_PER_TASK,
+    strategy: str = "range",
     windows_per_chunk: int = WINDOWS_PER_CHUNK,
 ) -> DataFrame:
     """Consecutive windows of ``window_size`` packets in time order, one row each.
@@ -41,15 +39,11 @@ def time_windows(
     known_length = _has_length(packets)
     order = ["ts_us", *tie]
     narrow = packets.select(*by, *order, *(["packet_length"] if known_length else []))
-    total = None
-    if strategy == "auto":
-        largest, total = largest_group(narrow, by)
-        strategy = "window" if largest <= max_rows else "range"
     if strategy == "window":
         group = list(by)
-        in_order = Window.partitionBy(*by).orderBy(*order)
-        steps = narrow.withColumn("_pos", F.row_number().over(in_order) - 1).withColumn(
-            "_gap", F.col("ts_us") - F.lag("ts_us").over(in_order)
+        by_time = Window.partitionBy(*by).orderBy(*in_order(order))
+        steps = narrow.withColumn("_pos", F.row_number().over(by_time) - 1).withColumn(
+            "_gap", F.col("ts_us") - F.lag("ts_us").over(by_time)
         )
     else:
         group = [*by, "_chunk"]
@@ -57,11 +51,11 @@ def time_windows(
         chunk = F.floor(F.col("_pos") / chunk_rows).cast("bigint")
         # The last packet of a chunk is also handed to the next one, to give its first gap.
         carried = F.when(F.pmod(F.col("_pos") + 1, F.lit(chunk_rows)) == 0, F.array(chunk, chunk + 1))
-        in_order = Window.partitionBy(*group).orderBy("_pos")
+        by_place = Window.partitionBy(*group).orderBy("_pos")
         steps = (
-            with_position(narrow, by, order, "_pos", strategy="range", max_rows=max_rows, total=total)
+            with_position(narrow, by, order, "_pos", strategy)
             .withColumn("_chunk", F.explode(F.coalesce(carried, F.array(chunk))))
-            .withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(in_order))
+            .withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(by_place))
             .where(F.col("_chunk") == chunk)
         )
     size = "sum(cast(packet_length as bigint))" if known_length else "cast(null as bigint)"
@@ -141,7 +135,7 @@ def time_features(
     by: Sequence[str],
     window_size: int = 100,
     tie: Sequence[str] = ("packet_no",),
-    strategy: str = "auto",
+    strategy: str = "range",
     **limits: int,
 ) -> DataFrame:
     windows = time_windows(packets, by, window_size, tie, strategy, **limits)

@@ -56,6 +56,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def folder_depth(spark: SparkSession, folder: str) -> int:
+    """Number of parts of the folder's full path, whichever file system it is on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return len([p for p in system.makeQualified(path).toUri().getPath().split("/") if p])
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
