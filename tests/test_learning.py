@@ -251,11 +251,15 @@ def test_sinks(spark, features, packets, tmp_path):
     assert spark.read.parquet(landed).where("day = '2023-11-14'").count() == packets.count()
 
 
-def test_broken_files_do_not_stop_a_folder(spark, packets, tmp_path):
+def test_broken_files_are_an_error_or_have_a_status(spark, packets, tmp_path):
     packets.select("packet_no", "ttl").limit(7).toPandas().to_parquet(tmp_path / "good.parquet")
     (tmp_path / "bad.parquet").write_bytes(b"PAR1 this is not parquet PAR1")
-    table = tables.read_parquet_dir(spark, tmp_path.as_uri(), schema=packets.select("packet_no", "ttl").schema)
-    assert table.count() == 7
+    schema = packets.select("packet_no", "ttl").schema
+    with pytest.raises(Exception):
+        tables.read_parquet_dir(spark, tmp_path.as_uri(), schema=schema).count()
+    assert tables.read_parquet_dir(spark, tmp_path.as_uri(), True, schema).count() == 7
+    status = {r["capture_file"]: (r["status"], r["rows"], r["error"]) for r in tables.table_status(spark, tmp_path.as_uri()).collect()}
+    assert status == {"good.parquet": ("ok", 7, None), "bad.parquet": ("error", 0, "no readable rows")}
 
 
 def test_csv_with_bad_lines_and_short_schema(spark, tmp_path):
@@ -266,6 +270,8 @@ def test_csv_with_bad_lines_and_short_schema(spark, tmp_path):
     rows = tables.good_rows(raw).collect()
     assert len(rows) == 1 and rows[0]["capture_file"] == "a.csv" and rows[0]["dns_query"] is None
     assert rows[0]["timestamp"].timestamp() == 1.5 and rows[0]["udp_length"] is None
+    status = tables.table_status(spark, tmp_path.as_uri(), "csv", head.split(",")).collect()
+    assert [tuple(r) for r in status] == [("a.csv", "error", 1, "1 lines do not fit")]
 
 
 def test_lines_are_numbered_in_file_order(spark, tmp_path):

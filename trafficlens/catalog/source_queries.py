@@ -9,15 +9,21 @@ from trafficlens.catalog.encode import capture_blobs
 from trafficlens.catalog.feature_oracles import on_packets
 from trafficlens.catalog.fixture import numbered_packets, packets
 from trafficlens.catalog.shape import rounded
+from trafficlens.functions.expressions import file_name
 from trafficlens.operators import counted
 from trafficlens.schema import PACKET_FIELDS
-from trafficlens.session import fresh_path
+from trafficlens.session import fresh_path, store
 from trafficlens.sources import captures, sinks, tables
 
 E = ["capture_file"]
 
 
 def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file, all of it."""
+    return tables.read_parquet(spark, f"{sf_dir}/lineitem.parquet")
+
+
+def scan_parquet_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file; the filter and the four columns reach the scan."""
     lines = tables.read_parquet(spark, f"{sf_dir}/lineitem.parquet")
     return lines.where(F.col("l_quantity") > 45).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
@@ -90,10 +96,34 @@ def capture_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.status_of_pieces(captures.pieces_of_contents(broken))
 
 
+def same_name_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of one name in many folders stay apart: packets and status of each."""
+    blobs = store(
+        capture_blobs(numbered_packets(spark, sf_dir)).withColumn("path", F.concat(F.lit("file:/landed/"), file_name(F.col("path")), F.lit("/x.pcap"))), "blobs"
+    )
+    counts = captures.packets_of_frames(captures.frames_of_contents(blobs), 1).groupBy(*E).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(captures.status_of_pieces(captures.pieces_of_contents(blobs), 1), E).select(*E, "n", "packets", "status")
+
+
+def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of packet files one of which is no Parquet file, by status."""
+    folder = fresh_path(spark, "packets")
+    packets(spark, sf_dir).write.parquet(folder)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/broken.parquet")
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(b"no table"))
+    stream.close()
+    return tables.table_status(spark, folder).groupBy("status", "error").agg(F.sum("rows").alias("rows"))
+
+
 FILE = "lpad(cast(packet_no // 1000 as varchar), 9, '0') || '_' || capture_file"
 
 QUERIES = {
     "scan_parquet": scan_parquet,
+    "scan_parquet_pushed": scan_parquet_pushed,
+    "same_name_captures": same_name_captures,
+    "table_status": table_status,
     "scan_parquet_dir": scan_parquet_dir,
     "scan_csv_roundtrip": scan_csv_roundtrip,
     "label_by_dir": label_by_dir,
@@ -104,7 +134,16 @@ QUERIES = {
 }
 
 ORACLES = {
-    "scan_parquet": "select l_orderkey, l_linenumber, l_quantity, l_returnflag from lineitem where l_quantity > 45",
+    "scan_parquet": "select * from lineitem",
+    "same_name_captures": on_packets(
+        f"""select {FILE} || '/x.pcap' as capture_file, count(*) as n, count(*) as packets, 'ok' as status
+            from numbered group by 1"""
+    ),
+    "table_status": on_packets(
+        """select 'ok' as status, cast(null as varchar) as error, count(*) as rows from packets
+           union all select 'error', 'no readable rows', 0"""
+    ),
+    "scan_parquet_pushed": "select l_orderkey, l_linenumber, l_quantity, l_returnflag from lineitem where l_quantity > 45",
     "scan_parquet_dir": on_packets(
         """select capture_file, protocol, count(*) as n, cast(sum(packet_length) as bigint) as bytes
            from packets group by all"""

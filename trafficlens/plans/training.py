@@ -47,7 +47,7 @@ def features_of_folder(
     if kind == "capture":
         packets = store(read_captures(spark, folder), "packets")
     elif kind == "parquet":
-        packets = tables.with_file(tables.read_parquet_dir(spark, folder))
+        packets = tables.with_file(tables.read_parquet_dir(spark, folder), folder)
     elif kind == "csv":
         packets = store(tables.good_rows(tables.read_packets_csv(spark, folder)), "packets")
     else:

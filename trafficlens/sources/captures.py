@@ -16,11 +16,11 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.functions.expressions import admitted, file_name
-from trafficlens.session import store
+from trafficlens.functions.expressions import admitted, file_name, path_below
+from trafficlens.session import folder_depth, store
 from trafficlens.settings import CAPTURE_EXTENSIONS
 from trafficlens.sources.decode import decode_frames
 from trafficlens.sources.framing import CaptureError, Piece, pieces, read_piece
@@ -39,7 +39,7 @@ PIECE_SCHEMA = (
 
 def list_captures(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modificationTime) of the capture files; their bytes are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", True).load(folder)
     return files.where(admitted(F.col("path"), CAPTURE_EXTENSIONS)).select("path", "length", "modificationTime")
 
 
@@ -135,14 +135,19 @@ def pieces_of_contents(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_pieces_of_contents, PIECE_SCHEMA)
 
 
-def packets_of_frames(frames: DataFrame) -> DataFrame:
-    return decode_frames(frames.withColumn("capture_file", file_name(F.col("path"))))
+def capture_name(depth: int | None) -> Column:
+    """The capture's path below a folder of ``depth`` parts; without a folder its file name."""
+    return file_name(F.col("path")) if depth is None else path_below(F.col("path"), depth)
 
 
-def status_of_pieces(found: DataFrame) -> DataFrame:
+def packets_of_frames(frames: DataFrame, depth: int | None = None) -> DataFrame:
+    return decode_frames(frames.withColumn("capture_file", capture_name(depth)))
+
+
+def status_of_pieces(found: DataFrame, depth: int | None = None) -> DataFrame:
     """One row per capture: packets read, ``ok`` or ``error``, and the message."""
     return (
-        found.groupBy(file_name(F.col("path")).alias("capture_file"))
+        found.groupBy(capture_name(depth).alias("capture_file"))
         .agg(F.sum("packets").alias("packets"), F.max("error").alias("error"))
         .select(
             "capture_file",
@@ -154,7 +159,7 @@ def status_of_pieces(found: DataFrame) -> DataFrame:
 
 
 def _small_files(spark: SparkSession, folder: str, limit: int) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", True).load(folder)
     # The length condition is pushed to the source: larger files are not opened.
     return files.where(F.col("length") <= limit).where(admitted(F.col("path"), CAPTURE_EXTENSIONS))
 
@@ -175,6 +180,7 @@ class CaptureFolder:
         self, spark: SparkSession, folder: str, inline_limit: int = INLINE_LIMIT, piece_bytes: int = PIECE_BYTES
     ):
         self.spark, self.folder, self.limit = spark, folder, inline_limit
+        self.depth = folder_depth(spark, folder)
         self.pieces = _large_pieces(spark, folder, inline_limit, piece_bytes)
 
     def frames(self) -> DataFrame:
@@ -188,11 +194,11 @@ class CaptureFolder:
         return small.unionByName(large)
 
     def packets(self) -> DataFrame:
-        return packets_of_frames(self.frames())
+        return packets_of_frames(self.frames(), self.depth)
 
     def status(self) -> DataFrame:
         found = pieces_of_contents(_small_files(self.spark, self.folder, self.limit))
-        return status_of_pieces(found if self.pieces is None else found.unionByName(self.pieces))
+        return status_of_pieces(found if self.pieces is None else found.unionByName(self.pieces), self.depth)
 
 
 def read_captures(spark: SparkSession, folder: str, label: str | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trafficlens.functions.expressions import file_name, label_from_name, to_timestamp
+from trafficlens.functions.expressions import label_from_name, path_below, to_timestamp
 from trafficlens.operators.ordering import with_position
 from trafficlens.schema import PACKET_FIELDS
+from trafficlens.session import folder_depth
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -21,32 +22,70 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: T.Struc
 
 
 def read_parquet_dir(
-    spark: SparkSession, folder: str, skip_broken: bool = True, schema: T.StructType | None = None
+    spark: SparkSession, folder: str, skip_broken: bool = False, schema: T.StructType | None = None
 ) -> DataFrame:
-    """All ``*.parquet`` files of a folder as one table; unreadable files are left out on request."""
+    """All ``*.parquet`` files of a folder as one table.
+
+    An unreadable file is an error. Files may be left out on request; ``table_status`` then names them.
+    """
     reader = spark.read.option("pathGlobFilter", "*.parquet").option(
         "ignoreCorruptFiles", str(skip_broken).lower()
     )
+    if skip_broken:
+        # Else the schema comes from one file, which may be a broken one.
+        reader = reader.option("mergeSchema", True)
     return (reader.schema(schema) if schema else reader).parquet(folder)
 
 
-def with_file(df: DataFrame, numbered: bool = True) -> DataFrame:
-    """Add ``capture_file`` and, for Parquet, ``packet_no`` from the row's place in its file.
+def with_file(df: DataFrame, folder: str, numbered: bool = True) -> DataFrame:
+    """Add ``capture_file``, the file's path below ``folder``, and, for Parquet, ``packet_no``, the row's place in its file.
 
     Both come from the scan itself, so file order costs neither a sort nor a shuffle.
-    Landed tables that already name their capture keep what they have.
+    Landed tables that already name their capture or number their packets keep what they have; a
+    landed table without numbers gets them by file, which breaks ties within a capture.
     """
-    if "capture_file" in df.columns:
-        return df
-    file = file_name(F.col("_metadata.file_path"))
-    if not numbered:
-        return df.withColumn("capture_file", file)
-    return df.select("*", file.alias("capture_file"), F.col("_metadata.row_index").alias("packet_no"))
+    file = path_below(F.col("_metadata.file_path"), folder_depth(df.sparkSession, folder))
+    added = {} if "capture_file" in df.columns else {"capture_file": file}
+    if numbered and "packet_no" not in df.columns:
+        number = F.col("_metadata.row_index")
+        # In a table of many files the numbers of two files must not collide.
+        added["packet_no"] = number if added else F.pmod(F.xxhash64(file), F.lit(1 << 20)) * (1 << 40) + number
+    return df.select("*", *[c.alias(name) for name, c in added.items()])
+
 
+def table_status(
+    spark: SparkSession, folder: str, kind: str = "parquet", fields: Sequence[str] | None = None
+) -> DataFrame:
+    """capture_file, status, rows and error of every Parquet or CSV file of a folder.
 
-def read_packets_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Packets of landed capture tables, one capture per file."""
-    return with_file(read_parquet(spark, path))
+    All columns of all files are read. A Parquet file that gives no rows is ``error``; so is a CSV file with lines that
+    do not fit (``rows`` counts those that do).
+    """
+    glob = {"parquet": "*.parquet", "csv": "*.csv"}[kind]
+    depth = folder_depth(spark, folder)
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    files = listing.select(path_below(F.col("path"), depth).alias("capture_file"))
+    if kind == "parquet":
+        readable = read_parquet_dir(spark, folder, skip_broken=True)
+        # A hash over all columns makes the scan read all of them.
+        rows = readable.select(path_below(F.col("_metadata.file_path"), depth).alias("capture_file"), F.xxhash64(*readable.columns).alias("x"))
+        read = rows.groupBy("capture_file").agg(F.count("x").alias("rows"))
+        error = F.when(F.col("rows").isNull(), "no readable rows")
+    else:
+        lines = read_packets_csv(spark, folder, fields)
+        misfit = F.col(CORRUPT).isNotNull() | (F.length("ip_src") < 0)
+        counts = lines.groupBy("capture_file").agg(
+            F.count(F.when(~F.coalesce(misfit, F.lit(False)), 1)).alias("rows"), F.count(F.when(misfit, 1)).alias("misfits")
+        )
+        read = counts
+        error = F.when(F.col("misfits") > 0, F.concat(F.col("misfits").cast("string"), F.lit(" lines do not fit"))).when(
+            F.col("rows").isNull(), "no readable rows"
+        )
+    return (
+        files.join(read, "capture_file", "left").withColumn("error", error)
+        .select("capture_file", F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"),
+                F.coalesce("rows", F.lit(0)).alias("rows"), "error")
+    )
 
 
 CORRUPT = "_corrupt_record"
@@ -77,7 +116,7 @@ def read_packets_csv(
     """
     raw = read_csv(spark, path, packet_csv_schema(fields))
     df = raw.select(
-        file_name(F.col("_metadata.file_path")).alias("capture_file"),
+        path_below(F.col("_metadata.file_path"), folder_depth(spark, path if isinstance(path, str) else path[0])).alias("capture_file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias(
             "file_order"
         ),
@@ -138,9 +177,9 @@ def combine_features(tables: Sequence[DataFrame]) -> DataFrame:
 def label_folder(spark: SparkSession, folder: str, label: str, kind: str = "parquet") -> DataFrame:
     """Every table of a folder with one label: ``parquet`` or ``csv`` (also ``*pcap_ISCX``)."""
     if kind == "parquet":
-        return with_label(with_file(read_parquet_dir(spark, folder)), label)
+        return with_label(with_file(read_parquet_dir(spark, folder), folder), label)
     if kind == "csv":
         reader = spark.read.option("header", True).option("inferSchema", True).option("nullValue", "")
         tables = reader.option("pathGlobFilter", "*{.csv,pcap_ISCX}").csv(folder)
-        return with_label(with_file(tables, numbered=False), label)
+        return with_label(with_file(tables, folder, numbered=False), label)
     raise ValueError(f"unknown kind of table: {kind}")
