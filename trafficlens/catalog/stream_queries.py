@@ -16,16 +16,19 @@ from trafficlens.streaming import live
 PARTS = 3
 # The packets land ten days at a time, in files of any order: nothing is later than that.
 DELAY = "10 days"
+IDLE = 600
 
 
 def landed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """The packets of three times ten days, one part after the other."""
+    """The packets of three times ten days, one part after the other, and a marker that closes what is open."""
     packets = numbered_packets(spark, sf_dir).drop("ts_us", "label")
     path = fresh_path(spark, "landed")
     third = F.floor((F.dayofmonth("timestamp") - 1) / 10)
     for i in range(PARTS):
         packets.where(third == i).write.mode("append").parquet(path)
-    return path, spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    live.write_marker(spark, path, table.schema)
+    return path, table
 
 
 def stream_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +37,11 @@ def stream_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "passed")
     live.run_to_parquet(live.packet_stream(spark, path, table.schema, files_per_trigger=1), out).awaitTermination()
     passed = spark.read.schema(table.schema).parquet(out)
-    return passed.select("packet_id", "capture_file", "packet_no", "packet_length")
+    return passed.where("packet_no is not null").select("packet_id", "capture_file", "packet_no", "packet_length")
 
 
 def stream_flow_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly rates of all closed windows; windows after the last watermark, ten days back, are still open."""
+    """Hourly rates of all windows."""
     path, table = landed(spark, sf_dir)
     stream = live.flow_rates(live.packet_stream(spark, path, table.schema, DELAY, 1), "1 hour")
     out = fresh_path(spark, "rates")
@@ -54,9 +57,9 @@ def stream_flow_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete count windows as the stream releases them, summed up per window."""
+    """Count windows, full or at the end of a capture, as the stream releases them, summed up per window."""
     path, table = landed(spark, sf_dir)
-    stream = live.closed_windows(live.packet_stream(spark, path, table.schema, DELAY, 1), LIVE, 10**9)
+    stream = live.closed_windows(live.packet_stream(spark, path, table.schema, DELAY, 1), LIVE, IDLE)
     out = fresh_path(spark, "closed")
     live.run_to_parquet(stream, out).awaitTermination()
     done = spark.read.schema(stream.schema).parquet(out)
@@ -105,7 +108,7 @@ ORACLES = {
               {_stats('packets_per_flow', 'case when is_flow then n end', True)},
               {_stats('bytes_per_flow', 'case when is_flow then bytes end', True)},
               {_stats('flow_duration', 'case when is_flow and n > 1 and t1 > t0 then (t1 - t0) / 1e6 end', False)}
-            from hourly where window_us + 3600000000 <= (select max(ts_us) // 1000 * 1000 - 864000000000 from packets)
+            from hourly
             group by window_us, capture_file""",
         """hourly as (select ts_us // 3600000000 * 3600000000 as window_us, capture_file, count(*) as n,
              sum(packet_length) as bytes, min(ts_us) as t0, max(ts_us) as t1, src_port is not null as is_flow
@@ -114,6 +117,6 @@ ORACLES = {
     "stream_count_windows": on_packets(
         """select capture_file, packet_no // 50 as window_id, count(*) as packet_count, min(packet_no) as first_no,
              max(packet_no) as last_no, cast(sum(packet_length) as bigint) as bytes
-           from numbered group by capture_file, packet_no // 50 having count(*) = 50"""
+           from numbered group by capture_file, packet_no // 50"""
     ),
 }

@@ -31,6 +31,18 @@ def packet_stream(
     return reader.parquet(folder).withWatermark("timestamp", delay)
 
 
+def write_marker(spark: SparkSession, folder: str, schema: T.StructType, past: str = "60 days") -> None:
+    """Land a last file with one empty packet, ``past`` after the newest one.
+
+    It moves the watermark beyond all open windows, so that a stream over a finished folder gives all of them. Its own
+    windows (of no capture) stay open and are never given.
+    """
+    newest = spark.read.schema(schema).parquet(folder).agg(F.max("timestamp").alias("timestamp"))
+    fields = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != "timestamp"]
+    marker = newest.select((F.col("timestamp") + F.expr(f"interval {past}")).alias("timestamp"), *fields)
+    marker.select(*schema.names).coalesce(1).write.mode("append").parquet(folder)
+
+
 def flow_rates(packets: DataFrame, width: str = "1 minute", by: Sequence[str] = ("capture_file",)) -> DataFrame:
     """Packets, bytes, rates and flow statistics per event-time window and capture.
 
@@ -95,7 +107,8 @@ def closed_windows(packets: DataFrame, window_size: int = DEFAULT_LIVE_WINDOW, i
     its window, so a busy capture spreads over all tasks, arrival order does not matter,
     and a state never holds more than ``window_size`` packets. A window that stays
     incomplete (the end of a capture) is released ``idle_seconds`` of event time after its
-    last packet.
+    last packet. A packet that comes twice counts once; what comes after its window was released is
+    dropped until the window's time is over.
     """
     numbered = with_window_id(packets, window_size)
     schema = numbered.schema
@@ -103,7 +116,9 @@ def closed_windows(packets: DataFrame, window_size: int = DEFAULT_LIVE_WINDOW, i
     held_schema = T.StructType([T.StructField("packets", T.BinaryType()), T.StructField("last_ms", T.LongType())])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # A state without packets belongs to a window that was released.
         held, last = (state.get if state.exists else (None, 0))
+        released = state.exists and held is None
         parts = [_unpack(held)] if held else []
         if state.hasTimedOut:
             state.remove()
@@ -114,15 +129,13 @@ def closed_windows(packets: DataFrame, window_size: int = DEFAULT_LIVE_WINDOW, i
                 parts.append(batch)
                 newest = int(pd.to_datetime(batch["timestamp"]).max().timestamp() * 1000)
                 last = max(last or 0, newest)
-        rows = pd.concat(parts, ignore_index=True)[names]
-        if len(rows) >= window_size:
-            if state.exists:
-                state.remove()
-            yield rows
-            return
-        state.update((_pack(rows), last))
+        rows = pd.concat(parts, ignore_index=True)[names].drop_duplicates("packet_no", ignore_index=True)
+        complete = len(rows) >= window_size
+        state.update((None if released or complete else _pack(rows), last))
         # A time-out must lie after the current watermark.
         state.setTimeoutTimestamp(max(last + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        if complete and not released:
+            yield rows
 
     return numbered.groupBy("capture_file", "window_id").applyInPandasWithState(
         step, schema, held_schema, "append", GroupStateTimeout.EventTimeTimeout
