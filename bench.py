@@ -2,7 +2,8 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose the data and the cores.
 Each query is planned and run twice from its files, nothing is kept in between. ``queries`` and ``value``
-are the second runs; ``first_run`` are the first ones, which also compile the generated code.
+are the first runs, which also compile the generated code; ``second_run`` are the ones after them. Learners
+and streams run once, as compiling is a small part of them.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ HEADLINES = (
     "capture_decode",
     "prob_density",
 )
+ONCE = ("rf_predictions", "score_batch", "window_analysis", "stream_flow_rates", "stream_count_windows")
 
 
 def session() -> SparkSession:
@@ -78,12 +80,17 @@ def main() -> None:
             run(registry.QUERIES[name](spark, sf_dir))
             times[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {first[name]} s, then {seconds[name]} s", file=sys.stderr, flush=True)
+    for name in ONCE:
+        start = time.perf_counter()
+        run(registry.QUERIES[name](spark, sf_dir))
+        first[name] = round(time.perf_counter() - start, 3)
+        print(f"{name}: {first[name]} s", file=sys.stderr, flush=True)
     result = {
         "metric": "total_seconds",
-        "value": round(sum(seconds.values()), 3),
+        "value": round(sum(first.values()), 3),
         "unit": "sec",
-        "queries": seconds,
-        "first_run": first,
+        "queries": first,
+        "second_run": seconds,
         "sf": Path(sf_dir).name.removeprefix("sf"),
     }
     print(json.dumps(result))

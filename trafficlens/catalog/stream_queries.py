@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.catalog.feature_oracles import on_packets
 from trafficlens.catalog.fixture import numbered_packets
-from trafficlens.catalog.learning_queries import LIVE, SMALL_FOREST, W, windows
+from trafficlens.catalog.learning_queries import FOREST, LIVE, VERDICT_ROWS, W, windows
 from trafficlens.catalog.shape import digits_of, rounded
 from trafficlens.learning import models
 from trafficlens.session import fresh_path
@@ -25,7 +25,7 @@ def landed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     path = fresh_path(spark, "landed")
     third = F.floor((F.dayofmonth("timestamp") - 1) / 10)
     for i in range(PARTS):
-        packets.where(third == i).write.mode("append").parquet(path)
+        packets.where(third == i).coalesce(2).write.mode("append").parquet(path)
     table = spark.read.parquet(path)
     live.write_marker(spark, path, table.schema)
     return path, table
@@ -73,12 +73,12 @@ def stream_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the closed windows of the stream."""
-    model = models.train(windows(spark, sf_dir), SMALL_FOREST, W, stored=True)
+    model = models.train(windows(spark, sf_dir), FOREST, W, stored=True)
     path, table = landed(spark, sf_dir)
     out = fresh_path(spark, "verdicts")
     packets = live.packet_stream(spark, path, table.schema, DELAY, 1)
     live.live_verdicts(packets, model, out, LIVE).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(out).drop("batch", "probability")
 
 
 QUERIES = {
@@ -114,6 +114,7 @@ ORACLES = {
              sum(packet_length) as bytes, min(ts_us) as t0, max(ts_us) as t1, src_port is not null as is_flow
            from packets group by ts_us // 3600000000, capture_file, ip_src, ip_dst, src_port, dst_port, protocol)""",
     ),
+    "stream_verdicts": on_packets(VERDICT_ROWS),
     "stream_count_windows": on_packets(
         """select capture_file, packet_no // 50 as window_id, count(*) as packet_count, min(packet_no) as first_no,
              max(packet_no) as last_no, cast(sum(packet_length) as bigint) as bytes
