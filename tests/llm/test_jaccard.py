@@ -128,3 +128,23 @@ def test_odd_inputs(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert collected(jaccard.link(odd_docs)) == brute_components(rows)
     assert jaccard.link(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_signatures_keep_every_link(seed):
+    sets = list({jaccard.set_id(s): s for _, t in near_copies(random.Random(seed + 20)) if len(s := jaccard.shingles(t))}.values())
+    roots = sigtree.candidates([sigtree.signature(s) for s in sets], np.array([len(s) for s in sets])).roots()
+    exact = sigtree.link_all(sets).roots()
+    for i, j in combinations(range(len(sets)), 2):
+        assert exact[i] != exact[j] or roots[i] == roots[j]
+    assert len(np.unique(roots)) > len(sets) / 20  # and do not keep all
+
+
+def test_word_hashes_tell_words_apart():
+    words = [f"{a}{b}" * k for a in "abcé" for b in "xyz0" for k in (1, 2, 5, 40)] + ["a" * 100, "a" * 101]
+    raw = "  ".join(words * 2).encode()
+    found = jaccard.word_hashes(b"\n" + raw + b" ")
+    assert len(set(found.tolist())) == len(set(words)) and found[: len(words)].tolist() == found[len(words) :].tolist()
+    assert len(jaccard.word_hashes(b" \t ")) == 0
+    long = ("word " * 40_000).encode()
+    assert len(set(jaccard.word_hashes(long).tolist())) == 1

@@ -3,10 +3,11 @@
 A set is a document's distinct shingles (64-bit hashes), known by a 64-bit hash of them; equal sets are one.
 
 1. Prefix groups bring every pair to be linked together without a loss: of two sets of similarity 0.8, the first
-   ``n - ceil(0.8 n) + 1`` shingles in any common order share one. The order puts shingles that many documents share last. Sets with
-   the same smallest member in a shingle's group form one larger group (``rep``), so a set goes to few groups.
-2. A group that is small is one block. A large one is dealt to blocks by size class and hash; every block also has the rep.
-3. In a block, all sets are compared with the rep, then a signature tree is traversed against itself (see ``sigtree``).
+   ``n - ceil(0.8 n) + 1`` shingles in any common order share one. The order puts shingles that many documents share last. Groups
+   fall apart where sizes and places rule out all pairs. Groups with the same first member form one larger group (``rep``).
+2. In small groups, signature trees (see ``sigtree``) of bitmaps alone find what can be similar; only that goes on.
+3. A group that is small is one block. A large one is dealt to blocks by size class and hash; every block also has the rep.
+   In a block, all sets are compared with the rep, then a tree is traversed against itself, with exact comparisons at the leaves.
 4. In a large group, the sets that are not linked to the rep visit the other blocks of like size: tree against tree. The
    linked ones need not, as the rep connects them.
 5. Verified links, a spanning forest per block, are joined to connected components.
@@ -44,11 +45,50 @@ BLOCK_SHINGLES = 1 << 20
 # Fixed odd multipliers of the shingle hash.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
+#: The word hash's value for each byte, from a fixed rule; longer words are hashed on their own.
+LETTERS = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=1) for b in range(256)], dtype=np.uint64)
+LONG_WORD = 64
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bits of the filter of texts; when it is full it lets all pass, which costs time only.
+FILTER_BITS = 1 << 26
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BASE = 0xA24BAED4963EE407
+_tables = [_powers(_BASE, 1 << 16), _powers(pow(_BASE, -1, 1 << 64), 1 << 16)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x = x * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash per word. With running sums of byte * base^place, a word's hash is a difference, moved back to place 0."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    if len(data) > len(_tables[0]):
+        _tables[:] = _powers(_BASE, 2 * len(data)), _powers(pow(_BASE, -1, 1 << 64), 2 * len(data))
+    inside = np.concatenate([[False], ~SPACE[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(LETTERS[data] * _tables[0][: len(data)], out=sums[1:])
+    out = _mixed((sums[ends] - sums[starts]) * _tables[1][starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out
 
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text; ASCII letters count in lower case."""
-    words = np.array([xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()], dtype=np.uint64)
+    words = word_hashes(text.encode().lower())
     if not len(words):
         return words
     width = min(SHINGLE, len(words))
@@ -56,16 +96,17 @@ def shingles(text: str) -> np.ndarray:
     out = np.full(n, width, dtype=np.uint64)
     for k in range(width):
         out = out * STEP + words[k : k + n]
-    out ^= out >> np.uint64(32)
-    out *= MIX
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return np.unique(_mixed(out))
 
 
 def set_id(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -75,11 +116,12 @@ def _texts(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, sid) of every row as a stored table, and the frequent shingles, sorted."""
+    """(doc_id, n_shingles, sid, thash) of every row as a stored table, and the frequent shingles, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"].to_pylist()]
+            texts = batch["text"].to_pylist()
+            sets = [shingles(t) for t in texts]
             seen, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
             often = n >= max(2, int(len(sets) * HOT_SHARE / 2))
             seen, n = seen[often], n[often]
@@ -89,14 +131,15 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                     pa.concat_arrays([batch["doc_id"].cast(pa.int64()), pa.nulls(none, pa.int64())]),
                     pa.array([len(s) for s in sets] + [None] * none, pa.int64()),
                     pa.array([set_id(s) for s in sets] + [None] * none, pa.int64()),
+                    pa.array([text_hash(t) for t in texts] + [None] * none, pa.int64()),
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), _signed(seen)]),
                     pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(n, pa.int64())]),
                 ],
-                ["doc_id", "n_shingles", "sid", "shingle", "n"],
+                ["doc_id", "n_shingles", "sid", "thash", "shingle", "n"],
             )
 
-    found = store(_texts(docs, "doc_id").mapInArrow(run, "doc_id long, n_shingles long, sid long, shingle long, n long"), "shingle-survey")
-    members = found.where("sid is not null").select("doc_id", "n_shingles", "sid")
+    found = store(_texts(docs, "doc_id").mapInArrow(run, "doc_id long, n_shingles long, sid long, thash long, shingle long, n long"), "shingle-survey")
+    members = found.where("sid is not null").select("doc_id", "n_shingles", "sid", "thash")
     most = members.count() * HOT_SHARE
     hot = found.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > most)
     listed = [r["shingle"] for r in hot.orderBy(F.desc("n")).limit(MAX_HOT).collect()]
@@ -112,13 +155,16 @@ def prefix(own: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> tuple[np
 
 
 def prefix_rows(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """key, hot, sid and n: a row per shingle of each set's prefix; a task lists a set once."""
+    """key, hot, sid, n and reach: a row per shingle of each set's prefix, as a stored table; a task lists a set once.
+
+    ``reach``: the largest size of a set that can be similar if this shingle is the first that both prefixes have.
+    """
     table = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, hots, sids, sizes = [], [], [], []
+            out: list[tuple[np.ndarray, ...]] = []
             for text in batch["text"].to_pylist():
                 own = shingles(text)
                 sid = set_id(own)
@@ -126,30 +172,94 @@ def prefix_rows(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> Dat
                     continue
                 seen.add(sid)
                 key, frequent = prefix(own, table.value, percent)
-                keys.append(key)
-                hots.append(frequent)
-                sids.append(np.full(len(key), sid, dtype=np.int64))
-                sizes.append(np.full(len(key), len(own), dtype=np.int64))
-            if keys:
-                columns = [np.concatenate(c) for c in (keys, hots, sids, sizes)]
-                yield pa.RecordBatch.from_arrays([_signed(columns[0]), *map(pa.array, columns[1:])], ["key", "hot", "sid", "n"])
+                n, place = np.full(len(key), len(own), dtype=np.int64), np.arange(len(key))
+                out.append((key, frequent, np.full(len(key), sid, dtype=np.int64), n, (n - place) * (100 + percent) // percent - n))
+            if out:
+                keys, *columns = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([_signed(keys), *map(pa.array, columns)], ["key", "hot", "sid", "n", "reach"])
 
-    return _texts(docs).mapInArrow(run, "key long, hot boolean, sid long, n long")
+    return store(_texts(docs).mapInArrow(run, "key long, hot boolean, sid long, n long, reach long"), "prefixes")
 
 
-def prefix_groups(rows: DataFrame) -> DataFrame:
+def prefix_groups(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """rep, sid and n: the members (rep included) of every group of two sets or more, as a stored table.
 
-    A frequent key's group may hold a share of all sets: its rep comes from a map-side aggregate and is broadcast (at most MAX_HOT
-    rows). Other keys have few rows, so a window finds their rep in one shuffle.
+    In order of size, the sets of a rare shingle form runs: a new one begins where no smaller set reaches the next size, as then
+    no pair across can be similar. A frequent shingle's group may hold a share of all sets: it is cut by size classes (a set
+    is also in the next class if it reaches there), and its rep comes from a map-side aggregate and is broadcast (at most two rows
+    per class and one of MAX_HOT shingles).
     """
-    by_key = Window.partitionBy("key")
-    rare = rows.where(~F.col("hot")).select("key", "sid", "n")
-    rare = rare.select("sid", "n", F.min("sid").over(by_key).alias("rep"), F.max("sid").over(by_key).alias("top"))
-    frequent = rows.where("hot").select("key", "sid", "n")
-    reps = frequent.groupBy("key").agg(F.min("sid").alias("rep"), F.max("sid").alias("top"))
-    frequent = frequent.join(F.broadcast(reps.where("rep < top")), "key").select("sid", "n", "rep", "top")
-    return store(rare.where("rep < top").union(frequent).select("rep", "sid", "n").distinct(), "prefix-groups")
+    by_size = Window.partitionBy("key").orderBy("n", "sid")
+    smaller = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    rare = rows.where(~F.col("hot")).withColumn("starts", ~F.coalesce(F.max("reach").over(smaller) >= F.col("n"), F.lit(False)))
+    so_far = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rare = rare.select(
+        "sid", "n", F.last(F.when(F.col("starts"), F.col("sid")), ignorenulls=True).over(so_far).alias("rep"),
+        (F.col("starts") & F.coalesce(F.lead("starts").over(by_size), F.lit(True))).alias("single"),
+    )
+    step = F.log(F.lit(100 / percent))
+    own, reached = F.floor(F.log("n") / step), F.floor(F.log("reach") / step)
+    classes = F.when(reached > own, F.array(own, own + 1)).otherwise(F.array(own))
+    frequent = rows.where("hot").select("key", "sid", "n", F.explode(classes).alias("class"))
+    reps = frequent.groupBy("key", "class").agg(F.min("sid").alias("rep"), F.max("sid").alias("top")).where("rep < top")
+    frequent = frequent.join(F.broadcast(reps), ["key", "class"])
+    both = rare.where(~F.col("single")).select("rep", "sid", "n").union(frequent.select("rep", "sid", "n"))
+    return store(both.distinct(), "prefix-groups")
+
+
+def member_sets(docs: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+    """sid, signature and text of every set in ``members``, as a stored table.
+
+    ``known``: sid and thash of all texts. One text per set is wanted; a filter of FILTER_BITS bits drops most others before
+    any work is done on them.
+    """
+    wanted = store(known.join(members.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("thash").alias("thash")), "wanted")
+    place = F.pmod("thash", F.lit(FILTER_BITS))
+    words = wanted.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(thash, {FILTER_BITS}) & 63 as int))")).alias("bits"))
+    found = words.toPandas()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    bits[found["at"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    table = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            marks = np.array([text_hash(t) for t in texts], dtype=np.int64)
+            places = marks % FILTER_BITS
+            passed = np.flatnonzero(table.value[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1)).tolist()
+            kept = [texts[i] for i in passed]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(marks[passed]), pa.array([sigtree.signature(shingles(t)) for t in kept], pa.binary()), pa.array(kept, pa.string())],
+                ["mark", "signature", "text"],
+            )
+
+    found = _texts(docs).mapInArrow(run, "mark long, signature binary, text string")
+    matched = found.join(wanted, F.col("mark") == F.col("thash")).groupBy("thash", "sid")
+    return store(matched.agg(F.min("signature").alias("signature"), F.min("text").alias("text")).drop("thash"), "member-sets")
+
+
+def sift(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``members`` without the sets that no signature tree finds a candidate for, as a stored table.
+
+    Trees of signatures are traversed in the small groups; what hangs together there is a group of its own, of
+    which the texts are looked at later. Large groups stay as they are.
+    """
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    is_large = (F.col("sets") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)
+    marked = members.join(sizes.select("rep", is_large.alias("large")), "rep")
+    small = marked.where(~F.col("large")).select("rep", "sid", "n").join(sets.select("sid", "signature"), "sid")
+
+    def work(block: list[dict]) -> Iterator[tuple]:
+        n = np.array([r["n"] for r in block], dtype=np.int64)
+        roots = sigtree.candidates([r["signature"] for r in block], n, percent).roots()
+        for root, count in zip(*np.unique(roots, return_counts=True)):
+            if count > 1:
+                own = [block[i] for i in np.flatnonzero(roots == root).tolist()]
+                rep = min(r["sid"] for r in own)
+                yield from ((rep, r["sid"], r["n"]) for r in own)
+
+    kept = _by_block(small, ["rep"], work, "rep long, sid long, n long")
+    return store(kept.union(marked.where("large").select("rep", "sid", "n")).distinct(), "candidates")
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -173,25 +283,6 @@ def _salted(rows: DataFrame, name: str) -> DataFrame:
     return dealt.withColumn("block", F.concat_ws("-", "class", F.pmod(F.xxhash64("sid"), F.col(name)))).drop(name)
 
 
-def member_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """sid and text of every set in ``members``, as a stored table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            texts = {}
-            for text in batch["text"].to_pylist():
-                sid = set_id(shingles(text))
-                if sid not in seen:
-                    seen.add(sid)
-                    texts[sid] = text
-            yield pa.RecordBatch.from_arrays([pa.array(texts.keys(), pa.int64()), pa.array(texts.values(), pa.string())], ["sid", "text"])
-
-    wanted = members.select("sid").distinct()
-    found = _texts(docs).mapInArrow(run, "sid long, text string").join(wanted, "sid")
-    return store(found.groupBy("sid").agg(F.min("text").alias("text")), "member-texts")
-
-
 def _by_block(rows: DataFrame, keys: list[str], work: Callable[[list[dict]], Iterator[tuple]], schema: str) -> DataFrame:
     """``work`` on the rows of each block, which come together and one block at a time."""
     names = [part.split()[0] for part in schema.split(", ")]
@@ -274,8 +365,10 @@ def outer_links(dealt: DataFrame, apart: DataFrame, texts: DataFrame, percent: i
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     members, hot = survey(docs)
-    dealt = blocks(prefix_groups(prefix_rows(docs, hot, percent)))
-    texts = member_texts(docs, dealt)
+    groups = prefix_groups(prefix_rows(docs, hot, percent), percent)
+    sets = member_sets(docs, groups, members.select("sid", "thash"))
+    dealt = blocks(sift(groups, sets, percent))
+    texts = sets.select("sid", "text")
     inner = inner_links(dealt, texts, percent)
     edges = inner.where("b is not null").select("a", "b")
     apart = inner.where("b is null").select("rep", F.col("a").alias("sid")).distinct()

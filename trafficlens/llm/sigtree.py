@@ -8,6 +8,8 @@ all linked to each other already, are dropped with everything below. What is lef
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Similarity of at least PERCENT / 100.
@@ -62,14 +64,10 @@ class Links:
 class Tree:
     """Levels from the leaves up; ``order`` tells which set each leaf is."""
 
-    def __init__(self, sets: list[np.ndarray], members: np.ndarray, bits: int, height: int):
-        # Sets of like size and with the same smallest token stand together.
-        self.order = np.array(sorted(members.tolist(), key=lambda i: (int(np.log2(len(sets[i])) * 3), int(sets[i][0]))), dtype=np.int64)
-        sizes = np.array([len(sets[i]) for i in self.order], dtype=np.int64)
-        marks = np.zeros((len(sizes), bits), dtype=bool)
-        for row, i in enumerate(self.order):
-            marks[row, (sets[i] & np.uint64(bits - 1)).astype(np.int64)] = True
-        bitmaps = np.packbits(marks, axis=1).view(np.uint64)
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, keys: np.ndarray, height: int):
+        """A row of ``sizes``, ``bitmaps`` and ``keys`` per member. Sets of like size and the same key stand together."""
+        place = np.lexsort((keys, (np.log2(sizes) * 3).astype(np.int64)))
+        self.order, sizes, bitmaps = members[place], sizes[place], bitmaps[place]
         excess = sizes - np.bitwise_count(bitmaps).sum(axis=1).astype(np.int64)
         self.levels = [(bitmaps, sizes, sizes, excess)]
         for _ in range(height):
@@ -96,8 +94,17 @@ def _children(parents: np.ndarray, n: int) -> np.ndarray:
     return np.where(out < n, out, -1)
 
 
-def traverse(a: Tree, b: Tree, sets: list[np.ndarray], links: Links, percent: int = PERCENT) -> None:
-    """Link all similar pairs of a set of ``a`` and a set of ``b`` (which may be ``a`` itself)."""
+def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
+    marks = np.zeros(bits, dtype=bool)
+    marks[(own & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks).view(np.uint64)
+
+
+def traverse(a: Tree, b: Tree, check: Callable[[int, int], bool] | None, links: Links, percent: int = PERCENT) -> None:
+    """Link all pairs of a set of ``a`` and a set of ``b`` (which may be ``a`` itself) that pass ``check``.
+
+    Without ``check``, all pairs that the bitmaps do not rule out.
+    """
     same = a is b
     top = len(a.levels) - 1
     stack = [(top, *(x.ravel() for x in np.meshgrid(np.arange(len(a.levels[top][1])), np.arange(len(b.levels[top][1])), indexing="ij")))]
@@ -128,17 +135,26 @@ def traverse(a: Tree, b: Tree, sets: list[np.ndarray], links: Links, percent: in
             stack.append((level - 1, left[real], right[real]))
             continue
         for i, j in zip(a.order[left].tolist(), b.order[right].tolist()):
-            if links.root(i) != links.root(j) and similar(sets[i], sets[j], percent):
+            if links.root(i) != links.root(j) and (check is None or check(i, j)):
                 links.add(i, j)
 
 
-def _shape(sets: list[np.ndarray]) -> tuple[int, int]:
-    middle = int(np.median([len(s) for s in sets]))
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (4 * middle).bit_length()))
+def _height(n: int) -> int:
     height = 0
-    while FAN**height < len(sets):
+    while FAN ** (height + 1) < n:
         height += 1
-    return bits, max(0, height - 1)
+    return height
+
+
+def _tree_of_sets(sets: list[np.ndarray], members: np.ndarray, bits: int) -> Tree:
+    own = [sets[i] for i in members]
+    sizes = np.array([len(s) for s in own], dtype=np.int64)
+    keys = np.array([s[0] for s in own], dtype=np.uint64)
+    return Tree(members, sizes, np.array([bitmap(s, bits) for s in own]), keys, _height(len(sets)))
+
+
+def _bits(sets: list[np.ndarray]) -> int:
+    return min(MAX_BITS, max(MIN_BITS, 1 << (4 * int(np.median([len(s) for s in sets]))).bit_length()))
 
 
 def link_all(sets: list[np.ndarray], first: int | None = None, percent: int = PERCENT) -> Links:
@@ -149,9 +165,8 @@ def link_all(sets: list[np.ndarray], first: int | None = None, percent: int = PE
             if i != first and similar(sets[first], sets[i], percent):
                 links.add(first, i)
     if len(np.unique(links.roots())) > 1:
-        bits, height = _shape(sets)
-        tree = Tree(sets, np.arange(len(sets)), bits, height)
-        traverse(tree, tree, sets, links, percent)
+        tree = _tree_of_sets(sets, np.arange(len(sets)), _bits(sets))
+        traverse(tree, tree, lambda i, j: similar(sets[i], sets[j], percent), links, percent)
     return links
 
 
@@ -159,6 +174,40 @@ def link_between(sets: list[np.ndarray], hosts: np.ndarray, visitors: np.ndarray
     """Links between sets of ``hosts`` and sets of ``visitors`` (positions)."""
     links = Links(len(sets))
     if len(hosts) and len(visitors):
-        bits, height = _shape(sets)
-        traverse(Tree(sets, hosts, bits, height), Tree(sets, visitors, bits, height), sets, links, percent)
+        bits = _bits(sets)
+        trees = _tree_of_sets(sets, hosts, bits), _tree_of_sets(sets, visitors, bits)
+        traverse(*trees, lambda i, j: similar(sets[i], sets[j], percent), links, percent)
+    return links
+
+
+def signature(own: np.ndarray) -> bytes:
+    """A bitmap of at least two bits per token; its length is a power of two."""
+    return bitmap(own, min(MAX_BITS, max(64, 1 << (2 * len(own) - 1).bit_length()))).tobytes()
+
+
+def _folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] | bitmaps[:, half:]
+    return bitmaps
+
+
+def candidates(signatures: list[bytes], sizes: np.ndarray, percent: int = PERCENT) -> Links:
+    """Sets that their signatures do not rule out as similar, linked.
+
+    Similar sets have signatures of the same length or of neighbouring lengths, of which the longer one is folded.
+    """
+    links = Links(len(signatures))
+    lengths = np.array([len(s) // 8 for s in signatures])
+
+    def tree(members: np.ndarray, words: int) -> Tree:
+        own = np.array([np.frombuffer(signatures[i], dtype=np.uint64) for i in members])
+        return Tree(members, sizes[members], _folded(own, words), own[:, 0], _height(len(signatures)))
+
+    for words in np.unique(lengths).tolist():
+        own, longer = np.flatnonzero(lengths == words), np.flatnonzero(lengths == 2 * words)
+        shorter = tree(own, words)
+        traverse(shorter, shorter, None, links, percent)
+        if len(longer):
+            traverse(shorter, tree(longer, words), None, links, percent)
     return links
