@@ -98,7 +98,7 @@ def test_shingles_hash_as_sets():
 @pytest.mark.parametrize("block_sets", [1024, 8])
 def test_join_against_brute_force(spark, monkeypatch, block_sets):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block_sets)
-    monkeypatch.setattr(jaccard, "HOT_SHARE", 0.001 if block_sets > 100 else 0.02)
+    monkeypatch.setattr(jaccard, "MIN_HOT", 16 if block_sets > 100 else 4)
     rows = near_copies(random.Random(11), 8, 20)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert collected(jaccard.link(docs)) == brute_components(rows)

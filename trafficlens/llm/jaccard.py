@@ -12,8 +12,8 @@ A set is a document's distinct shingles (64-bit hashes), known by a 64-bit hash
    linked ones need not, as the rep connects them.
 5. Verified links, a spanning forest per block, are joined to connected components.
 
-Pairs are never listed: links within a block leave as a forest. The shingles that count as frequent (in a share HOT_SHARE of the documents) are
-at most MAX_HOT, so they are broadcast; the choice only orders, it never decides a link.
+Pairs are never listed: links within a block leave as a forest. The shingles that count as frequent are MAX_HOT at most, so they are
+broadcast; the choice only orders, it never decides a link. Counts leave out what is rare in a batch, for the same reason.
 
 Defined cases: null and empty texts, or texts without words, have no shingles and are linked with nothing: their component is their own
 doc_id. Repeated rows are linked like copies; each keeps its row. A null doc_id is never a component's id while
@@ -37,8 +37,9 @@ from trafficlens.llm.tables import shuffle_width, store
 
 SHINGLE = 5
 PERCENT = sigtree.PERCENT
-HOT_SHARE = 0.001
-MAX_HOT = 1 << 16
+#: A shingle in as many documents may be listed as frequent; the list has the most frequent ones.
+MIN_HOT = 16
+MAX_HOT = 1 << 18
 #: A block has about as many sets or shingles at most.
 BLOCK_SETS = 1024
 BLOCK_SHINGLES = 1 << 20
@@ -123,7 +124,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             texts = batch["text"].to_pylist()
             sets = [shingles(t) for t in texts]
             seen, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-            often = n >= max(2, int(len(sets) * HOT_SHARE / 2))
+            often = n >= 3
             seen, n = seen[often], n[often]
             none, rows = len(seen), len(sets)
             yield pa.RecordBatch.from_arrays(
@@ -140,16 +141,26 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     found = store(_texts(docs, "doc_id").mapInArrow(run, "doc_id long, n_shingles long, sid long, thash long, shingle long, n long"), "shingle-survey")
     members = found.where("sid is not null").select("doc_id", "n_shingles", "sid", "thash")
-    most = members.count() * HOT_SHARE
-    hot = found.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-    listed = [r["shingle"] for r in hot.orderBy(F.desc("n")).limit(MAX_HOT).collect()]
-    return members, np.unique(np.array(listed, dtype=np.int64).view(np.uint64))
+    counted = found.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_HOT)
+    hot = store(counted, "frequent-shingles")
+    # Classes of counts, the largest first, while they fit: no task and no driver sorts them all.
+    rank = F.floor(8 * F.log2("n")).cast("int")
+    room, least = MAX_HOT, 1 << 30
+    for of_class, size in sorted(hot.groupBy(rank.alias("rank")).count().collect(), reverse=True):
+        if size > room:
+            break
+        room, least = room - size, of_class
+    listed = hot.where(rank >= least).select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64)  # at most MAX_HOT
+    return members, np.sort(listed.view(np.uint64))
 
 
 def prefix(own: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of a set, frequent ones last, and which of them are frequent."""
     length = len(own) - (-(-percent * len(own) // 100)) + 1
-    frequent = np.isin(own, hot, assume_unique=True)
+    place = np.searchsorted(hot, own)
+    frequent = np.zeros(len(own), dtype=bool)
+    inside = place < len(hot)
+    frequent[inside] = hot[place[inside]] == own[inside]
     ordered = np.concatenate([own[~frequent], own[frequent]])[:length]
     return ordered, np.arange(length) >= int((~frequent).sum())
 
@@ -207,8 +218,8 @@ def prefix_groups(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return store(both.distinct(), "prefix-groups")
 
 
-def member_sets(docs: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
-    """sid, signature and text of every set in ``members``, as a stored table.
+def member_sets(docs: DataFrame, members: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
+    """sid and value of every set in ``members``, as a stored table; the value is the text (``whole``) or the signature.
 
     ``known``: sid and thash of all texts. One text per set is wanted; a filter of FILTER_BITS bits drops most others before
     any work is done on them.
@@ -228,14 +239,12 @@ def member_sets(docs: DataFrame, members: DataFrame, known: DataFrame) -> DataFr
             places = marks % FILTER_BITS
             passed = np.flatnonzero(table.value[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1)).tolist()
             kept = [texts[i] for i in passed]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(marks[passed]), pa.array([sigtree.signature(shingles(t)) for t in kept], pa.binary()), pa.array(kept, pa.string())],
-                ["mark", "signature", "text"],
-            )
+            values = pa.array(kept, pa.string()) if whole else pa.array([sigtree.signature(shingles(t)) for t in kept], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(marks[passed]), values], ["mark", "value"])
 
-    found = _texts(docs).mapInArrow(run, "mark long, signature binary, text string")
+    found = _texts(docs).mapInArrow(run, f"mark long, value {'string' if whole else 'binary'}")
     matched = found.join(wanted, F.col("mark") == F.col("thash")).groupBy("thash", "sid")
-    return store(matched.agg(F.min("signature").alias("signature"), F.min("text").alias("text")).drop("thash"), "member-sets")
+    return store(matched.agg(F.min("value").alias("value")).drop("thash"), "member-sets")
 
 
 def sift(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -247,11 +256,11 @@ def sift(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     is_large = (F.col("sets") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)
     marked = members.join(sizes.select("rep", is_large.alias("large")), "rep")
-    small = marked.where(~F.col("large")).select("rep", "sid", "n").join(sets.select("sid", "signature"), "sid")
+    small = marked.where(~F.col("large")).select("rep", "sid", "n").join(sets, "sid")
 
     def work(block: list[dict]) -> Iterator[tuple]:
         n = np.array([r["n"] for r in block], dtype=np.int64)
-        roots = sigtree.candidates([r["signature"] for r in block], n, percent).roots()
+        roots = sigtree.candidates([r["value"] for r in block], n, percent).roots()
         for root, count in zip(*np.unique(roots, return_counts=True)):
             if count > 1:
                 own = [block[i] for i in np.flatnonzero(roots == root).tolist()]
@@ -366,9 +375,9 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     members, hot = survey(docs)
     groups = prefix_groups(prefix_rows(docs, hot, percent), percent)
-    sets = member_sets(docs, groups, members.select("sid", "thash"))
-    dealt = blocks(sift(groups, sets, percent))
-    texts = sets.select("sid", "text")
+    known = members.select("sid", "thash")
+    dealt = blocks(sift(groups, member_sets(docs, groups, known, False), percent))
+    texts = member_sets(docs, dealt, known, True).withColumnRenamed("value", "text")
     inner = inner_links(dealt, texts, percent)
     edges = inner.where("b is not null").select("a", "b")
     apart = inner.where("b is null").select("rep", F.col("a").alias("sid")).distinct()
