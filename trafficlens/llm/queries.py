@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trafficlens.llm import bpe, classifier, fingerprints, jaccard, oracles, packing, pii, quality_rules, tokenfiles, warc
+from trafficlens.llm import bpe, classifier, fingerprints, jaccard, oracles, packing, pii, quality_rules, sharding, tokenfiles, warc
 from trafficlens.llm.tables import store, table
 
 
@@ -20,6 +20,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and the search of every twentieth id against all."""
     return fingerprints.search(fingerprints.report(table(spark, sf_dir, "documents")))
@@ -62,6 +67,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": quality,
+    "op2_sharding": placed,
     "op3_fingerprints": simhash,
     "op4_best_fit_packing": packed,
     "op5_token_files": token_output,
