@@ -69,3 +69,41 @@ def test_odd_inputs(odd_docs, no_docs):
     assert fp.search(fp.report(no_docs)).count() == 0
     one = fp.search(fp.report(odd_docs.where("doc_id = 5"))).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_near_copies_of_jaccard_08_are_found(spark):
+    """Texts of 400 words with 8 words changed, ten apart or more: 8 * 5 of 396 shingles differ, a similarity of 0.816."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(400)]
+        changed = list(words)
+        for place in range(20, 400, 48):
+            changed[place] = word()
+        rows += [(20 * i, " ".join(words)), (20 * i + 1, " ".join(changed))]
+    report = fp.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {r.doc_id: (r.fingerprint, r.n_near) for r in fp.search(report).collect()}
+    pairs = {(r.fingerprint, r.near_fingerprint): (r.distance, r.n_rows) for r in fp.near_pairs(report).collect()}
+    hits = sum((of[20 * i][0], of[20 * i + 1][0]) in pairs for i in range(60))
+    assert hits >= 54
+    assert sum(of[20 * i][1] for i in range(60)) == sum(n for _, n in pairs.values())
+    assert all(d == (int(a, 16) ^ int(b, 16)).bit_count() <= fp.RADIUS for (a, b), (d, _) in pairs.items())
+
+
+def test_wide_radius_in_slices_loses_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    for p in list(prints):
+        for k in (5, 12, 15, 16):
+            q = p
+            for bit in rng.sample(range(64), k):
+                q ^= 1 << bit
+            prints.append(q)
+    signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
+    df = spark.createDataFrame([(p,) for p in signed], "fingerprint long")
+    monkeypatch.setattr(fp, "SLICE", 100)
+    monkeypatch.setattr(fp, "LISTED", 50)
+    got = [(r.query, r.fingerprint, r.distance) for r in fp.near(df, df).collect()]
+    want = {(q, p, ((q ^ p) & (2**64 - 1)).bit_count()) for q in signed for p in signed}
+    assert len(got) == len(set(got)) and set(got) == {w for w in want if w[2] <= fp.RADIUS}

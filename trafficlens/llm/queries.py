@@ -30,6 +30,11 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.search(fingerprints.report(table(spark, sf_dir, "documents")))
 
 
+def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of near fingerprints behind the counts of ``simhash``."""
+    return fingerprints.near_pairs(fingerprints.report(table(spark, sf_dir, "documents")))
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_quality_rules": quality,
     "op2_sharding": placed,
     "op3_fingerprints": simhash,
+    "op3_near_pairs": simhash_pairs,
     "op4_best_fit_packing": packed,
     "op5_token_files": token_output,
     "op6_jaccard_join": linked,
