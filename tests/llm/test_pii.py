@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from trafficlens.llm import pii
 
@@ -101,3 +102,30 @@ def test_find_and_redact(spark, odd_docs, no_docs):
 
 def test_overlapping_spans_are_redacted_as_one():
     assert pii.redact_text("ab cd ef", [("ip", 0, 4), ("card", 3, 5), ("phone", 6, 8)]) == "[IP] [PHONE]"
+
+
+def test_thresholds_rest_on_all_held_out_examples(spark):
+    """The sample is for the fit only: a small one leaves the evidence as it is, and repeated rows or another dealing change nothing."""
+    docs = corpus(spark)
+    trees = pii.train(docs, 60)
+    assert all(trees.thresholds[k] < 1 for k in ("email", "ip"))
+    want, sample = {}, {}
+    for (text,) in docs.select("text").collect():
+        seed = xxhash.xxh3_64_hexdigest(text)
+        if int(seed[:8], 16) % 3:
+            continue
+        for kind, label, features, _ in pii.examples(text, seed):
+            b = min(int(trees.score(np.array([features]))[0] * pii.BINS), pii.BINS - 1)
+            want[kind, label, b] = want.get((kind, label, b), 0) + 1
+    for dealt in (docs.repartition(1), docs.union(docs).repartition(7)):
+        assert {(r.kind, r.label, r.bin): r.n for r in pii.held_out_counts(dealt, trees).collect()} == want
+        sample[dealt] = sorted(map(str, pii.training_table(dealt, 60).collect()))
+    assert len(set(map(tuple, sample.values()))) == 1
+
+
+def test_counts_of_many_false_ones_are_not_balanced_away():
+    """400 true ones and 20,000 look-alikes, a tenth of them scored as high: no threshold lets them in."""
+    assert pii.calibrate_counts({60_000: (0, 400), 50_000: (2_000, 0), 9: (18_000, 0)}) == 60_000 / pii.BINS
+    assert pii.calibrate_counts({60_000: (2_000, 400), 9: (18_000, 0)}) == float("inf")
+    assert pii.is_bounded(0, 149, 0.02) and not pii.is_bounded(0, 148, 0.02)
+    assert pii.is_bounded(190_000, 10_000_000, 0.02) and not pii.is_bounded(200_000, 10_000_000, 0.02)

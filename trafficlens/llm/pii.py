@@ -7,10 +7,11 @@
    out, the plus dropped, other separators), teaches the trees the looser formats. False are the same places with something
    that only looks alike (a part above 255, a failed checksum, too few digits, ordinary words), and the corpus's own candidates
    without a cue nearby or with a count of digits out of range.
-   At most MAX_EXAMPLES per kind and class are used, those with the smallest hash of document, place and form.
-3. Boosted trees over format and context features score candidates. On examples of other documents (a third, by hash), the lowest
-   score that keeps the exact binomial bound on false selections under MAX_FALSE becomes the threshold of the kind; a kind
-   without such a score adds nothing.
+   A text teaches once, however often it stands there. About MAX_EXAMPLES per kind and class are fitted, those with the smallest
+   hash of document, place and form.
+3. Boosted trees over format and context features score candidates. All examples of other documents (a third, by hash) are scored
+   and counted by kind, class and bin of the score, in the corpus's own mix. The lowest bin from which on the exact binomial bound
+   on false selections stays under MAX_FALSE becomes the threshold of the kind; a kind without such a bin adds nothing.
 4. Spans are the base spans and every candidate at or above its threshold that overlaps none of them; of overlapping
    candidates the best score stays, then the longer, then the leftmost.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, lgamma, log, log1p
@@ -75,6 +77,9 @@ TREES = 12
 DEPTH = 4
 MAX_FALSE = 0.02
 CONFIDENCE = 0.95
+#: Every FOLDS-th text is held out. Scores are counted in BINS, a power of two, so that the edges are exact.
+FOLDS = 3
+BINS = 1 << 16
 SEED = 5
 
 
@@ -276,8 +281,16 @@ def _arrays(model) -> Trees:
 
 def is_bounded(false: int, n: int, most: float, confidence: float = CONFIDENCE) -> bool:
     """Whether the exact upper bound on a rate, ``false`` in ``n`` seen, is at most ``most``."""
-    terms = (lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(most) + (n - i) * log1p(-most) for i in range(false + 1))
-    return n > 0 and sum(map(exp, terms)) <= 1 - confidence
+    if n == 0 or false > n * most:
+        return False
+    # Below the mean the terms fall towards 0; the sum ends where they no longer count.
+    term = exp(lgamma(n + 1) - lgamma(false + 1) - lgamma(n - false + 1) + false * log(most) + (n - false) * log1p(-most))
+    total, i = term, false
+    while i > 0 and term > 1e-16 * total:
+        term *= i * (1 - most) / ((n - i + 1) * most)
+        total += term
+        i -= 1
+    return total <= 1 - confidence
 
 
 def calibrate(scores: np.ndarray, labels: np.ndarray, max_false: float = MAX_FALSE) -> float:
@@ -292,46 +305,99 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, max_false: float = MAX_FAL
     return best
 
 
+def calibrate_counts(counts: dict[int, tuple[int, int]], max_false: float = MAX_FALSE) -> float:
+    """``calibrate`` on counts: (false, true) examples by bin of the score; the lower edge of a bin, or infinity."""
+    bins = sorted(counts, reverse=True)
+    false = np.cumsum([counts[b][0] for b in bins])
+    n = np.cumsum([sum(counts[b]) for b in bins])
+    for b, f, m in reversed(list(zip(bins, false.tolist(), n.tolist()))):
+        if f <= max_false * m and is_bounded(f, m, max_false):
+            return b / BINS
+    return float("inf")
+
+
+def _fold(seed: str) -> int:
+    return int(seed[:8], 16) % FOLDS
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"))
+
+
 def training_table(docs: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """kind, label, fold and features; a document's hash names its fold, so a document is in one fold only."""
+    """kind, label and features of a sample of the texts that are not held out; the same for any dealing of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The task's smallest orders of each kind and class suffice for the smallest of all.
-        best: dict[tuple[str, int], list] = {}
+        schema = pa.schema([("text", pa.binary()), ("kind", pa.string()), ("label", pa.int32()), ("n", pa.int64()), ("order", pa.int64()), ("place", pa.int32()), ("features", pa.list_(pa.float64()))])
+        # All are counted; of each kind and class the task's smallest orders are kept, twice as many as the cut below leaves of all.
+        best: dict[tuple[str, int], dict] = {}
         for batch in batches:
-            for text in batch["text"].to_pylist():
+            counts = []
+            for text in dict.fromkeys(batch["text"].to_pylist()):
                 seed = xxhash.xxh3_64_hexdigest(text)
-                for kind, label, features, order in examples(text, seed):
-                    own = best.setdefault((kind, label), [])
-                    own.append((order, int(seed[:8], 16) % 3, features))
-                    if len(own) >= 2 * max_examples:
-                        own.sort()
-                        del own[max_examples:]
-        rows = [{"kind": k, "label": y, "order": o, "fold": f, "features": x} for (k, y), own in best.items() for o, f, x in sorted(own)[:max_examples]]
-        yield pa.RecordBatch.from_pylist(
-            rows,
-            pa.schema([("kind", pa.string()), ("label", pa.int32()), ("order", pa.int64()), ("fold", pa.int32()), ("features", pa.list_(pa.float64()))]),
-        )
-
-    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind string, label int, order long, fold int, features array<double>")
+                if _fold(seed) == 0:
+                    continue
+                key, seen = xxhash.xxh3_128_digest(text), {}
+                for place, (kind, label, features, order) in enumerate(examples(text, seed)):
+                    seen[kind, label] = seen.get((kind, label), 0) + 1
+                    own = best.setdefault((kind, label), {})
+                    own[order, key, place] = features
+                    if len(own) >= 4 * max_examples:
+                        best[kind, label] = dict(sorted(own.items())[: 2 * max_examples])
+                counts += [{"text": key, "kind": k, "label": y, "n": n} for (k, y), n in seen.items()]
+            yield pa.RecordBatch.from_pylist(counts, schema)
+        for (k, y), own in best.items():
+            kept = sorted(own.items())[: 2 * max_examples]
+            yield pa.RecordBatch.from_pylist([{"text": t, "kind": k, "label": y, "order": o, "place": p, "features": x} for (o, t, p), x in kept], schema)
+
+    found = _texts(docs).mapInArrow(run, "text binary, kind string, label int, n long, order long, place int, features array<double>")
     found = store(found, "pii-examples")
     # The order is uniform below 2^32, so a cut on it leaves about max_examples of each kind and class.
-    sizes = found.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
-    cut = F.floor(F.lit(1 << 32) * F.least(F.lit(1.0), F.lit(float(max_examples)) / F.col("n")))
-    return found.join(F.broadcast(sizes), ["kind", "label"]).where(F.col("order") < cut).select("kind", "label", "fold", "features")
+    sizes = found.where("n is not null").dropDuplicates(["text", "kind", "label"]).groupBy("kind", "label").agg(F.sum("n").alias("total"))
+    cut = F.floor(F.lit(1 << 32) * F.least(F.lit(1.0), F.lit(float(max_examples)) / F.col("total")))
+    kept = found.where("n is null").join(F.broadcast(sizes), ["kind", "label"]).where(F.col("order") < cut)
+    return kept.dropDuplicates(["text", "place"]).select("kind", "label", "features", "order", "text", "place")
+
+
+def held_out_counts(docs: DataFrame, trees: Trees) -> DataFrame:
+    """kind, label, bin and n: all examples of the held-out texts, each different text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for text in dict.fromkeys(batch["text"].to_pylist()):
+                seed = xxhash.xxh3_64_hexdigest(text)
+                if _fold(seed) == 0:
+                    key = xxhash.xxh3_128_digest(text)
+                    for kind, label, features, _ in examples(text, seed):
+                        keys.append((key, kind, label))
+                        rows.append(features)
+            counts = Counter()
+            if rows:
+                bins = np.minimum(trees.score(np.array(rows)) * BINS, BINS - 1).astype(int)
+                counts.update((*k, b) for k, b in zip(keys, bins.tolist()))
+            yield pa.RecordBatch.from_pylist(
+                [{"text": t, "kind": k, "label": y, "bin": b, "n": n} for (t, k, y, b), n in counts.items()],
+                pa.schema([("text", pa.binary()), ("kind", pa.string()), ("label", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]),
+            )
+
+    found = _texts(docs).mapInArrow(run, "text binary, kind string, label int, bin int, n long")
+    return found.dropDuplicates(["text", "kind", "label", "bin"]).groupBy("kind", "label", "bin").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, max_examples: int = MAX_EXAMPLES) -> Trees:
-    rows = store(training_table(docs, max_examples).coalesce(2), "pii-sample").cache()
-    fit = rows.where("fold > 0").select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("x"))
+    rows = training_table(docs, max_examples).repartition(1).sortWithinPartitions("order", "text", "place")  # about 8 * max_examples rows
+    sample = store(rows, "pii-sample").coalesce(1).cache()
+    fit = sample.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("x"))
     if fit.select("label").distinct().count() < 2:
         return Trees()
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.3, seed=SEED).fit(fit)
     trees = _arrays(model)
-    held = rows.where("fold = 0").toPandas()  # at most 8 * max_examples rows
-    rows.unpersist()
-    for kind, part in held.groupby("kind"):
-        trees.thresholds[kind] = calibrate(trees.score(np.array(part["features"].tolist())), part["label"].to_numpy())
+    sample.unpersist()
+    held: dict[str, dict[int, list[int]]] = {}
+    for kind, label, b, n in held_out_counts(docs, trees).collect():  # at most 8 * BINS rows
+        held.setdefault(kind, {}).setdefault(b, [0, 0])[label] = n
+    trees.thresholds = {kind: calibrate_counts(counts) for kind, counts in held.items()}
     return trees
 
 
