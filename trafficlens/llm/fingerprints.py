@@ -61,11 +61,15 @@ def term_hashes(text: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, fingerprint (long) and n_rows for each key of ``texts`` (keys, text); rows of a key must have equal texts."""
-    terms = texts.select(*keys, F.posexplode_outer(term_hashes(F.col("text"))).alias("i", "h"))
+    """``keys``, fingerprint (long) and n_rows for each key of ``texts`` (keys, text); rows of a key must have equal texts.
+
+    One row per key votes, so a segment never adds more than SEGMENT votes to a field.
+    """
+    each = texts.groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("n_rows"))
+    terms = each.select(*keys, "n_rows", F.posexplode_outer(term_hashes(F.col("text"))).alias("i", "h"))
     votes = [
         F.sum(F.shiftrightunsigned("h", s).bitwiseAND(F.lit(MASK))).alias(f"v{s}") for s in range(FIELD)
-    ] + [F.sum(F.shiftrightunsigned("h", BITS - 1)).alias("v63"), F.count("h").alias("n"), F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, 1).otherwise(0)).alias("rows")]
+    ] + [F.sum(F.shiftrightunsigned("h", BITS - 1)).alias("v63"), F.count("h").alias("n"), F.max("n_rows").alias("n_rows")]
     segments = terms.groupBy(*keys, F.floor(F.coalesce("i", F.lit(0)) / SEGMENT).alias("segment")).agg(*votes)
     low = (1 << FIELD) - 1
 
@@ -74,7 +78,7 @@ def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
             return F.col("v63")
         return F.shiftrightunsigned(f"v{bit % FIELD}", FIELD * (bit // FIELD)).bitwiseAND(F.lit(low))
 
-    counted = segments.groupBy(*keys).agg(*[F.sum(ones(b)).alias(f"b{b}") for b in range(BITS)], F.sum("n").alias("n"), F.sum("rows").alias("n_rows"))
+    counted = segments.groupBy(*keys).agg(*[F.sum(ones(b)).alias(f"b{b}") for b in range(BITS)], F.sum("n").alias("n"), F.max("n_rows").alias("n_rows"))
     weight = [1 << b if b < BITS - 1 else -(1 << b) for b in range(BITS)]
     bits = [F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(weight[b])).otherwise(F.lit(0).cast("long")) for b in range(BITS)]
     total = bits[0]
@@ -196,7 +200,7 @@ def report(docs: DataFrame) -> DataFrame:
         F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("t"),
     )
     keys = ["id", "next_id", "n_chars", "edited_sha256", "text_hash"]
-    # Equal rows share a key; their votes are then a multiple of one row's, with the same majority.
+    # Equal rows share a key, and one of them votes.
     printed = fingerprints(both.select(*keys, "t.kind", "t.text"), *keys, "kind")
     rows = printed.groupBy(*keys).agg(
         F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("own"),
