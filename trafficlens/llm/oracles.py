@@ -83,3 +83,44 @@ reach(doc_id, other) as (select doc_id, doc_id from s union select reach.doc_id,
 select doc_id, cast(len(x) as bigint) as n_shingles, r.component_id
 from s join (select doc_id, min(other) as component_id from reach group by doc_id) r using (doc_id)
 """
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+RANKED = f"""
+with d as materialized (select row_number() over () as r, doc_id, {_TERMS} as w from documents),
+p as (select r, t, count(*) as tf from (select r, unnest(w) as t from d) group by r, t),
+c as (select count(*) as n_docs, cast(sum(len(w)) as bigint) as total from d where len(w) > 0),
+i as materialized (select row_number() over () as q, item_id, {_TERMS} as w from benchmark),
+q as (select q, t, count(*) as times from (select q, unnest(w) as t from i) group by q, t),
+wt as (select t, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as weight
+  from (select t, count(*) as df from p group by t), c),
+m as (select r, doc_id, 100 - 75 + ((75 * len(w) * n_docs) // total) as m from d, c where len(w) > 0),
+s as (select q, r, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from q join p using (t) join wt using (t) join m using (r) group by q, r),
+o as (select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id nulls last) as rank
+  from s join m using (r) where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from o join i using (q) where rank <= 10
+"""
+
+NEGATIVES = """
+with e as materialized (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r as a, a.vec_id as anchor_id, e.r, e.vec_id, a.label = e.label as same,
+    cast(list_sum(list_transform(range(1, 1 + least(len(a.v), len(e.v))), lambda k: a.v[k] * e.v[k])) as bigint) as score
+  from e as a join e on a.r <> e.r where a.vec_id % 50 = 0),
+p as (select *, row_number() over (partition by a order by score desc, vec_id nulls last, r) as place from s where same),
+n as (select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.a, p.place order by s.score desc, s.vec_id nulls last) as rank
+  from p join s on p.a = s.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score where p.place <= 5)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+EXACT = r"""
+with d as (select doc_id, length(coalesce(text, '')) as n,
+  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size,
+  row_number() over w = 1 as kept, text_sha256
+from d window w as (partition by text_sha256 order by n desc, doc_id nulls last)
+"""

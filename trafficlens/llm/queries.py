@@ -6,8 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trafficlens.llm import bpe, classifier, fingerprints, jaccard, oracles, packing, pii, quality_rules, sharding, tokenfiles, warc
-from trafficlens.llm.tables import store, table
+from trafficlens.llm import (
+    bpe,
+    classifier,
+    exactdedup,
+    fingerprints,
+    jaccard,
+    lexical,
+    negatives,
+    oracles,
+    packing,
+    pii,
+    quality_rules,
+    sharding,
+    tokenfiles,
+    warc,
+)
+from trafficlens.llm.tables import fresh_path, shuffle_width, store, table
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +85,27 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh one counts as of the next label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as two loads, dealt by their ids; the second one is held against the index that the first one leaves."""
+    later = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)), F.lit(0))
+    rows = exactdedup.digest_rows(table(spark, sf_dir, "documents"), later)
+    index = exactdedup.DigestIndex.create(spark, fresh_path(spark, "digest-index"), shuffle_width(spark))
+    for load in (0, 1):
+        index.add(rows.where(F.col("load") == load), load)
+    return exactdedup.report(rows, index)
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op2_sharding": placed,
@@ -82,10 +118,16 @@ QUERIES = {
     "op8_personal_data": personal,
     "op9_bpe": bpe_digests,
     "op10_rule_classifier": classified,
+    "op11_ranked_search": ranked,
+    "op12_hard_negatives": mined,
+    "op13_exact_dedup": deduplicated,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY,
     "op6_jaccard_join": oracles.JACCARD,
     "op7_warc": oracles.WARC,
+    "op11_ranked_search": oracles.RANKED,
+    "op12_hard_negatives": oracles.NEGATIVES,
+    "op13_exact_dedup": oracles.EXACT,
 }
