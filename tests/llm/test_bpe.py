@@ -26,13 +26,23 @@ def test_words_encode_as_whole_texts(seed):
 
 
 def test_forgetting_words_changes_nothing(monkeypatch):
-    monkeypatch.setattr(tokens, "MAX_WORDS", 20)
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 300)
+    monkeypatch.setattr(tokens, "NEAR_BYTES", 300)
     monkeypatch.setattr(tokens, "BLOCK_CHARS", 50)
     own = texts(9)
     got = list(tokens.WordEncoder(tokens.vocabulary()).encode(own))
     assert got == [ids.tobytes() for ids in library_ids(own)]
 
 
+def test_long_and_plain_texts(monkeypatch):
+    """Texts of plain letters take the way of columns; long ones are cut between words."""
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 40)
+    rng = random.Random(4)
+    own = ["".join(rng.choices(["The ", "Über", "ß. ", "don't", ", ", "a.b", "x..", "\t", "\x0b", "12", "ÀÉ, "], k=k)) for k in range(80)]
+    got = list(tokens.WordEncoder(tokens.vocabulary()).encode([*own, None, *texts(3, 30)]))
+    assert got == [ids.tobytes() for ids in library_ids([*own, "", *texts(3, 30)])]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_joins_are_repaired_wherever_the_cuts_are(seed):
     """Cuts anywhere between two characters, also inside words."""

@@ -3,8 +3,8 @@
 1. Texts are cut where a rolling hash of the last 16 bytes has its top bits zero (then on to just after the next white space, if
    one is near), so equal passages have equal chunks wherever they stand. Chunk hashes are counted over all documents.
 2. The chunks in two documents or more that save most are encoded once. They are chosen by classes of saving,
-   largest first, while their texts fit SHARED_BYTES together, so the table of their ids has a bounded size and is
-   broadcast. All other chunks are encoded where they stand, their words once per worker.
+   largest first, while their texts and keys fit SHARED_BYTES together, so the table of their ids has a bounded size and is
+   broadcast, as sorted arrays. All other chunks are encoded where they stand, their words once per worker.
 3. A document's ids are put together from its chunks. At every join a window of words on both sides is encoded again and must
    begin and end with the ids that the chunks have there; until it does, the window doubles. What has been put together
    thus always equals the encoding of the text so far.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ from trafficlens.llm.tables import store
 CUT_BITS = 9
 SNAP = 48
 SHARED_BYTES = 16 << 20
+#: What a shared chunk takes beside its text.
+KEY_BYTES = 48
+#: Characters of the texts that are put together at once.
+BLOCK_CHARS = 1_000_000
 #: The rolling hash's value for each byte, from a fixed rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=7) for b in range(256)], dtype=np.uint32)
 SPACE = np.zeros(256, dtype=bool)
@@ -94,7 +99,7 @@ def shared_chunks(docs: DataFrame, shared_bytes: int = SHARED_BYTES) -> DataFram
     """key of the chunks to be encoded once: classes of (n_docs - 1) * size, largest first, of ``shared_bytes`` together."""
     counted = store(chunk_counts(docs).where("n_docs > 1 and size > 0"), "chunk-counts")
     saving = F.floor(4 * F.log2((F.col("n_docs") - 1) * F.col("size"))).cast("int")
-    classes = counted.groupBy(saving.alias("saving")).agg(F.sum("size").alias("bytes")).collect()  # at most 256 rows
+    classes = counted.groupBy(saving.alias("saving")).agg(F.sum(F.col("size") + KEY_BYTES).alias("bytes")).collect()  # at most 256 rows
     room, least = shared_bytes, 1 << 30
     for saving_class, size in sorted(classes, reverse=True):
         if size > room:
@@ -103,20 +108,56 @@ def shared_chunks(docs: DataFrame, shared_bytes: int = SHARED_BYTES) -> DataFram
     return counted.where(saving >= least).select("key")
 
 
-def shared_ids(docs: DataFrame, vocabulary: str, shared_bytes: int = SHARED_BYTES) -> dict[bytes, bytes]:
-    """Ids of the shared chunks, each encoded once; the bound on their texts bounds this table."""
-    chosen = docs.sparkSession.sparkContext.broadcast({row["key"] for row in shared_chunks(docs, shared_bytes).collect()})
-    if not chosen.value:
-        return {}
+class Shared:
+    """Chunks by their keys, with the ids of each: sorted arrays, which take little more than the ids."""
+
+    def __init__(self, keys: list[bytes], ids: list[bytes] | None = None):
+        pairs = np.frombuffer(b"".join(keys), dtype="<u8").reshape(-1, 2)
+        order = np.argsort(pairs[:, 0], kind="stable")
+        self.first, self.second = pairs[order, 0], pairs[order, 1]
+        own = [ids[k] for k in order] if ids else []
+        self.ends = np.cumsum([0, *map(len, own)])
+        self.flat = b"".join(own)
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def places(self, keys: list[bytes]) -> np.ndarray:
+        """Where each key stands, -1 for those that are not here. (Of keys with the same first half one is found, the others are as good as unshared.)"""
+        if not len(self) or not keys:
+            return np.full(len(keys), -1)
+        pairs = np.frombuffer(b"".join(keys), dtype="<u8").reshape(-1, 2)
+        at = np.minimum(np.searchsorted(self.first, pairs[:, 0]), len(self) - 1)
+        return np.where((self.first[at] == pairs[:, 0]) & (self.second[at] == pairs[:, 1]), at, -1)
+
+    def ids(self, place: int) -> bytes:
+        return self.flat[self.ends[place] : self.ends[place + 1]]
+
+    def values(self) -> list[bytes]:
+        return [self.ids(k) for k in range(len(self))]
+
+
+def shared_ids(docs: DataFrame, vocabulary: str, shared_bytes: int = SHARED_BYTES) -> Shared:
+    """Ids of the shared chunks, each encoded once; the bound on their texts and keys bounds this table."""
+    keys = [bytes(row["key"]) for row in shared_chunks(docs, shared_bytes).collect()]
+    if not keys:
+        return Shared([], [])
+    chosen = docs.sparkSession.sparkContext.broadcast(Shared(keys))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, bytes] = {}
+        seen = np.zeros(len(chosen.value), dtype=bool)
         for batch in batches:
             for text in batch["text"]:
-                for chunk in chunks(text.as_py()):
-                    if (k := key(chunk)) in chosen.value:
-                        seen[k] = chunk
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), pa.array(seen.values(), pa.binary())], ["key", "chunk"])
+                own = chunks(text.as_py())
+                names = [key(c) for c in own]
+                found = []
+                for k, place in enumerate(chosen.value.places(names).tolist()):
+                    if place >= 0 and not seen[place]:
+                        seen[place] = True
+                        found.append(k)
+                if found:
+                    columns = [pa.array([names[k] for k in found], pa.binary()), pa.array([own[k] for k in found], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "chunk"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +166,8 @@ def shared_ids(docs: DataFrame, vocabulary: str, shared_bytes: int = SHARED_BYTE
 
     picked = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pick, "key binary, chunk binary")
     once = picked.groupBy("key").agg(F.min("chunk").alias("chunk"))
-    return {row["key"]: row["ids"] for row in once.mapInArrow(encode, "key binary, ids binary").toLocalIterator()}
+    rows = [(bytes(row["key"]), bytes(row["ids"])) for row in once.mapInArrow(encode, "key binary, ids binary").toLocalIterator()]
+    return Shared([k for k, _ in rows], [x for _, x in rows])
 
 
 def _left_start(raw: bytes, stop: int, words: int) -> int:
@@ -182,27 +224,28 @@ def encode(docs: DataFrame, vocabulary: str | None = None, shared_bytes: int = S
     vocabulary = vocabulary or tokens.vocabulary()
     table = docs.sparkSession.sparkContext.broadcast(shared_ids(docs, vocabulary, shared_bytes))
 
-    def encode_batch(encoder: tokens.WordEncoder, texts: list[str]) -> list[bytes]:
+    def encode_block(encoder: tokens.WordEncoder, texts: list[str]) -> Iterator[bytes]:
         cut = [None if tokens.ODD_SPACE.search(t) else chunks(t) for t in texts]
-        ids = [[table.value.get(key(c)) for c in own or ()] for own in cut]
-        missing = [c.decode() for own, known in zip(cut, ids) for c, k in zip(own or (), known) if k is None]
-        fresh = iter(list(encoder.encode(missing)))
-        out = []
-        for text, own, known in zip(texts, cut, ids):
+        places = iter(table.value.places([key(c) for own in cut for c in own or ()]).tolist())
+        known = [[next(places) for _ in own or ()] for own in cut]
+        fresh = encoder.encode(c.decode() for own, at in zip(cut, known) for c, k in zip(own or (), at) if k < 0)
+        for text, own, at in zip(texts, cut, known):
             if own is None:
-                out.append(encoder.whole(text))
+                yield encoder.whole(text)
                 continue
             starts = np.cumsum([0, *map(len, own)]).tolist()
-            parts = [(at, next(fresh) if k is None else k) for at, k in zip(starts, known)]
-            out.append(join(encoder, b"".join(own), parts))
-        return out
+            parts = [(start, next(fresh) if k < 0 else table.value.ids(k)) for start, k in zip(starts, at)]
+            yield join(encoder, b"".join(own), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(vocabulary)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = encode_batch(encoder, part["text"].to_pylist())
+            sizes = np.cumsum(pc.utf8_length(batch["text"]).to_numpy(zero_copy_only=False))
+            # Texts whose characters fall into the same block go together.
+            edges = [0, *(np.flatnonzero(np.diff(sizes // BLOCK_CHARS)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                part = batch.slice(a, b - a)
+                ids = list(encode_block(encoder, part["text"].to_pylist()))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")

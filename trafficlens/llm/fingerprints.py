@@ -226,13 +226,15 @@ def near_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def search(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Likenesses of each row of ``report``; n_near: for ids divisible by 20, the other rows within ``radius`` bits."""
-    asking = F.col("id") % 20 == 0
     found = _near_classes(rows, radius)
     n_near = found.groupBy("query").agg((F.sum("n_rows") - 1).alias("n_near"))
+    # Joined by id, which spreads the rows, and not by a fingerprint that most rows do not ask about.
+    asking = rows.where((F.col("id") % 20 == 0) & (F.col("id") != NO_ID)).select(F.col("id").alias("asking"), F.col("own").alias("asked")).distinct()
+    answers = asking.join(n_near, F.col("asked") == F.col("query")).select("asking", "asked", "n_near")
     next_print = rows.groupBy(F.col("id").alias("after_id")).agg(F.min(F.struct("n_chars", "own")).alias("x")).select("after_id", F.col("x.own").alias("after"))
     return (
         rows.join(next_print, F.col("next_id") == F.col("after_id"))
-        .join(n_near, F.when(asking, F.col("own")) == F.col("query"), "left")
+        .join(answers, (F.col("id") == F.col("asking")) & (F.col("own") == F.col("asked")), "left")
         .select(
             F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256",
             text_of(F.col("own")).alias("fingerprint"), text_of(F.col("edit")).alias("edited_fingerprint"),

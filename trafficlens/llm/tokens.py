@@ -2,6 +2,9 @@
 
 The word vocabulary's tokenizer drops white space and never joins across it, so the ids of a text are those of its
 words in turn. Words made of Latin letters are encoded many at a time and cut apart at the tokens that end a word.
+
+Texts of plain letters and ASCII are lower-cased, cut and numbered as Arrow columns, a block of texts at a time, so Python only handles each
+different word of a block; the ids are put together by arrays of positions. Other texts are cut word by word.
 """
 
 from __future__ import annotations
@@ -11,14 +14,24 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Python cuts at these four controls, the tokenizer does not: such texts are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+ANY_SPACE = re.compile(r"\s")
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Words a worker remembers; then it starts anew, and keeps the words before as a second choice.
-MAX_WORDS = 600_000
-#: Characters whose words are held at once.
-BLOCK_CHARS = 2_000_000
+#: Letters of which no two case forms are longer or shorter, ASCII without controls, and no sign that could open a special token.
+SIMPLE = re.compile("[\t-\r -;=-~À-ÖØ-öø-ÿ]*")
+#: A mark at the end of a word is a token of its own.
+LAST_MARK = r"([a-zà-öø-ÿ])([.,])(\s|$)"
+#: Bytes of words and ids that a worker remembers as columns, and as single words; beyond that it starts anew.
+KNOWN_BYTES = 64 << 20
+NEAR_BYTES = 24 << 20
+#: What a single word takes beside its letters and ids.
+WORD_BYTES = 160
+#: Characters whose words are held at once; longer texts are cut between words.
+BLOCK_CHARS = 4_000_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -51,29 +64,36 @@ class WordEncoder:
         self.tokenizer = load(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Words met in plain texts, and where the ids of each lie in ``flat``.
+        self.words = pa.array([""], pa.large_string())
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, "<u4")
+        #: Words met elsewhere.
+        self.near: dict[str, bytes] = {}
+        self.near_bytes = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_plain(self, words: list[str]) -> None:
+    def _learn_plain(self, words: list[str]) -> dict[str, bytes]:
         """``words`` are lower case and match PLAIN: each gives exactly one token that ends a word."""
         groups = [words[i : i + 100] for i in range(0, len(words), 100)]
         encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        known = {}
         for group, found in zip(groups, encoded):
             ids = np.array(found.ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(group):
-                self.known.update((w, self.whole(w)) for w in group)
+                known.update((w, self.whole(w)) for w in group)
                 continue
             raw, at = ids.tobytes(), 0
             for word, cut in zip(group, cuts.tolist()):
-                self.known[word] = raw[4 * at : 4 * cut]
+                known[word] = raw[4 * at : 4 * cut]
                 at = cut
+        return known
 
-    def _learn(self, missing: Iterable[str]) -> None:
-        known, later, odd, base = self.known, [], [], set()
+    def learn(self, missing: Iterable[str]) -> dict[str, bytes]:
+        """Ids of different words."""
+        later, odd, base = [], [], set()
         for word in missing:
             if word.isascii() and word.islower() and word.isalpha():
                 base.add(word)
@@ -85,55 +105,96 @@ class WordEncoder:
                 later.append((word, lower, word[len(stem) :]))
             else:
                 odd.append(word)
-        odd += [mark for mark in (".", ",") if mark not in known]
-        if odd:
-            found = self.tokenizer.encode_batch(odd, add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(odd, found))
-        self._recall(base)
-        self._learn_plain([w for w in base if w not in known])
+        odd += [".", ","]
+        found = self.tokenizer.encode_batch(odd, add_special_tokens=False)
+        known = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(odd, found)}
+        known |= self._learn_plain(list(base))
         for word, stem, mark in later:
             known[word] = known[stem] + known[mark] if mark else known[stem]
-
-    def _recall(self, words: Iterable[str]) -> None:
-        """What was known before the last start anew is known again."""
-        older = self.older
-        self.known.update((w, older[w]) for w in words if w in older)
-
-    def _need(self, words: Iterable[str]) -> None:
-        missing = {w for w in words if w not in self.known}
-        if missing:
-            self._recall(missing)
-            self._learn([w for w in missing if w not in self.known])
+        return known
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        held: list[list[str] | str] = []
-        size = 0
-        for text in texts:
-            text = text or ""
-            held.append(text if ODD_SPACE.search(text) else text.split())
-            size += len(text)
-            if size >= BLOCK_CHARS:
-                yield from self._encode_block(held)
-                held, size = [], 0
-        yield from self._encode_block(held)
+        begun = b""
+        for held, lasts in _blocks(texts):
+            for ids, last in zip(self._encode_block(held), lasts, strict=True):
+                begun = begun + ids if begun else ids
+                if last:
+                    yield begun
+                    begun = b""
 
     def short(self, text: str) -> bytes:
-        """Ids of a few words."""
+        """Ids of a text, word by word."""
         if ODD_SPACE.search(text):
             return self.whole(text)
         words = text.split()
-        self._need(words)
-        return b"".join([self.known[w] for w in words])
-
-    def _encode_block(self, held: list[list[str] | str]) -> Iterator[bytes]:
-        if len(self.known) > MAX_WORDS:
-            self.older, self.known = self.known, {}
-        present: set[str] = set()
-        for words in held:
-            if not isinstance(words, str):
-                present.update(words)
-        self._need(present)
-        get = self.known.__getitem__
-        for words in held:
-            yield self.whole(words) if isinstance(words, str) else b"".join(map(get, words))
+        missing = {w for w in words if w not in self.near}
+        if missing:
+            if self.near_bytes > NEAR_BYTES:
+                missing, self.near, self.near_bytes = set(words), {}, 0
+            self.near |= self.learn(missing)
+            self.near_bytes += sum(WORD_BYTES + len(w) + len(self.near[w]) for w in missing)
+        return b"".join([self.near[w] for w in words])
+
+    def _encode_block(self, held: list[str]) -> Iterator[bytes]:
+        simple = [bool(SIMPLE.fullmatch(text)) for text in held]
+        columns = self._encode_simple([t for t, s in zip(held, simple, strict=True) if s])
+        for text, plain in zip(held, simple, strict=True):
+            yield next(columns) if plain else self.short(text)
+
+    def _encode_simple(self, texts: list[str]) -> Iterator[bytes]:
+        lowered = pc.utf8_lower(pa.array(texts, pa.large_string()))
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered, LAST_MARK, r"\1 \2\3"))
+        coded = words.flatten().dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        # Each word's place in the block takes the ids of its number.
+        length = self.lengths[place]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.flat[np.repeat(self.starts[place] - (ends - length), length) + np.arange(total)]
+        edges = np.r_[0, ends][words.offsets.to_numpy()].tolist()
+        for a, b in zip(edges, edges[1:]):
+            yield out[a:b].tobytes()
+
+    def _places(self, unique: pa.Array) -> np.ndarray:
+        """Where each word of a block is known; new ones are learnt, and if that gets too much, all before are forgotten."""
+        place = pc.index_in(unique, value_set=self.words)
+        missing = unique.filter(place.is_null())
+        if len(missing):
+            if self.words.nbytes + self.flat.nbytes + 16 * len(self.words) > KNOWN_BYTES:
+                self.words, self.flat = pa.array([""], pa.large_string()), np.empty(0, "<u4")
+                self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
+                missing = unique.filter(pc.not_equal(unique, ""))
+            learnt = self.learn(missing.to_pylist())
+            ids = [learnt[w] for w in missing.to_pylist()]
+            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
+            self.lengths = np.r_[self.lengths, lengths]
+            self.flat = np.r_[self.flat, np.frombuffer(b"".join(ids), dtype="<u4")]
+            self.words = pa.concat_arrays([self.words, missing])
+            place = pc.index_in(unique, value_set=self.words)
+        return place.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _blocks(texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[bool]]]:
+    """Pieces of texts, some millions of characters at a time, with whether each ends its text."""
+    held, lasts, size = [], [], 0
+    for text in texts:
+        for piece, last in _between_words(text or ""):
+            held.append(piece)
+            lasts.append(last)
+            size += len(piece)
+            if size >= BLOCK_CHARS:
+                yield held, lasts
+                held, lasts, size = [], [], 0
+    yield held, lasts
+
+
+def _between_words(text: str) -> Iterator[tuple[str, bool]]:
+    """The text, or pieces of bounded length where it is long, cut at blanks; with whether it is the last one."""
+    at, end = 0, len(text)
+    if end > BLOCK_CHARS and not ODD_SPACE.search(text):
+        while end - at > BLOCK_CHARS and (found := ANY_SPACE.search(text, at + BLOCK_CHARS)):
+            yield text[at : found.start()], False
+            at = found.start()
+    yield text[at:], True
