@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import io
+import random
 import struct
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan, StringStartsWith
 
+from trafficlens.sources import captures as source
 from trafficlens.sources import framing
-from trafficlens.sources.captures import CaptureFolder, list_captures, read_captures
+from trafficlens.sources.captures import CaptureFolder, CaptureReader, list_captures, read_captures, register
+from trafficlens.sources.decode import packets
 
 START = 1_700_000_000
 
@@ -115,10 +120,10 @@ def folder(tmp_path):
 GOOD = ("little.pcap", "big.PCAP", "nanos.pcap", "ng.pcapng", "ng_big_nanos.pcapng")
 
 
-@pytest.mark.parametrize("limit, piece", [(1 << 20, 1 << 20), (0, 300)])
-def test_decode(spark, folder, limit, piece):
-    """Whole files as rows, and files cut in pieces of about 300 bytes."""
-    captures = CaptureFolder(spark, folder, inline_limit=limit, piece_bytes=piece)
+@pytest.mark.parametrize("segment", [1 << 20, 300])
+def test_decode(spark, folder, segment):
+    """Whole files, and files cut in pieces of about 300 bytes."""
+    captures = CaptureFolder(spark, folder, segment_bytes=segment)
     rows: dict = {}
     for r in captures.packets().collect():
         rows.setdefault(r["capture_file"], {})[r["packet_no"]] = r
@@ -146,13 +151,180 @@ def test_list_and_label(spark, folder):
     assert [r["label"] for r in labels] == ["ddos"]
 
 
-@pytest.mark.parametrize("data", [classic(BYTES), classic(BYTES, ">", True), ng(BYTES), ng(BYTES, ">", 9)])
+def sequential(data):
+    """Positions of all packet records by one walk, and what is wrong with the file."""
+    stream = io.BytesIO(data)
+    state, start = framing.open_state(stream)
+    walker = framing.Walker(stream, len(data), state, start)
+    return [run.base + int(h) for run in walker.runs(len(data)) for h in run.heads], walker.problem
+
+
+def split(data, segment):
+    """The pieces as the Spark jobs make them, in this process; with the number of rounds."""
+    stream, rows, n = io.BytesIO(data), [], len(data)
+    for begin in range(0, n, segment):
+        stop = min(begin + segment, n)
+        walks = list(framing.split_walks(stream, n, begin, stop))
+        base = {"path": "x", "length": n, "begin": begin, "stop": stop, "state": framing.open_state(stream)[0].to_json()}
+        rows += [{**base, **vars(w)} for w in walks] or [base]
+    for rounds in range(100):
+        pieces = source._stitch(pa.Table.from_pylist(rows, schema=source.WALKS)).to_pylist()
+        left = [p for p in pieces if p["packets"] is None]
+        if not left:
+            return pieces, rounds
+        begin, at, state = left[0]["begin"], left[0]["start"], framing.State.from_json(left[0]["state"])
+        stop = min(begin + segment, n)
+        walk = framing.walk_segment(stream, n, state, at, stop, known=True)
+        rows = [r for r in rows if r["begin"] != begin or begin == 0]
+        rows.append({"path": "x", "length": n, "begin": begin, "stop": stop, **vars(walk)})
+    raise AssertionError("no end")
+
+
+def same_as_sequential(data, segment):
+    heads, problem = sequential(data)
+    pieces, rounds = split(data, segment)
+    assert [p["first_no"] for p in pieces] == [sum(q["packets"] for q in pieces[:k]) for k in range(len(pieces))]
+    found, stream = [], io.BytesIO(data)
+    for p in pieces:
+        if p["packets"]:
+            walker = framing.Walker(stream, len(data), framing.State.from_json(p["state"]), p["start"])
+            own = [(run.base + int(h), run.state) for run in walker.runs(p["end"]) for h in run.heads]
+            assert len(own) == p["packets"]
+            found += own
+    assert [h for h, _ in found] == heads and pieces[-1]["error"] == problem
+    stream = io.BytesIO(data)
+    state, start = framing.open_state(stream)
+    states = [run.state for run in framing.Walker(stream, len(data), state, start).runs(len(data)) for _ in run.heads]
+    assert [s for _, s in found] == states
+    return rounds
+
+
+@pytest.mark.parametrize("data", [classic(BYTES), classic(BYTES, ">", True), ng(BYTES), ng(BYTES, ">", 9), classic(BYTES, cut=5), classic([])])
 def test_pieces_cover_the_file(data):
-    for size in (1, 100, 500, 10_000):
+    for size in (30, 100, 500, 10_000):
+        same_as_sequential(data, size)
+
+
+def random_frames(rng, n):
+    """Frames of many sizes, some of which carry capture files, runs of zeros or single headers."""
+    inner = classic(BYTES * 3)[24:]
+    kinds = (lambda: rng.randbytes(rng.randrange(1, 400)), lambda: bytes(rng.randrange(1, 900)), lambda: inner[rng.randrange(200) :],
+             lambda: struct.pack("<IIII", START, 5, 8, 8) * rng.randrange(1, 40), lambda: ng(BYTES * 2)[rng.randrange(0, 64, 4) :])
+    return [rng.choice(kinds)() for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_payloads_like_headers(seed):
+    rng = random.Random(seed)
+    frames = random_frames(rng, 150)
+    for data in (classic(frames), classic(frames, ">"), ng(frames), ng(frames, ">", 9), classic(frames, cut=40), ng(frames)[:-30]):
+        for size in (700, 5_000, 1 << 20):
+            same_as_sequential(data, size)
+
+
+def test_interfaces_and_sections_in_the_middle():
+    """Interfaces declared between packets, and sections of the other byte order."""
+    rng = random.Random(8)
+    out = b""
+    for order in ("<", ">", "<"):
+        part = ng(random_frames(rng, 25), order)
+        more = [block(order, 1, struct.pack(order + "HHI", 101, 0, 0)), block(order, 77, b"private!")]
+        for k in range(25):
+            frame = random_frames(rng, 1)[0]
+            more.append(block(order, 6, struct.pack(order + "IIIII", k % 2, 5, 6, len(frame), len(frame)) + frame))
+            more.append(block(order, 3, struct.pack(order + "I", len(frame)) + frame))
+        out += part + b"".join(more)
+    for data in (out, out + block("<", 6, struct.pack("<IIIII", 9, 5, 6, 0, 0)) + out):
+        for size in (400, 3_000):
+            same_as_sequential(data, size)
+
+
+def test_a_record_longer_than_a_block(monkeypatch):
+    frames = [b"a" * 50, b"b" * 5_000, b"c" * 70_000, b"d"]
+    for data in (classic(frames), ng(frames)):
         stream = io.BytesIO(data)
-        found = list(framing.pieces(stream, len(data), size))
-        got = [(n, r.data) for p in found if p.packets for n, r in framing.read_piece(stream, len(data), p)]
-        assert got == list(enumerate(BYTES))
+        state, start = framing.open_state(stream)
+        walker = framing.Walker(stream, len(data), state, start, block=64)
+        assert sum(len(r.heads) for r in walker.runs(len(data))) == 4 and walker.problem is None
+
+
+def decoded(frames):
+    stream = io.BytesIO(classic(frames))
+    state, start = framing.open_state(stream)
+    (run,) = framing.Walker(stream, len(stream.getvalue()), state, start).runs(1 << 40)
+    return packets(run, "x", 0).to_pylist()
+
+
+def test_odd_names():
+    def query(raw, questions=1):
+        return ether(0x0800, ip4(17, udp(payload=struct.pack(">HHHHHH", 7, 0x100, questions, 0, 0, 0) + raw)))
+
+    cases = [
+        (query(b"\3www\2\xe9\xff\0"), "www.\xe9\xff"),
+        (query(b"\3www\0", 0), None),
+        (query(b"\0"), None),
+        (query(b"\5ab"), "ab"),
+        (query(b"\3abc\x05d"), "abc.d"),
+        (query(b"\3abc\xc0\x0c"), "abc"),
+        (query(b"\1a" * 200), ".".join("a" * 127)),
+        (query(b""), None),
+    ]
+    assert [r["dns_query"] for r in decoded([f for f, _ in cases])] == [want for _, want in cases]
+
+
+def test_frames_cut_anywhere():
+    """Whatever the length at which a frame is cut, the fields it still has are there."""
+    whole = FRAMES[0][0]
+    rows = decoded([whole[:k] for k in range(1, len(whole) + 1)])
+    for k, row in enumerate(rows, 1):
+        assert (row["src_port"] == 1234) == (k >= 36) and (row["tcp_flags"] == "0x0012") == (k >= 48) and (row["ttl"] == 64) == (k >= 23)
+        assert (row["http_method"] == "GET") == (k >= 58)
+
+
+def test_reader_takes_conditions(folder):
+    def kept(*filters, **options):
+        reader = CaptureReader({"path": folder, **options})
+        rest = list(reader.pushFilters(list(filters)))
+        return sorted(p.path for t in reader.partitions() for p in t.pieces), rest
+
+    name = ("capture_file",)
+    assert kept(EqualTo(name, "ng.pcapng")) == (["ng.pcapng"], [])
+    assert kept(In(name, ("ng.pcapng", "cut.pcap", "none"))) == (["cut.pcap", "ng.pcapng"], [])
+    assert kept(StringStartsWith(name, "ng")) == (["ng.pcapng", "ng_big_nanos.pcapng"], [])
+    low = GreaterThanOrEqual(("packet_no",), 3)
+    assert kept(StringStartsWith(name, "big"), low) == (["big.PCAP"], [low])
+
+
+def test_pieces_are_left_out_by_number(spark, folder):
+    captures = CaptureFolder(spark, folder, segment_bytes=300)
+    reader = CaptureReader({"path": folder, "pieces": captures.pieces_at})
+    low, high = GreaterThanOrEqual(("packet_no",), 5), LessThan(("packet_no",), 7)
+    assert list(reader.pushFilters([low, high])) == [low, high]
+    pieces = [p for t in reader.partitions() for p in t.pieces]
+    assert pieces and all(p.first_no <= 7 and p.first_no + p.packets > 5 for p in pieces if p.packets is not None)
+    found = captures.packets().where("packet_no >= 5 and packet_no < 7").groupBy("capture_file").count().collect()
+    assert {(r["capture_file"], r["count"]) for r in found} == {(name, 2) for name in (*GOOD, "cut.pcap")}
+
+
+def test_stream_of_files(spark, tmp_path):
+    """Files that are moved in between two runs of a stream are read once each."""
+    register(spark)
+    landing, out = tmp_path / "landing", tmp_path / "out"
+    landing.mkdir()
+
+    def run():
+        stream = spark.readStream.format("captures").load(landing.as_uri())
+        stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "check")).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+        return {(r["capture_file"], r["count"]) for r in spark.read.parquet(str(out)).groupBy("capture_file").count().collect()}
+
+    (landing / "a.pcap").write_bytes(classic(BYTES))
+    assert run() == {("a.pcap", len(BYTES))}
+    (landing / "sub").mkdir()
+    (landing / "sub" / "a.pcapng").write_bytes(ng(BYTES))
+    (landing / "broken.pcap").write_bytes(b"no capture")
+    assert run() == {("a.pcap", len(BYTES)), ("sub/a.pcapng", len(BYTES))}
 
 
 def test_raw_link_types(spark, tmp_path):

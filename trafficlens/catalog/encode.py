@@ -23,8 +23,15 @@ def _address(ip: Column) -> Column:
     return F.concat(*[_hex(F.split(ip, r"\.")[i], 1) for i in range(4)])
 
 
-def frame_hex() -> Column:
-    """Ethernet, IPv4, and TCP, UDP or ICMP, with a request line or a DNS question where there is one."""
+#: Records of a capture, as a payload might carry them: twenty headers, each followed by eight bytes.
+DECOY = ("00F1536500000000" + "0800000008000000" + "AB" * 8) * 20
+
+
+def frame_hex(decoys: bool = False) -> Column:
+    """Ethernet, IPv4, and TCP, UDP or ICMP, with a request line or a DNS question where there is one.
+
+    With ``decoys`` other payloads look like the records of a capture file.
+    """
     method, query = F.col("http_method"), F.col("dns_query")
     labels = F.transform(F.split(query, r"\."), lambda x: F.concat(_hex(F.length(x), 1), F.hex(x)))
     dns = F.concat(F.lit("000001000001000000000000"), F.array_join(labels, ""), F.lit("0000010001"))
@@ -35,9 +42,9 @@ def frame_hex() -> Column:
     )
     udp = F.concat(
         _hex(F.col("src_port"), 2), _hex(F.col("dst_port"), 2), _hex(F.col("udp_length"), 2), F.lit("0000"),
-        F.coalesce(dns, F.lit("")),
+        F.coalesce(dns, F.lit(DECOY if decoys else "")),
     )
-    icmp = F.concat(_hex(F.col("icmp_type"), 1), F.lit("00000000000000"))
+    icmp = F.concat(_hex(F.col("icmp_type"), 1), F.lit("00000000000000" + (DECOY if decoys else "")))
     protocol = F.col("protocol")
     ip = F.concat(
         F.lit("4500"), F.lit("0000"), F.lit("00000000"), _hex(F.col("ttl"), 1), _hex(protocol, 1), F.lit("0000"),
@@ -47,25 +54,40 @@ def frame_hex() -> Column:
     return F.concat(F.lit("00" * 12 + "0800"), ip, transport)
 
 
-def capture_blobs(packets: DataFrame) -> DataFrame:
-    """(path, content): classic capture files of at most 1000 packets each.
-
-    ``packets`` needs ``packet_no``; file ``n`` of a capture holds its packets from 1000 n on.
-    """
-    body = frame_hex()
+def _parts(packets: DataFrame, decoys: bool = False) -> DataFrame:
+    """capture_file, part and the records (hex) of each thousand packets of a capture."""
+    body = frame_hex(decoys)
     size = F.length(body) / 2
     record = F.concat(
         _little(F.floor(F.col("ts_us") / 1_000_000)), _little(F.col("ts_us") % 1_000_000),
         _little(size), _little(F.col("packet_length")), body,
     )
     part = F.floor(F.col("packet_no") / PACKETS_PER_FILE).cast("bigint")
-    header = "D4C3B2A1020004000000000000000000FFFF000001000000"
     return (
         packets.select("capture_file", part.alias("part"), F.struct("packet_no", record.alias("record")).alias("r"))
         .groupBy("capture_file", "part")
         .agg(F.sort_array(F.collect_list("r")).alias("records"))
-        .select(
-            F.concat(F.lit("/captures/"), F.lpad(F.col("part").cast("string"), 9, "0"), F.lit("_"), "capture_file").alias("path"),
-            F.unhex(F.concat(F.lit(header), F.array_join(F.col("records.record"), ""))).alias("content"),
-        )
+        .select("capture_file", "part", F.array_join(F.col("records.record"), "").alias("records"))
+    )
+
+
+HEADER = "D4C3B2A1020004000000000000000000FFFF000001000000"
+
+
+def capture_blobs(packets: DataFrame) -> DataFrame:
+    """(path, content): classic capture files of at most 1000 packets each.
+
+    ``packets`` needs ``packet_no``; file ``n`` of a capture holds its packets from 1000 n on.
+    """
+    return _parts(packets).select(
+        F.concat(F.lit("/captures/"), F.lpad(F.col("part").cast("string"), 9, "0"), F.lit("_"), "capture_file").alias("path"),
+        F.unhex(F.concat(F.lit(HEADER), F.col("records"))).alias("content"),
+    )
+
+
+def capture_parts(packets: DataFrame, decoys: bool = False) -> DataFrame:
+    """(path, part, content): one capture file for each capture, in parts that are joined when they are written."""
+    head = F.when(F.col("part") == 0, F.lit(HEADER)).otherwise(F.lit(""))
+    return _parts(packets, decoys).select(
+        F.col("capture_file").alias("path"), "part", F.unhex(F.concat(head, F.col("records"))).alias("content")
     )

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trafficlens.catalog.encode import capture_blobs
+from trafficlens.catalog.encode import capture_blobs, capture_parts
 from trafficlens.catalog.feature_oracles import on_packets
 from trafficlens.catalog.fixture import numbered_packets, packets
 from trafficlens.catalog.shape import rounded
-from trafficlens.functions.expressions import file_name
+from trafficlens.functions.expressions import file_name, path_below
 from trafficlens.operators import counted
 from trafficlens.schema import PACKET_FIELDS
-from trafficlens.session import fresh_path, store
+from trafficlens.session import folder_depth, fresh_path, store
 from trafficlens.sources import captures, sinks, tables
 
 E = ["capture_file"]
@@ -78,8 +78,57 @@ def combine_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capture_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets to capture bytes and back through framing and header decoding."""
     blobs = capture_blobs(numbered_packets(spark, sf_dir))
-    decoded = captures.packets_of_frames(captures.frames_of_contents(blobs))
-    return decoded.drop("timestamp")
+    return captures.packets_of_contents(blobs).drop("timestamp")
+
+
+def _landed_captures(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of real files: attack captures as one file each, the others in files of a thousand packets in a folder of their own."""
+    numbered = store(numbered_packets(spark, sf_dir), "numbered")
+    small = capture_blobs(numbered.where(F.col("label") == "normal"))
+    files = small.select(F.concat(F.lit("small/"), file_name(F.col("path"))).alias("path"), F.lit(0).alias("part"), "content")
+    whole = capture_parts(numbered.where(F.col("label") == "ddos"))
+    return sinks.write_captures(files.unionByName(whole), fresh_path(spark, "captures"))
+
+
+def capture_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of capture files of several sizes through the data source; the larger ones are cut into pieces."""
+    return captures.CaptureFolder(spark, _landed_captures(spark, sf_dir), segment_bytes=1 << 14).packets().drop("timestamp")
+
+
+def capture_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same folder by the name of the format, whole files to a task; conditions reach the reader."""
+    captures.register(spark)
+    found = spark.read.format("captures").load(_landed_captures(spark, sf_dir))
+    return found.where("capture_file like 'small/%' and packet_no >= 100").drop("timestamp")
+
+
+def capture_split_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each capture, walked from many places at once; payloads look like capture records."""
+    parts = capture_parts(numbered_packets(spark, sf_dir), decoys=True)
+    folder = sinks.write_captures(parts, fresh_path(spark, "captures"))
+    return captures.CaptureFolder(spark, folder, segment_bytes=1 << 13).packets().drop("timestamp")
+
+
+def capture_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name and size of the capture files of a folder."""
+    folder = _landed_captures(spark, sf_dir)
+    depth = folder_depth(spark, folder)
+    return captures.list_captures(spark, folder).select(path_below(F.col("path"), depth).alias("capture_file"), "length")
+
+
+def capture_folder_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status per file of a folder whose larger files are cut into pieces; every third capture is cut short, every fifth is none."""
+    parts = capture_parts(numbered_packets(spark, sf_dir))
+    day = F.regexp_extract("path", r"cap_(\d+)", 1).cast("int")
+    last = F.max("part").over(Window.partitionBy("path")) == F.col("part")
+    broken = parts.withColumn(
+        "content",
+        F.when(day % 5 == 0, F.encode(F.lit("no capture"), "utf-8"))
+        .when((day % 3 == 0) & last, F.substring(F.col("content"), F.lit(1), F.length("content") - 7))
+        .otherwise(F.col("content")),
+    )
+    folder = sinks.write_captures(broken, fresh_path(spark, "captures"))
+    return captures.CaptureFolder(spark, folder, segment_bytes=1 << 14).status()
 
 
 def capture_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +150,8 @@ def same_name_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     blobs = store(
         capture_blobs(numbered_packets(spark, sf_dir)).withColumn("path", F.concat(F.lit("file:/landed/"), file_name(F.col("path")), F.lit("/x.pcap"))), "blobs"
     )
-    counts = captures.packets_of_frames(captures.frames_of_contents(blobs), 1).groupBy(*E).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(captures.status_of_pieces(captures.pieces_of_contents(blobs), 1), E).select(*E, "n", "packets", "status")
+    counts = captures.packets_of_contents(blobs, 1).groupBy(*E).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(captures.status_of_pieces(captures.pieces_of_contents(blobs), captures.capture_name(1)), E).select(*E, "n", "packets", "status")
 
 
 def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +167,11 @@ def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILE = "lpad(cast(packet_no // 1000 as varchar), 9, '0') || '_' || capture_file"
+LANDED = f"case label when 'ddos' then capture_file else 'small/' || {FILE} end"
+FIELDS = """ts_us, ip_src, ip_dst, src_port, dst_port, protocol, packet_length, ttl,
+    case tcp_flags when 'S' then '0x0002' when 'SA' then '0x0012' when 'A' then '0x0010'
+      when 'PA' then '0x0018' when 'FA' then '0x0011' when 'R' then '0x0004' end as tcp_flags,
+    tcp_window_size, udp_length, icmp_type, http_method, dns_query"""
 
 QUERIES = {
     "scan_parquet": scan_parquet,
@@ -131,6 +185,11 @@ QUERIES = {
     "combine_features": combine_features,
     "capture_decode": capture_decode,
     "capture_status": capture_status,
+    "capture_folder": capture_folder,
+    "capture_source": capture_source,
+    "capture_split_decode": capture_split_decode,
+    "capture_list": capture_list,
+    "capture_folder_status": capture_folder_status,
 }
 
 ORACLES = {
@@ -170,11 +229,28 @@ ORACLES = {
              cast(min(ttl) as bigint) as ttl_min, cast(max(ttl) as bigint) as ttl_max
            from packets where label = 'normal' group by capture_file"""
     ),
-    "capture_decode": on_packets(
-        f"""select {FILE} as capture_file, packet_no % 1000 as packet_no, ts_us, ip_src, ip_dst, src_port, dst_port,
-              protocol, packet_length, ttl, case tcp_flags when 'S' then '0x0002' when 'SA' then '0x0012' when 'A' then '0x0010'
-                when 'PA' then '0x0018' when 'FA' then '0x0011' when 'R' then '0x0004' end as tcp_flags,
-              tcp_window_size, udp_length, icmp_type, http_method, dns_query from numbered"""
+    "capture_decode": on_packets(f"select {FILE} as capture_file, packet_no % 1000 as packet_no, {FIELDS} from numbered"),
+    "capture_folder": on_packets(
+        f"""select {LANDED} as capture_file, case label when 'ddos' then packet_no else packet_no % 1000 end as packet_no, {FIELDS}
+            from numbered"""
+    ),
+    "capture_source": on_packets(
+        f"""select {LANDED} as capture_file, packet_no % 1000 as packet_no, {FIELDS}
+            from numbered where label = 'normal' and packet_no % 1000 >= 100"""
+    ),
+    "capture_split_decode": on_packets(f"select capture_file, packet_no, {FIELDS} from numbered"),
+    "capture_list": on_packets(
+        f"""select {LANDED} as capture_file, cast(24 + sum(16 + 14 + 20 + case protocol
+                when 6 then 20 + coalesce(15 + length(http_method), 0)
+                when 17 then 8 + coalesce(12 + 1 + length(dns_query) + 5, 0) else 8 end) as bigint) as length
+            from numbered group by 1"""
+    ),
+    "capture_folder_status": on_packets(
+        """select capture_file, case when day % 5 = 0 or day % 3 = 0 then 'error' else 'ok' end as status,
+             cast(case when day % 5 = 0 then 0 when day % 3 = 0 then n - 1 else n end as bigint) as packets,
+             case when day % 5 = 0 then 'not a capture file: unknown magic number'
+               when day % 3 = 0 then 'the capture is cut short in the middle of a packet' end as error
+           from (select capture_file, cast(substr(capture_file, 5, 2) as int) as day, count(*) as n from numbered group by all)"""
     ),
     "capture_status": on_packets(
         f"""select file as capture_file, case when day % 5 = 0 or day % 3 = 0 then 'error' else 'ok' end as status,

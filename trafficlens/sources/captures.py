@@ -1,10 +1,15 @@
-"""Capture files to packet tables.
+"""Capture files to packet tables: a Spark data source named ``captures``.
 
-Files up to ``inline_limit`` arrive as rows of Spark's ``binaryFile`` source and are cut
-into frames where they arrive. Larger files never become one row: a first pass walks the
-record headers and notes where pieces of ``piece_bytes`` start; the list of pieces is
-stored and spread over the cluster, and each task reads its own byte range. One huge
-capture is thus decoded by many tasks.
+    register(spark)
+    spark.read.format("captures").load(folder)          # packets, one task walks a file from end to end
+    spark.readStream.format("captures").load(folder)    # packets of files that are moved into the folder
+    CaptureFolder(spark, folder).packets()              # the same, large files cut into segments first
+
+Files of all sizes take the same way: byte ranges are read through Arrow's file systems and decoded by arrays of positions, batch by
+batch, so neither a file nor a segment becomes a row. Files above the segment size are first walked in parallel: every segment finds the
+starts that look right and how far they lead (``framing.split_walks``), the walks are stitched together file by file, and what no guess
+has hit is walked again from where the segment before ends. The result is that of one walk through the file, record for record, while no
+task reads more than some segments. The stitched list of pieces is stored and names each piece's first packet number.
 
 A broken file does not stop the others. It gives its good packets and a status row.
 """
@@ -12,29 +17,53 @@ A broken file does not stop the others. It gives its good packets and a status r
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Iterator
-from urllib.parse import urlparse
+from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
+)
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from trafficlens.functions.expressions import admitted, file_name, path_below
-from trafficlens.session import folder_depth, store
+from trafficlens.session import fresh_path, store
 from trafficlens.settings import CAPTURE_EXTENSIONS
-from trafficlens.sources.decode import decode_frames
-from trafficlens.sources.framing import CaptureError, Piece, pieces, read_piece
-
-INLINE_LIMIT = 64 * 1024 * 1024
-PIECE_BYTES = 64 * 1024 * 1024
-ROWS_PER_BATCH = 5_000
-BYTES_PER_BATCH = 32 * 1024 * 1024
+from trafficlens.sources import framing
+from trafficlens.sources.decode import PACKETS, packets
+from trafficlens.sources.framing import CaptureError, Run, State, Walker
+
+SEGMENT_BYTES = 64 * 1024 * 1024
+#: Small files are put together until a task has so many bytes.
+TASK_BYTES = 64 * 1024 * 1024
+ROWS_PER_BATCH = 20_000
 GLOB = "*.[pP][cC][aA][pP]*"
 
-FRAME_SCHEMA = "path string, packet_no bigint, ts_us bigint, wire_length bigint, link int, frame binary"
-PIECE_SCHEMA = (
-    "path string, length bigint, start bigint, end bigint, first_no bigint, packets bigint, state string, error string"
+_LONG, _TEXT = pa.int64(), pa.string()
+WALKS = pa.schema(
+    [("path", _TEXT), ("length", _LONG), ("begin", _LONG), ("stop", _LONG), ("start", _LONG), ("end", _LONG), ("packets", _LONG)]
+    + [("entry", _TEXT), ("order", _TEXT), ("resets", pa.bool_()), ("interfaces", _TEXT), ("needs", _LONG), ("problem", _TEXT), ("state", _TEXT)]
+)
+PIECES = pa.schema(
+    [("path", _TEXT), ("length", _LONG), ("begin", _LONG), ("start", _LONG), ("end", _LONG), ("first_no", _LONG), ("packets", _LONG)]
+    + [("state", _TEXT), ("error", _TEXT)]
 )
+COUNTS = pa.schema([("path", _TEXT), ("packets", _LONG), ("error", _TEXT)])
 
 
 def list_captures(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,96 +72,370 @@ def list_captures(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(admitted(F.col("path"), CAPTURE_EXTENSIONS)).select("path", "length", "modificationTime")
 
 
-def open_stream(path: str) -> io.BufferedIOBase:
-    """Seekable stream of a file at any address that Arrow's file systems know."""
+@lru_cache(maxsize=64)
+def file_system(folder: str):
+    """Arrow's file system for an address, and the path on it."""
     from pyarrow import fs
 
-    scheme = urlparse(path).scheme
-    address = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + path[len(scheme) :]
+    scheme, colon, rest = folder.partition(":")
+    if colon and not rest.startswith("//"):
+        rest = f"//{rest}"
+    address = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest
     system, inner = fs.FileSystem.from_uri(address)
-    return io.BufferedReader(system.open_input_file(inner), 1 << 20)
+    return system, inner.rstrip("/")
 
 
-def _frame_batches(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
-    """Rows in batches that are bounded in rows and in bytes."""
-    batch, size = [], 0
-    names = ["path", "packet_no", "ts_us", "wire_length", "link", "frame"]
+@dataclass
+class CaptureFile:
+    path: str  # below the folder
+    length: int
+    changed: int
 
-    def frame_table() -> pd.DataFrame:
-        return pd.DataFrame(batch, columns=names).astype({"ts_us": "Int64"})
 
-    for row in rows:
-        batch.append(row)
-        size += len(row[-1])
-        if len(batch) >= ROWS_PER_BATCH or size >= BYTES_PER_BATCH:
-            yield frame_table()
-            batch, size = [], 0
-    if batch:
-        yield frame_table()
+def files_of(folder: str) -> list[CaptureFile]:
+    """The capture files of a folder and of those in it, as Spark lists files: hidden ones do not count."""
+    from pyarrow import fs
 
+    system, inner = file_system(folder)
+    if system.get_file_info(inner).type == fs.FileType.File:
+        found, inner = [system.get_file_info(inner)], inner.rpartition("/")[0]
+    else:
+        found = system.get_file_info(fs.FileSelector(inner, recursive=True))
+    out = []
+    for f in found:
+        below = f.path[len(inner) :].lstrip("/")
+        hidden = any(part.startswith(("_", ".")) for part in below.split("/"))
+        if f.is_file and not hidden and f.extension.lower() in CAPTURE_EXTENSIONS:
+            out.append(CaptureFile(below, f.size, f.mtime_ns))
+    return sorted(out, key=lambda f: f.path)
+
+
+def open_file(folder: str, below: str):
+    system, inner = file_system(folder)
+    path = inner if inner.endswith(f"/{below}") and system.get_file_info(inner).is_file else f"{inner}/{below}"
+    return io.BufferedReader(system.open_input_file(path), 1 << 16)
+
+
+@dataclass
+class Piece:
+    """A run of records that one task reads; without an end it is the rest of the file."""
+
+    path: str
+    length: int
+    start: int | None = None
+    end: int | None = None
+    first_no: int = 0
+    packets: int | None = None
+    state: str | None = None
+
+    def bytes(self) -> int:
+        return self.length if self.end is None else self.end - self.start
+
+
+def read_piece(stream, piece: Piece, capture: str) -> Iterator[pa.RecordBatch]:
+    """Packets of a piece, up to where a broken file can be read."""
+    if piece.start is None:
+        try:
+            state, start = framing.open_state(stream)
+        except CaptureError:
+            return
+    else:
+        state, start = State.from_json(piece.state), piece.start
+    walker = Walker(stream, piece.length, state, start)
+    number = piece.first_no
+    for run in walker.runs(piece.length if piece.end is None else piece.end):
+        for at in range(0, len(run.heads), ROWS_PER_BATCH):
+            part = Run(run.data, run.base, run.heads[at : at + ROWS_PER_BATCH], run.state)
+            yield packets(part, capture, number)
+            number += len(part.heads)
+
+
+class Task(InputPartition):
+    def __init__(self, pieces: list[Piece]):
+        super().__init__(None)
+        self.pieces = pieces
+
+
+def tasks_of(pieces: list[Piece]) -> list[Task]:
+    tasks, size = [], TASK_BYTES
+    for piece in pieces:
+        if size + piece.bytes() > TASK_BYTES:
+            tasks.append(Task([]))
+            size = 0
+        tasks[-1].pieces.append(piece)
+        size += piece.bytes()
+    return tasks or [Task([])]
+
+
+class _Packets:
+    """What batch and stream readers share."""
+
+    def __init__(self, options: dict[str, str]):
+        self.folder = options["path"]
+
+    def read(self, task: Task) -> Iterator[pa.RecordBatch]:
+        for piece in task.pieces:
+            with open_file(self.folder, piece.path) as stream:
+                yield from read_piece(stream, piece, piece.path)
+
+
+class CaptureReader(_Packets, DataSourceReader):
+    """Packets of all files, or of the pieces in the table named by the option ``pieces``."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.pieces_at = options.get("pieces")
+        self.names: list = []
+        self.low, self.high = 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Conditions on the file's name leave out files; those on the packet number leave out pieces, and are looked at again by Spark."""
+        for f in filters:
+            named = getattr(f, "attribute", None) == ("capture_file",)
+            if named and isinstance(f, EqualTo):
+                self.names.append(lambda name, value=f.value: name == value)
+            elif named and isinstance(f, In):
+                self.names.append(lambda name, values=frozenset(f.value): name in values)
+            elif named and isinstance(f, StringStartsWith):
+                self.names.append(lambda name, value=f.value: name.startswith(value))
+            else:
+                if getattr(f, "attribute", None) == ("packet_no",):
+                    self._number(f)
+                yield f
 
-def _rows(path: str, stream, size: int, piece: Piece) -> Iterator[tuple]:
-    for number, record in read_piece(stream, size, piece):
-        yield path, number, record.ts_us, record.wire_length, record.link, record.data
+    def _number(self, f: Filter) -> None:
+        if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+            self.low = max(self.low, f.value)
+        if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+            self.high = f.value if self.high is None else min(self.high, f.value)
 
+    def partitions(self) -> list[Task]:
+        pieces = [Piece(f.path, f.length) for f in files_of(self.folder)] if self.pieces_at is None else _stored_pieces(self.pieces_at)
+        kept = [
+            p
+            for p in pieces
+            if all(fits(p.path) for fits in self.names)
+            and (self.high is None or p.first_no <= self.high)
+            and (p.packets is None or p.first_no + p.packets > self.low)
+        ]
+        return tasks_of(kept)
 
-def _frames_of_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                stream = io.BytesIO(content)
-                for piece in pieces(stream, len(content), len(content) + 1):
-                    if piece.packets:
-                        yield from _rows(path, stream, len(content), piece)
 
-    return _frame_batches(rows())
+class CaptureStream(_Packets, DataSourceStreamReader):
+    """Packets of files as they arrive. A file must be complete when it gets its name, and carry a time of change not before those before it."""
+
+    def initialOffset(self) -> dict:
+        return {"changed": -1, "path": ""}
 
+    def latestOffset(self) -> dict:
+        last = max(((f.changed, f.path) for f in files_of(self.folder)), default=(-1, ""))
+        return {"changed": last[0], "path": last[1]}
 
-def _frames_of_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for p in batch.itertuples():
-                with open_stream(p.path) as stream:
-                    piece = Piece(p.start, p.end, p.first_no, p.packets, p.state)
-                    yield from _rows(p.path, stream, p.length, piece)
+    def partitions(self, start: dict, end: dict) -> list[Task]:
+        after, until = (start["changed"], start["path"]), (end["changed"], end["path"])
+        return tasks_of([Piece(f.path, f.length) for f in files_of(self.folder) if after < (f.changed, f.path) <= until])
+
+    def commit(self, end: dict) -> None:
+        """Files stay where they are."""
+
+
+class CaptureSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "captures"
+
+    def schema(self):
+        return from_arrow_schema(PACKETS)
+
+    def reader(self, schema) -> CaptureReader:
+        return CaptureReader(self.options)
+
+    def streamReader(self, schema) -> CaptureStream:
+        return CaptureStream(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``captures`` known to the session, with filters pushed to the reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(CaptureSource)
 
-    return _frame_batches(rows())
 
+def _stored_pieces(folder: str) -> list[Piece]:
+    import pyarrow.dataset as ds
 
-def _piece_table(path: str, size: int, stream, piece_bytes: int) -> pd.DataFrame:
-    found = [vars(p) for p in pieces(stream, size, piece_bytes)]
-    return pd.DataFrame(found).assign(path=path, length=size)[
-        ["path", "length", "start", "end", "first_no", "packets", "state", "error"]
-    ]
+    system, inner = file_system(folder)
+    table = ds.dataset(inner, filesystem=system, format="parquet").to_table(filter=ds.field("packets").is_null() | (ds.field("packets") > 0))
+    table = table.sort_by([("path", "ascending"), ("start", "ascending")])
+    return [Piece(*row.values()) for row in table.select(["path", "length", "start", "end", "first_no", "packets", "state"]).to_pylist()]
 
 
-def _pieces_of_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# Split walk of large files.
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            yield _piece_table(path, len(content), io.BytesIO(content), len(content) + 1)
+        yield from batch.to_pylist()
 
 
-def _pieces_of_files(piece_bytes: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, length in zip(batch["path"], batch["length"]):
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _guessed_walks(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment in _rows_of(batches):
+            length, begin, stop = (segment[c] for c in ("length", "begin", "stop"))
+            with open_file(folder, segment["path"]) as stream:
                 try:
-                    with open_stream(path) as stream:
-                        yield _piece_table(path, length, stream, piece_bytes)
-                except (OSError, CaptureError) as error:
-                    broken = {"path": path, "length": length, "start": 0, "end": 0, "first_no": 0, "packets": 0}
-                    yield pd.DataFrame([{**broken, "state": "", "error": str(error)}])
+                    state = framing.open_state(stream)[0].to_json()
+                    walks = list(framing.split_walks(stream, length, begin, stop))
+                except CaptureError as error:
+                    state, walks = None, [framing.Walk(0, 0, 0, "<", "<", False, "[]", 0, str(error))]
+            # A segment without a good guess is a segment all the same.
+            yield _batch([{**segment, "state": state, **vars(w)} for w in walks] or [segment], WALKS)
 
     return run
 
 
-def frames_of_contents(files: DataFrame) -> DataFrame:
-    """Frames of captures that are held in a column: (path, content)."""
-    return files.select("path", "content").mapInPandas(_frames_of_contents, FRAME_SCHEMA)
+def _known_walks(folder: str, n_segments: int, segment_bytes: int):
+    """Walks from where a file's pieces ended, through some segments at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left in _rows_of(batches):
+            path, length, begin, at = (left[c] for c in ("path", "length", "begin", "start"))
+            state, rows = State.from_json(left["state"]), []
+            with open_file(folder, path) as stream:
+                while begin < length and len(rows) < n_segments:
+                    stop = min(begin + segment_bytes, length)
+                    if at < stop:
+                        walk = framing.walk_segment(stream, length, state, at, stop, known=True)
+                        rows.append({"path": path, "length": length, "begin": begin, "stop": stop, **vars(walk)})
+                        if walk.problem:
+                            break
+                        at = walk.end
+                    begin = stop
+            yield _batch(rows, WALKS)
+
+    return run
+
+
+def _stitch(walks: pa.Table) -> pa.Table:
+    """The pieces of one file as far as walks lead from its start; a last row without a count where they lead no further."""
+    found = walks.sort_by([("begin", "ascending"), ("start", "ascending")]).to_pylist()
+    path, length, first = found[0]["path"], found[0]["length"], found[0]
+    if first["state"] is None:
+        broken = dict(path=path, length=length, begin=0, start=0, end=0, first_no=0, packets=0, error=first["problem"])
+        return pa.Table.from_pylist([broken], schema=PIECES)
+    state, at, number, rows = State.from_json(first["state"]), first["start"], 0, []
+    by_place = {(w["begin"], w["start"], w["entry"]): w for w in found}
+    for begin, stop in sorted({(w["begin"], w["stop"]) for w in found}):
+        if at >= stop or at >= length:
+            continue
+        walk = by_place.get((begin, at, state.order))
+        known = dict(path=path, length=length, begin=begin, start=at, first_no=number, state=state.to_json())
+        if walk is None or walk["needs"] > len(state.interfaces):
+            rows.append({**known, "end": stop})
+            break
+        rows.append({**known, "end": walk["end"], "packets": walk["packets"], "error": walk["problem"]})
+        if walk["problem"]:
+            break
+        fresh = json.loads(walk["interfaces"])
+        state.order, state.interfaces = walk["order"], fresh if walk["resets"] else state.interfaces + fresh
+        at, number = walk["end"], number + walk["packets"]
+    # A file without records is a file all the same.
+    rows = rows or [dict(path=path, length=length, begin=0, start=at, end=at, first_no=0, packets=0, state=state.to_json())]
+    return pa.Table.from_pylist(rows, schema=PIECES)
+
+
+def cut_into_pieces(spark: SparkSession, folder: str, files: list[CaptureFile], segment_bytes: int) -> DataFrame:
+    """Stored pieces (see PIECES) of the files, none much longer than a segment, numbered as one walk through each file would."""
+    listed = spark.createDataFrame([(f.path, f.length) for f in files], "path string, length bigint")
+    begins = F.explode(F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(segment_bytes)))
+    segments = listed.select("path", "length", begins.alias("begin")).withColumn("stop", F.least(F.col("begin") + segment_bytes, F.col("length")))
+    n = sum(-(-f.length // segment_bytes) for f in files)
+    # A row stands for a segment, so rows are dealt out evenly whatever their size.
+    spread = segments.repartition(max(1, min(n, 100_000)))
+    walks = store(spread.mapInArrow(_guessed_walks(folder), from_arrow_schema(WALKS)), "walks")
+    n_segments = 1
+    while True:
+        pieces = store(walks.groupBy("path").applyInArrow(_stitch, from_arrow_schema(PIECES)), "pieces")
+        open_ends = pieces.where("packets is null")
+        left = open_ends.count()
+        if not left:
+            return pieces
+        # Nearly always the guesses suffice. Where they keep failing, walks get longer, so that the rounds stay few.
+        again = open_ends.repartition(left).mapInArrow(_known_walks(folder, n_segments, segment_bytes), from_arrow_schema(WALKS))
+        known = store(again, "walks")
+        places = known.select("path", "begin").distinct()
+        # A walk from a known place replaces the guesses for its segment, but for the file's header.
+        walks = walks.join(places.where("begin > 0"), ["path", "begin"], "left_anti").unionByName(known)
+        n_segments *= 2
+
+
+class CaptureFolder:
+    """The captures of a folder: ``packets()`` and ``status()``."""
+
+    def __init__(self, spark: SparkSession, folder: str, segment_bytes: int = SEGMENT_BYTES):
+        register(spark)
+        self.spark, self.folder = spark, folder
+        files = files_of(folder)
+        # A file of one segment needs no pieces: its walk starts at its start.
+        self.small = [f for f in files if f.length <= segment_bytes]
+        large = [f for f in files if f.length > segment_bytes]
+        self.cut = cut_into_pieces(spark, folder, large, segment_bytes) if large else None
+        self.pieces_at = None
+        if large:
+            whole = spark.createDataFrame([(f.path, f.length, 0) for f in self.small], "path string, length bigint, first_no bigint")
+            self.pieces_at = fresh_path(spark, "pieces")
+            self.cut.unionByName(whole, allowMissingColumns=True).write.parquet(self.pieces_at)
+
+    def packets(self) -> DataFrame:
+        reader = self.spark.read.format("captures")
+        if self.pieces_at is not None:
+            reader = reader.option("pieces", self.pieces_at)
+        return reader.load(self.folder)
+
+    def status(self) -> DataFrame:
+        """One row per capture: packets read, ``ok`` or ``error``, and the message."""
+        folder = self.folder
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows_of(batches):
+                with open_file(folder, row["path"]) as stream:
+                    n, problem = framing.count(stream, row["length"])
+                yield _batch([{"path": row["path"], "packets": n, "error": problem}], COUNTS)
+
+        listed = self.spark.createDataFrame([(f.path, f.length) for f in self.small], "path string, length bigint")
+        tasks = max(1, min(len(self.small), 100_000))
+        found = listed.repartition(tasks).mapInArrow(walk, from_arrow_schema(COUNTS))
+        if self.cut is not None:
+            found = found.unionByName(self.cut.select("path", "packets", "error"))
+        return status_of_pieces(found, F.col("path"))
+
+
+# Captures that are held in a column.
+
+
+def packets_of_contents(files: DataFrame, depth: int | None = None) -> DataFrame:
+    """Packets of captures in the columns (path, content), each of which is small enough for a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["capture_file"].to_pylist(), batch["content"], strict=True):
+                stream = pa.BufferReader(content.as_buffer()) if content.is_valid else pa.BufferReader(b"")
+                yield from read_piece(stream, Piece(name, stream.size()), name)
+
+    return files.select(capture_name(depth).alias("capture_file"), "content").mapInArrow(run, from_arrow_schema(PACKETS))
 
 
 def pieces_of_contents(files: DataFrame) -> DataFrame:
-    return files.select("path", "content").mapInPandas(_pieces_of_contents, PIECE_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            content = row["content"] or b""
+            n, problem = framing.count(io.BytesIO(content), len(content))
+            yield _batch([{"path": row["path"], "packets": n, "error": problem}], COUNTS)
+
+    return files.select("path", "content").mapInArrow(run, from_arrow_schema(COUNTS))
 
 
 def capture_name(depth: int | None) -> Column:
@@ -140,14 +443,10 @@ def capture_name(depth: int | None) -> Column:
     return file_name(F.col("path")) if depth is None else path_below(F.col("path"), depth)
 
 
-def packets_of_frames(frames: DataFrame, depth: int | None = None) -> DataFrame:
-    return decode_frames(frames.withColumn("capture_file", capture_name(depth)))
-
-
-def status_of_pieces(found: DataFrame, depth: int | None = None) -> DataFrame:
+def status_of_pieces(found: DataFrame, name: Column | None = None) -> DataFrame:
     """One row per capture: packets read, ``ok`` or ``error``, and the message."""
     return (
-        found.groupBy(capture_name(depth).alias("capture_file"))
+        found.groupBy((capture_name(None) if name is None else name).alias("capture_file"))
         .agg(F.sum("packets").alias("packets"), F.max("error").alias("error"))
         .select(
             "capture_file",
@@ -158,50 +457,7 @@ def status_of_pieces(found: DataFrame, depth: int | None = None) -> DataFrame:
     )
 
 
-def _small_files(spark: SparkSession, folder: str, limit: int) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", True).load(folder)
-    # The length condition is pushed to the source: larger files are not opened.
-    return files.where(F.col("length") <= limit).where(admitted(F.col("path"), CAPTURE_EXTENSIONS))
-
-
-def _large_pieces(spark: SparkSession, folder: str, limit: int, piece_bytes: int) -> DataFrame | None:
-    large = list_captures(spark, folder).where(F.col("length") > limit).select("path", "length")
-    files = large.count()
-    if not files:
-        return None
-    tasks = min(files, 10 * spark.sparkContext.defaultParallelism)
-    return store(large.repartition(tasks).mapInPandas(_pieces_of_files(piece_bytes), PIECE_SCHEMA), "pieces")
-
-
-class CaptureFolder:
-    """The captures of a folder: ``packets()`` and ``status()``."""
-
-    def __init__(
-        self, spark: SparkSession, folder: str, inline_limit: int = INLINE_LIMIT, piece_bytes: int = PIECE_BYTES
-    ):
-        self.spark, self.folder, self.limit = spark, folder, inline_limit
-        self.depth = folder_depth(spark, folder)
-        self.pieces = _large_pieces(spark, folder, inline_limit, piece_bytes)
-
-    def frames(self) -> DataFrame:
-        small = frames_of_contents(_small_files(self.spark, self.folder, self.limit))
-        if self.pieces is None:
-            return small
-        readable = self.pieces.where(F.col("packets") > 0)
-        # One row stands for megabytes, so the spread is given and not left to row sizes.
-        tasks = min(self.pieces.count(), 100_000)
-        large = readable.repartition(max(1, tasks)).mapInPandas(_frames_of_pieces, FRAME_SCHEMA)
-        return small.unionByName(large)
-
-    def packets(self) -> DataFrame:
-        return packets_of_frames(self.frames(), self.depth)
-
-    def status(self) -> DataFrame:
-        found = pieces_of_contents(_small_files(self.spark, self.folder, self.limit))
-        return status_of_pieces(found if self.pieces is None else found.unionByName(self.pieces), self.depth)
-
-
 def read_captures(spark: SparkSession, folder: str, label: str | None = None) -> DataFrame:
     """Packet table of all captures of a folder, optionally with one label."""
-    packets = CaptureFolder(spark, folder).packets()
-    return packets if label is None else packets.withColumn("label", F.lit(label))
+    found = CaptureFolder(spark, folder).packets()
+    return found if label is None else found.withColumn("label", F.lit(label))

@@ -1,18 +1,23 @@
-"""Cut capture bytes into packet records (classic pcap and pcapng).
+"""Cut capture bytes into packet records (classic pcap and pcapng), from the start of a file or from any byte of it.
 
-Only the record structure is read here, a few fixed-size fields for each packet. What is
-inside a frame is decoded by Spark expressions, see ``decode``.
+Only record headers are read here, as arrays of positions. What is inside a frame is decoded by ``decode``.
+
+The formats have no sync marks, so a walk that starts in the middle of a file guesses: it takes every byte that could start a record and from
+which a chain of plausible headers leads on. ``split_walks`` follows all such chains to the end of a segment. Whether a guess was
+right is decided later, by ``stitch``: the walk of the segment before tells where the first record of the next one really starts.
 """
 
 from __future__ import annotations
 
-import copy
 import json
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from typing import BinaryIO
 
+import numpy as np
+
 # Fixed values of the two file formats.
 CLASSIC_MICROS = 0xA1B2C3D4
 CLASSIC_NANOS = 0xA1B23C4D
@@ -21,6 +26,17 @@ NG_ORDER = 0x1A2B3C4D
 NG_INTERFACE, NG_OLD_PACKET, NG_SIMPLE_PACKET, NG_ENHANCED_PACKET = 1, 2, 3, 6
 NG_OPT_TSRESOL, NG_OPT_TSOFFSET = 9, 14
 
+CUT = "the capture is cut short in the middle of a packet"
+#: Bytes read at once.
+BLOCK = 16 << 20
+#: A guessed start needs so many plausible headers in a row, and is looked for in so many bytes of a segment.
+CHAIN = 8
+REACH = 1 << 20
+#: Chains of one segment that are followed to its end; if none of them is right, the segment is walked again.
+MAX_CHAINS = 16
+#: Frames are not longer than this where a file does not say so itself.
+LONGEST = 1 << 18
+
 
 class CaptureError(Exception):
     """The bytes are no capture, or end in the middle of a packet."""
@@ -34,6 +50,7 @@ class State:
     order: str = "<"
     units: int = 1_000_000  # classic: fractions of a second in a time stamp
     link: int = 1
+    snap: int = 0  # classic: longest frame by the file header
     interfaces: list[list[int]] = field(default_factory=list)  # ng: link, units, offset seconds, snap length
 
     def to_json(self) -> str:
@@ -45,78 +62,34 @@ class State:
 
 
 @dataclass
-class Record:
-    offset: int
-    ts_us: int | None
-    wire_length: int
-    link: int
-    data: bytes | None
+class Run:
+    """Packet records that share one list of interfaces: positions of their headers in ``data``."""
 
+    data: bytes
+    base: int
+    heads: np.ndarray
+    state: State
 
-def _exactly(stream: BinaryIO, n: int) -> bytes:
-    data = stream.read(n)
-    if len(data) < n:
-        raise CaptureError("the capture is cut short in the middle of a packet")
-    return data
 
-
-def open_state(stream: BinaryIO) -> State:
-    """Read the file header; pcapng keeps its header in an ordinary block."""
+def open_state(stream: BinaryIO) -> tuple[State, int]:
+    """The file header and where the records start; pcapng keeps its header in an ordinary block."""
     stream.seek(0)
-    head = stream.read(4)
+    head = stream.read(24)
     if len(head) < 4:
         raise CaptureError("not a capture file: too short")
-    if head == struct.pack("<I", NG_SECTION):
-        stream.seek(0)
-        return State(ng=True)
+    if head[:4] == struct.pack("<I", NG_SECTION):
+        return State(ng=True), 0
     for order in "<>":
-        magic = struct.unpack(order + "I", head)[0]
+        magic = struct.unpack(order + "I", head[:4])[0]
         if magic in (CLASSIC_MICROS, CLASSIC_NANOS):
-            rest = _exactly(stream, 20)
-            link = struct.unpack(order + "I", rest[16:20])[0] & 0x0FFFFFFF
-            return State(order=order, units=1_000_000 if magic == CLASSIC_MICROS else 1_000_000_000, link=link)
+            if len(head) < 24:
+                raise CaptureError(CUT)
+            snap, link = struct.unpack(order + "II", head[16:24])
+            units = 1_000_000 if magic == CLASSIC_MICROS else 1_000_000_000
+            return State(order=order, units=units, link=link & 0x0FFFFFFF, snap=snap), 24
     raise CaptureError("not a capture file: unknown magic number")
 
 
-def _to_micros(units_count: int, units: int) -> int:
-    return units_count * 1_000_000 // units
-
-
-def records(stream: BinaryIO, state: State, size: int, with_data: bool) -> Iterator[Record]:
-    """Records from the stream's position on; ``state`` is kept current on the way."""
-    step = _next_ng if state.ng else _next_classic
-    while True:
-        record, more = step(stream, state, size, with_data)
-        if not more:
-            return
-        if record is not None:
-            yield record
-
-
-def _skip(stream: BinaryIO, n: int, size: int) -> None:
-    here = stream.tell()
-    if here + n > size:
-        raise CaptureError("the capture is cut short in the middle of a packet")
-    stream.seek(here + n)
-
-
-def _next_classic(stream, state, size, with_data):
-    offset = stream.tell()
-    head = stream.read(16)
-    if not head:
-        return None, False
-    if len(head) < 16:
-        raise CaptureError("the capture is cut short in the middle of a packet")
-    seconds, fraction, stored, wire = struct.unpack(state.order + "IIII", head)
-    if with_data:
-        data = _exactly(stream, stored)
-    else:
-        data = None
-        _skip(stream, stored, size)
-    ts = seconds * 1_000_000 + _to_micros(fraction, state.units)
-    return Record(offset, ts, wire, state.link, data), True
-
-
 def _options(body: bytes, order: str) -> Iterator[tuple[int, bytes]]:
     at = 0
     while at + 4 <= len(body):
@@ -128,6 +101,8 @@ def _options(body: bytes, order: str) -> Iterator[tuple[int, bytes]]:
 
 
 def _interface(body: bytes, order: str) -> list[int]:
+    if len(body) < 8:
+        raise CaptureError("broken interface block")
     link, _, snap = struct.unpack_from(order + "HHI", body)
     units, shift = 1_000_000, 0
     for code, value in _options(body[8:], order):
@@ -138,100 +113,225 @@ def _interface(body: bytes, order: str) -> list[int]:
     return [link, units, shift, snap]
 
 
-def _next_ng(stream, state, size, with_data):
-    offset = stream.tell()
-    head = stream.read(8)
-    if not head:
-        return None, False
-    if len(head) < 8:
-        raise CaptureError("the capture is cut short in the middle of a block")
-    if head[:4] == struct.pack("<I", NG_SECTION):  # reads the same in both byte orders
-        mark = _exactly(stream, 4)
-        state.order = "<" if struct.unpack("<I", mark)[0] == NG_ORDER else ">"
-        if struct.unpack(state.order + "I", mark)[0] != NG_ORDER:
+class Walker:
+    """Follows the record headers of a file from ``at`` on; ``problem`` says why it could not go on."""
+
+    def __init__(self, stream: BinaryIO, size: int, state: State, at: int, known: bool = True, block: int = BLOCK):
+        self.stream, self.size, self.state, self.at, self.block = stream, size, state, at, block
+        self.problem: str | None = None
+        #: Whether the interfaces before ``at`` are known; else how many of them the packets seen so far need.
+        self.known, self.needs, self.sections = known, 0, 0
+
+    def runs(self, stop: int, strict: bool = False) -> Iterator[Run]:
+        """Records that start before ``stop``. With ``strict`` an implausible header is a problem as well."""
+        step = self._ng if self.state.ng else self._classic
+        more = 0
+        while self.problem is None and self.at < min(stop, self.size):
+            base, before = self.at, self.at
+            self.stream.seek(base)
+            data = self.stream.read(min(self.block + more, self.size - base))
+            again = True
+            while again:
+                # One list of interfaces holds for a run, so a run ends before the next one is declared.
+                heads, again = step(data, base, stop, strict)
+                if heads:
+                    yield Run(data, base, np.frombuffer(heads, dtype=np.int64) - base, State.from_json(self.state.to_json()))
+            if self.at == before and self.problem is None:
+                if base + len(data) >= self.size:
+                    self.problem = CUT
+                more = 2 * more + self.block  # a record longer than the block
+            else:
+                more = 0
+
+    def _classic(self, data: bytes, base: int, stop: int, strict: bool) -> tuple[array, bool]:
+        """Positions of the records that lie in ``data`` as a whole (of the last one in the file: that fit the file)."""
+        heads, at, size, end = array("q"), self.at, self.size, base + len(data)
+        unpack = struct.Struct(self.state.order + "IIII").unpack_from
+        longest = max(self.state.snap, LONGEST)
+        while at < stop and at + 16 <= end:
+            _, fraction, stored, wire = unpack(data, at - base)
+            if strict and (stored > longest or not wire or wire < stored or fraction >= self.state.units):
+                self.problem = "implausible header"
+                break
+            after = at + 16 + stored
+            if after > size:
+                self.problem = CUT
+                break
+            if after > end:
+                break
+            heads.append(at)
+            at = after
+        if at < stop and at < size < at + 16:
+            self.problem = CUT
+        self.at = at
+        return heads, False
+
+    def _ng(self, data: bytes, base: int, stop: int, strict: bool) -> tuple[array, bool]:
+        heads, at, end = array("q"), self.at, base + len(data)
+        again = False
+        try:
+            while at < stop and at + 12 <= end:
+                here = at - base
+                if data[here : here + 4] == b"\x0a\x0d\x0d\x0a":  # reads the same in both byte orders
+                    if heads:
+                        again = True
+                        break
+                    at = self._section(data, here, at)
+                    continue
+                order = self.state.order
+                kind, length = struct.unpack_from(order + "II", data, here)
+                if length < 12 or length % 4:
+                    raise CaptureError("broken block length")
+                if at + length > self.size:
+                    raise CaptureError(CUT)
+                if at + length > end:
+                    break
+                if strict and data[here + length - 4 : here + length] != data[here + 4 : here + 8]:
+                    raise CaptureError("implausible header")
+                if kind == NG_INTERFACE:
+                    if heads:
+                        again = True
+                        break
+                    self.state.interfaces.append(_interface(data[here + 8 : here + length - 4], order))
+                elif kind in (NG_ENHANCED_PACKET, NG_OLD_PACKET, NG_SIMPLE_PACKET):
+                    self._check(data, here, kind, length)
+                    heads.append(at)
+                at += length
+        except CaptureError as error:
+            self.problem = str(error)
+        if self.problem is None and at < stop and at < self.size < at + 12:
+            self.problem = "the capture is cut short in the middle of a block"
+        self.at = at
+        return heads, again
+
+    def _section(self, data: bytes, here: int, at: int) -> int:
+        mark = data[here + 8 : here + 12]
+        order = next((o for o in "<>" if struct.unpack(o + "I", mark)[0] == NG_ORDER), None)
+        if order is None:
             raise CaptureError("broken section header")
-        state.interfaces = []
-        length = struct.unpack(state.order + "I", head[4:])[0]
-        _skip(stream, length - 12, size)
-        return None, True
-    kind, length = struct.unpack(state.order + "II", head)
-    if length < 12 or length % 4:
-        raise CaptureError("broken block length")
-    if kind == NG_INTERFACE:
-        state.interfaces.append(_interface(_exactly(stream, length - 12), state.order))
-        _skip(stream, 4, size)
-        return None, True
-    if kind not in (NG_ENHANCED_PACKET, NG_SIMPLE_PACKET, NG_OLD_PACKET):
-        _skip(stream, length - 8, size)
-        return None, True
-    fixed = {NG_ENHANCED_PACKET: 20, NG_OLD_PACKET: 20, NG_SIMPLE_PACKET: 4}[kind]
-    body = _exactly(stream, fixed)
-    if kind == NG_SIMPLE_PACKET:
-        wire = struct.unpack(state.order + "I", body)[0]
-        index, stamp, stored = 0, None, wire
-    else:
-        layout = "IIIII" if kind == NG_ENHANCED_PACKET else "HHIIII"
-        values = struct.unpack(state.order + layout, body)
-        index, (high, low, stored, wire) = values[0], values[-4:]
-        stamp = high << 32 | low
-    if index >= len(state.interfaces):
-        raise CaptureError("packet of an undeclared interface")
-    link, units, shift, snap = state.interfaces[index]
-    if kind == NG_SIMPLE_PACKET and snap:
-        stored = min(stored, snap)
-    if with_data:
-        data = _exactly(stream, stored)
-        _skip(stream, length - 8 - fixed - stored, size)
-    else:
-        data = None
-        _skip(stream, length - 8 - fixed, size)
-    ts = None if stamp is None else _to_micros(stamp, units) + shift * 1_000_000
-    return Record(offset, ts, wire, link, data), True
+        length = struct.unpack_from(order + "I", data, here + 4)[0]
+        if length < 12 or length % 4:
+            raise CaptureError("broken block length")
+        if at + length > self.size:
+            raise CaptureError(CUT)
+        self.state.order, self.state.interfaces = order, []
+        self.known, self.sections = True, self.sections + 1
+        return at + length
+
+    def _check(self, data: bytes, here: int, kind: int, length: int) -> None:
+        order, fixed = self.state.order, 4 if kind == NG_SIMPLE_PACKET else 20
+        if length < 12 + fixed:
+            raise CaptureError("broken block length")
+        index, stored = 0, 0
+        if kind == NG_ENHANCED_PACKET:
+            index, _, _, stored = struct.unpack_from(order + "IIII", data, here + 8)
+        elif kind == NG_OLD_PACKET:
+            index, _, _, _, stored = struct.unpack_from(order + "HHIII", data, here + 8)
+        if stored > length - 12 - fixed:
+            raise CaptureError(CUT)
+        lacking = index + 1 - len(self.state.interfaces)
+        if lacking > 0:
+            if self.known:
+                raise CaptureError("packet of an undeclared interface")
+            self.needs = max(self.needs, lacking)
+
+
+def count(stream: BinaryIO, size: int) -> tuple[int, str | None]:
+    """Packets of a capture, and what is wrong with it."""
+    try:
+        state, start = open_state(stream)
+    except CaptureError as error:
+        return 0, str(error)
+    walker = Walker(stream, size, state, start)
+    return sum(len(run.heads) for run in walker.runs(size)), walker.problem
 
 
 @dataclass
-class Piece:
-    """A run of records that one task reads: [start, end) and the number of its first packet."""
+class Walk:
+    """What a walk through one segment found: from ``start`` to ``end``, the first record start behind the segment."""
 
     start: int
     end: int
-    first_no: int
     packets: int
-    state: str
-    error: str | None = None
-
-
-def pieces(stream: BinaryIO, size: int, piece_bytes: int) -> Iterator[Piece]:
-    """Walk the record headers and cut the file about every ``piece_bytes``.
-
-    A file that ends badly gives its good part, the last piece carrying the message.
-    """
-    try:
-        state = open_state(stream)
-    except CaptureError as error:
-        yield Piece(0, 0, 0, 0, "", str(error))
+    entry: str  # byte order before the walk
+    order: str  # and after it
+    resets: bool  # ng: a new section began, so interfaces from before do not count any more
+    interfaces: str  # ng: those declared since then, or since the start
+    needs: int  # ng: interfaces that must be known before the start
+    problem: str | None
+
+
+def walk_segment(stream: BinaryIO, size: int, state: State, start: int, stop: int, known: bool, strict: bool = False) -> Walk:
+    before, entry = len(state.interfaces), state.order
+    walker = Walker(stream, size, state, start, known)
+    packets = sum(len(run.heads) for run in walker.runs(stop, strict))
+    state = walker.state
+    fresh = state.interfaces if walker.sections else state.interfaces[before:]
+    return Walk(start, walker.at, packets, entry, state.order, walker.sections > 0, json.dumps(fresh), walker.needs, walker.problem)
+
+
+def _plausible(data: np.ndarray, state: State, order: str, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of ``data`` whether a record could start there, and where the next one would."""
+    n = max(0, len(data) - 16)
+    x = data.astype(np.uint32)
+    at = np.arange(n, dtype=np.int64)
+
+    def number(shift: int) -> np.ndarray:
+        b = [x[shift + k : shift + k + n] for k in (range(4) if order == "<" else range(3, -1, -1))]
+        return (b[0] | b[1] << 8 | b[2] << 16 | b[3] << 24).astype(np.int64)
+
+    if not state.ng:
+        stored, wire = number(8), number(12)
+        good = (stored <= max(state.snap, LONGEST)) & (wire > 0) & (wire >= stored) & (number(4) < state.units)
+        after = at + 16 + stored
+    else:
+        length = number(4)
+        good = (length >= 12) & (length % 4 == 0) & (length <= 4 * LONGEST)
+        after = at + length
+        # A block repeats its length at its end, as far as that is in sight.
+        end = np.where(good & (after <= len(data)), after - 4, 0)
+        words = number(0)
+        tail = np.where(end < n, words[np.minimum(end, max(n - 1, 0))] if n else 0, length)
+        section = (data[:n] == 0x0A) & (data[1 : n + 1] == 0x0D) & (data[2 : n + 2] == 0x0D) & (data[3 : n + 3] == 0x0A)
+        good &= (end == 0) | (tail == length) | section
+    return good & (after <= room), after
+
+
+def guesses(stream: BinaryIO, size: int, state: State, begin: int, stop: int) -> Iterator[tuple[int, str]]:
+    """Positions from ``begin`` on that could start a record, by the chain of headers behind them, with the byte order."""
+    stream.seek(begin)
+    data = np.frombuffer(stream.read(min(REACH, size - begin)), dtype=np.uint8)
+    for order in "<>" if state.ng else state.order:
+        good, after = _plausible(data, state, order, size - begin)
+        alive = np.nonzero(good[: stop - begin])[0]
+        here = alive.copy()
+        for _ in range(CHAIN):
+            inside = here < len(good)  # what lies beyond is not looked at: the walk will tell
+            fine = ~inside | good[np.minimum(here, max(len(good) - 1, 0))]
+            alive, here, inside = alive[fine], here[fine], inside[fine]
+            here = np.where(inside, after[np.minimum(here, max(len(good) - 1, 0))], here) if len(good) else here
+        for at in alive:
+            yield begin + int(at), order
+
+
+def split_walks(stream: BinaryIO, size: int, begin: int, stop: int) -> Iterator[Walk]:
+    """Walks through [begin, stop) from all starts that look right; from the file's start there is only one."""
+    state, start = open_state(stream)
+    if begin == 0:
+        yield walk_segment(stream, size, state, start, stop, known=True)
         return
-    start, first, count, before = stream.tell(), 0, 0, copy.deepcopy(state)
-    message, end = None, start
-    walk = records(stream, state, size, with_data=False)
-    while True:
-        try:
-            record = next(walk, None)
-        except CaptureError as error:
-            message, record = str(error), None
-        if record is None:
-            break
-        count, end = count + 1, stream.tell()
-        if end - start >= piece_bytes:
-            yield Piece(start, end, first, count, before.to_json())
-            start, first, count, before = end, first + count, 0, copy.deepcopy(state)
-    if count or message or first == 0:
-        yield Piece(start, end, first, count, before.to_json(), message)
-
-
-def read_piece(stream: BinaryIO, size: int, piece: Piece) -> Iterator[tuple[int, Record]]:
-    """(packet number, record) of one piece."""
-    stream.seek(piece.start)
-    walk = records(stream, State.from_json(piece.state), size, with_data=True)
-    for number in range(piece.first_no, piece.first_no + piece.packets):
-        yield number, next(walk)
+    met: set[int] = set()
+    chains = 0
+    for at, order in guesses(stream, size, state, begin, stop):
+        if at in met or chains == MAX_CHAINS:
+            continue
+        own = State.from_json(state.to_json())
+        own.order = order
+        walker, packets = Walker(stream, size, own, at, known=False), 0
+        for run in walker.runs(stop, strict=True):
+            packets += len(run.heads)
+            # A later guess on the same chain is no other chain.
+            met.update((run.base + run.heads[run.heads < begin + REACH - run.base]).tolist())
+        chains += 1
+        if walker.problem is None:
+            yield Walk(at, walker.at, packets, order, own.order, walker.sections > 0, json.dumps(own.interfaces), walker.needs, None)
