@@ -36,7 +36,7 @@ SHARED_BYTES = 16 << 20
 #: What a shared chunk takes beside its text.
 KEY_BYTES = 48
 #: Characters of the texts that are put together at once.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 4_000_000
 #: The rolling hash's value for each byte, from a fixed rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=7) for b in range(256)], dtype=np.uint32)
 SPACE = np.zeros(256, dtype=bool)
@@ -191,6 +191,13 @@ def _right_end(raw: bytes, start: int, stop: int, words: int) -> int:
     return at
 
 
+def _words_at_joins(own: list[bytes]) -> Iterator[str]:
+    """The words on both sides of the joins, which are encoded again."""
+    for left, right in zip(own, own[1:]):
+        both = left[_left_start(left, len(left), 2) :] + right[: _right_end(right, 0, len(right), 2)]
+        yield from both.decode().split()
+
+
 def join(encoder: tokens.WordEncoder, raw: bytes, parts: list[tuple[int, bytes]]) -> bytes:
     """Ids of ``raw`` from (start, ids) of its chunks."""
 
@@ -228,6 +235,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, shared_bytes: int = S
         cut = [None if tokens.ODD_SPACE.search(t) else chunks(t) for t in texts]
         places = iter(table.value.places([key(c) for own in cut for c in own or ()]).tolist())
         known = [[next(places) for _ in own or ()] for own in cut]
+        encoder.prepare(word for own in cut for word in _words_at_joins(own or []))
         fresh = encoder.encode(c.decode() for own, at in zip(cut, known) for c, k in zip(own or (), at) if k < 0)
         for text, own, at in zip(texts, cut, known):
             if own is None:

@@ -66,7 +66,7 @@ class WordEncoder:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         #: Words met in plain texts, and where the ids of each lie in ``flat``.
         self.words = pa.array([""], pa.large_string())
-        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, "<u4")
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int32), np.zeros(1, np.int32), np.empty(0, "<u4")
         #: Words met elsewhere.
         self.near: dict[str, bytes] = {}
         self.near_bytes = 0
@@ -105,8 +105,8 @@ class WordEncoder:
                 later.append((word, lower, word[len(stem) :]))
             else:
                 odd.append(word)
-        odd += [".", ","]
-        found = self.tokenizer.encode_batch(odd, add_special_tokens=False)
+        odd += {mark for _, _, mark in later if mark}
+        found = self.tokenizer.encode_batch(odd, add_special_tokens=False) if odd else []
         known = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(odd, found)}
         known |= self._learn_plain(list(base))
         for word, stem, mark in later:
@@ -123,17 +123,23 @@ class WordEncoder:
                     yield begun
                     begun = b""
 
+    def prepare(self, words: Iterable[str]) -> None:
+        """Learn the words at once that ``short`` is going to meet."""
+        words = set(words)
+        missing = {w for w in words if w not in self.near}
+        if missing:
+            if self.near_bytes > NEAR_BYTES:
+                missing, self.near, self.near_bytes = words, {}, 0
+            learnt = self.learn(missing)
+            self.near |= learnt
+            self.near_bytes += sum(WORD_BYTES + len(w) + len(ids) for w, ids in learnt.items())
+
     def short(self, text: str) -> bytes:
         """Ids of a text, word by word."""
         if ODD_SPACE.search(text):
             return self.whole(text)
         words = text.split()
-        missing = {w for w in words if w not in self.near}
-        if missing:
-            if self.near_bytes > NEAR_BYTES:
-                missing, self.near, self.near_bytes = set(words), {}, 0
-            self.near |= self.learn(missing)
-            self.near_bytes += sum(WORD_BYTES + len(w) + len(self.near[w]) for w in missing)
+        self.prepare(words)
         return b"".join([self.near[w] for w in words])
 
     def _encode_block(self, held: list[str]) -> Iterator[bytes]:
@@ -149,9 +155,11 @@ class WordEncoder:
         place = self._places(coded.dictionary)[coded.indices.to_numpy()]
         # Each word's place in the block takes the ids of its number.
         length = self.lengths[place]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        out = self.flat[np.repeat(self.starts[place] - (ends - length), length) + np.arange(total)]
+        ends = np.cumsum(length, dtype=np.int64)
+        kind = np.int32 if not len(ends) or ends[-1] < 1 << 30 else np.int64
+        first = np.repeat((self.starts[place] - (ends - length)).astype(kind), length)
+        first += np.arange(len(first), dtype=kind)
+        out = self.flat[first]
         edges = np.r_[0, ends][words.offsets.to_numpy()].tolist()
         for a, b in zip(edges, edges[1:]):
             yield out[a:b].tobytes()
@@ -161,19 +169,19 @@ class WordEncoder:
         place = pc.index_in(unique, value_set=self.words)
         missing = unique.filter(place.is_null())
         if len(missing):
-            if self.words.nbytes + self.flat.nbytes + 16 * len(self.words) > KNOWN_BYTES:
+            if self.words.nbytes + self.flat.nbytes + self.starts.nbytes + self.lengths.nbytes > KNOWN_BYTES:
                 self.words, self.flat = pa.array([""], pa.large_string()), np.empty(0, "<u4")
-                self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
+                self.starts, self.lengths = np.zeros(1, np.int32), np.zeros(1, np.int32)
                 missing = unique.filter(pc.not_equal(unique, ""))
             learnt = self.learn(missing.to_pylist())
             ids = [learnt[w] for w in missing.to_pylist()]
-            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
+            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int32)
+            self.starts = np.r_[self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)]
             self.lengths = np.r_[self.lengths, lengths]
             self.flat = np.r_[self.flat, np.frombuffer(b"".join(ids), dtype="<u4")]
             self.words = pa.concat_arrays([self.words, missing])
             place = pc.index_in(unique, value_set=self.words)
-        return place.to_numpy(zero_copy_only=False).astype(np.int64)
+        return place.to_numpy(zero_copy_only=False)
 
 
 def _blocks(texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[bool]]]:
