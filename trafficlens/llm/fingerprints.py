@@ -144,11 +144,12 @@ def block_shares(radius: int, blocks: int) -> list[tuple[int, int, int]]:
     return [(lo, hi - lo, share) for lo, hi, share in zip(edges, edges[1:], shares) if share >= 0]
 
 
-def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(query, fingerprint, distance): all pairs of a query and a fingerprint within ``radius`` bits; two blocks at least.
+def near_lists(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(query, near): for each query, lists of the fingerprints (found, n_rows) within ``radius`` bits; two blocks at least.
 
-    ``prints`` and ``queries`` hold distinct values in a column fingerprint. Fingerprints are gathered by block value, and each
-    value looks its neighbours up among the queries, which are broadcast, a slice after the other.
+    ``prints`` and ``queries`` hold distinct values in a column fingerprint, ``prints`` also n_rows. Fingerprints are gathered by block
+    value, and each value looks its neighbours up among the queries, which are broadcast, a slice after the other. A list is searched
+    where it stands: what lies beyond the radius never becomes a row. A fingerprint is in one list of a query.
     """
     tables = block_shares(radius, blocks)
 
@@ -165,22 +166,22 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: in
     masks = F.expr(f"array({','.join(flips(width, share) for _, width, share in tables)})")
     lists = 1 + prints.count() // LISTED
     gathered = (
-        prints.select(F.col("fingerprint").alias("found"), keys(F.col("fingerprint")).alias("key"))
-        .groupBy("key", F.pmod(F.xxhash64("found"), F.lit(lists)).alias("list")).agg(F.collect_list("found").alias("founds"))
+        prints.select(F.struct(F.col("fingerprint").alias("found"), "n_rows").alias("one"), keys(F.col("fingerprint")).alias("key"))
+        .groupBy("key", F.pmod(F.xxhash64("one.found"), F.lit(lists)).alias("list")).agg(F.collect_list("one").alias("founds"))
         .select("founds", "key", F.explode(F.get(masks, F.shiftright("key", 32).cast("int"))).alias("mask"))
         .select("founds", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
     )
-    apart = F.col("query").bitwiseXOR(F.col("found"))
-    first = F.coalesce(*[F.when(F.bit_count(value(apart, lo, width)) <= share, F.lit(t)) for t, (lo, width, share) in enumerate(tables)])
+
+    def inside(one: Column) -> Column:
+        apart = F.col("query").bitwiseXOR(one["found"])
+        first = F.coalesce(*[F.when(F.bit_count(value(apart, lo, width)) <= share, F.lit(t)) for t, (lo, width, share) in enumerate(tables)])
+        # Only what is near enough is asked for the first of the tables in which it is met.
+        return F.when(F.bit_count(apart) <= radius, first == F.shiftright("key", 32)).otherwise(False)
 
     def found(asked: DataFrame) -> DataFrame:
         probe = asked.select(F.col("fingerprint").alias("query"), keys(F.col("fingerprint")).alias("key"))
-        return (
-            gathered.join(F.broadcast(probe), "key")
-            .select("query", "key", F.explode("founds").alias("found"))
-            .where((F.bit_count(apart) <= radius) & (first == F.shiftright("key", 32)))
-            .select("query", F.col("found").alias("fingerprint"), F.bit_count(apart).alias("distance"))
-        )
+        met = gathered.join(F.broadcast(probe), "key").select("query", F.filter("founds", inside).alias("near"))
+        return met.where(F.size("near") > 0)
 
     slices = 1 + queries.count() // SLICE
     if slices == 1:
@@ -189,6 +190,12 @@ def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: in
     return reduce(DataFrame.union, each)
 
 
+def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(query, fingerprint, distance): all pairs of a query and a fingerprint within ``radius`` bits."""
+    pairs = near_lists(prints.withColumn("n_rows", F.lit(1).cast("long")), queries, radius, blocks).select("query", F.explode("near").alias("one"))
+    return pairs.select("query", F.col("one.found").alias("fingerprint"), F.bit_count(F.col("query").bitwiseXOR(F.col("one.found"))).alias("distance"))
+
+
 def likeness(a: Column, b: Column) -> Column:
     return 1 - distance(a, b) / F.lit(float(BITS))
 
@@ -212,22 +219,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def _near_classes(rows: DataFrame, radius: int) -> DataFrame:
-    """query, fingerprint, distance and n_rows (of the fingerprint's class), for the classes with an id divisible by 20."""
+    """query and the lists of near classes (found, n_rows), for the classes with an id divisible by 20."""
     by_print = rows.groupBy(F.col("own").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n_rows"))
     asked = rows.where((F.col("id") % 20 == 0) & (F.col("id") != NO_ID)).select(F.col("own").alias("fingerprint")).distinct()
-    return near(by_print.select("fingerprint"), asked, radius).join(by_print, "fingerprint")
+    return near_lists(by_print, asked, radius)
 
 
 def near_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The pairs of different classes that ``search`` counts; ``fingerprint`` of its rows tells their class."""
-    pairs = _near_classes(rows, radius).where("query <> fingerprint")
-    return pairs.select(text_of(F.col("query")).alias("fingerprint"), text_of(F.col("fingerprint")).alias("near_fingerprint"), "distance", "n_rows")
+    pairs = _near_classes(rows, radius).select("query", F.explode("near").alias("one")).where("query <> one.found")
+    apart = F.bit_count(F.col("query").bitwiseXOR(F.col("one.found"))).alias("distance")
+    return pairs.select(text_of(F.col("query")).alias("fingerprint"), text_of(F.col("one.found")).alias("near_fingerprint"), apart, "one.n_rows")
 
 
 def search(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Likenesses of each row of ``report``; n_near: for ids divisible by 20, the other rows within ``radius`` bits."""
     found = _near_classes(rows, radius)
-    n_near = found.groupBy("query").agg((F.sum("n_rows") - 1).alias("n_near"))
+    in_list = F.aggregate("near", F.lit(0).cast("long"), lambda total, one: total + one["n_rows"])
+    n_near = found.groupBy("query").agg((F.sum(in_list) - 1).alias("n_near"))
     # Joined by id, which spreads the rows, and not by a fingerprint that most rows do not ask about.
     asking = rows.where((F.col("id") % 20 == 0) & (F.col("id") != NO_ID)).select(F.col("id").alias("asking"), F.col("own").alias("asked")).distinct()
     answers = asking.join(n_near, F.col("asked") == F.col("query")).select("asking", "asked", "n_near")

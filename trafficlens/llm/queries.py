@@ -110,7 +110,7 @@ QUERIES = {
     "op1_quality_rules": quality,
     "op2_sharding": placed,
     "op3_fingerprints": simhash,
-    "op3_near_pairs": simhash_pairs,
+    "fingerprint_pairs": simhash_pairs,
     "op4_best_fit_packing": packed,
     "op5_token_files": token_output,
     "op6_jaccard_join": linked,
