@@ -58,11 +58,17 @@ def stream_flow_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count windows, full or at the end of a capture, as the stream releases them, summed up per window."""
-    path, table = landed(spark, sf_dir)
-    stream = live.closed_windows(live.packet_stream(spark, path, table.schema, DELAY, 1), LIVE, IDLE)
+    return _summed(_closed(spark, *landed(spark, sf_dir)))
+
+
+def _closed(spark: SparkSession, path: str, table: DataFrame, delay: str = DELAY, idle_seconds: int = IDLE) -> DataFrame:
+    stream = live.closed_windows(live.packet_stream(spark, path, table.schema, delay, 1), LIVE, idle_seconds)
     out = fresh_path(spark, "closed")
     live.run_to_parquet(stream, out).awaitTermination()
-    done = spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _summed(done: DataFrame) -> DataFrame:
     return done.groupBy(*W).agg(
         F.count(F.lit(1)).alias("packet_count"),
         F.min("packet_no").alias("first_no"),
@@ -71,6 +77,47 @@ def stream_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_null_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows where every seventh packet, and every packet of the second and each fifth window after it, has no time; some packets land twice."""
+    packets = numbered_packets(spark, sf_dir).drop("ts_us", "label")
+    window = F.floor(F.col("packet_no") / LIVE)
+    untimed = packets.withColumn("timestamp", F.when((F.col("packet_no") % 7 != 0) & (window % 5 != 1), F.col("timestamp")))
+    path = fresh_path(spark, "landed")
+    for part in (untimed.where("packet_no % 2 = 0"), untimed.where("packet_no % 2 = 1 or packet_no % 10 = 0")):
+        part.coalesce(2).write.mode("append").parquet(path)
+    table = spark.read.parquet(path)
+    # Packets land in no order of time, and those without one must not be given up before the others have come.
+    live.write_marker(spark, path, table.schema, "100 days")
+    return _summed(_closed(spark, path, table, "40 days", 30 * 86_400)).drop("last_no")
+
+
+def stream_window_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count windows as sums, without their packets."""
+    path, table = landed(spark, sf_dir)
+    stream = live.window_totals(live.packet_stream(spark, path, table.schema, DELAY, 1), LIVE, IDLE)
+    out = fresh_path(spark, "totals")
+    live.run_to_parquet(stream, out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly rates where a tenth of the packets of the first ten days lands after all others: arrived, given and late packets."""
+    packets = numbered_packets(spark, sf_dir).drop("ts_us", "label")
+    early, late = F.dayofmonth("timestamp") <= 10, F.col("packet_id") % 10 == 0
+    path = fresh_path(spark, "landed")
+    rest = ~early & F.dayofmonth("timestamp").between(11, 20)
+    # Two files after the first ten days have gone by, so that the watermark is past them, then the late ones, then the end.
+    for part in (early & ~late, rest, F.dayofmonth("timestamp") > 20, early & late):
+        packets.where(part).coalesce(1).write.mode("append").parquet(path)
+    table = spark.read.parquet(path)
+    live.write_marker(spark, path, table.schema)
+    stream = live.with_counts(live.packet_stream(spark, path, table.schema, "1 hour", 1).where("capture_file is not null or packet_no is null"), "1 hour")
+    counts = live.batch_counts(live.run_to_parquet(stream, fresh_path(spark, "rates")))
+    # The marker arrives as well and is never given.
+    sums = counts.agg((F.sum("arrived") - 1).alias("arrived"), F.sum("given").alias("given"), (F.max("late_groups") > 0).alias("any_late"))
+    return sums.withColumn("late", F.col("arrived") - F.col("given"))
+
+
 def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the closed windows of the stream."""
     model = models.train(windows(spark, sf_dir), FOREST, W, stored=True)
@@ -86,6 +133,9 @@ QUERIES = {
     "stream_flow_rates": stream_flow_rates,
     "stream_count_windows": stream_count_windows,
     "stream_verdicts": stream_verdicts,
+    "stream_null_times": stream_null_times,
+    "stream_window_totals": stream_window_totals,
+    "stream_late": stream_late,
 }
 
 
@@ -115,6 +165,21 @@ ORACLES = {
            from packets group by ts_us // 3600000000, capture_file, ip_src, ip_dst, src_port, dst_port, protocol)""",
     ),
     "stream_verdicts": on_packets(VERDICT_ROWS),
+    "stream_null_times": on_packets(
+        """select capture_file, packet_no // 50 as window_id, count(*) as packet_count, min(packet_no) as first_no,
+             cast(sum(packet_length) as bigint) as bytes
+           from numbered group by capture_file, packet_no // 50"""
+    ),
+    "stream_window_totals": on_packets(
+        """select capture_file, packet_no // 50 as window_id, count(*) as packet_count, min(packet_no) as first_no,
+             max(packet_no) as last_no, cast(sum(packet_length) as bigint) as bytes, min(ts_us) as first_us, max(ts_us) as last_us
+           from numbered group by capture_file, packet_no // 50"""
+    ),
+    "stream_late": on_packets(
+        """select cast(count(*) as bigint) as arrived, cast(count(*) filter (not late) as bigint) as given, bool_or(late) as any_late,
+             cast(count(*) filter (late) as bigint) as late
+           from (select packet_id % 10 = 0 and cast(substr(capture_file, 5, 2) as int) <= 10 as late from packets)"""
+    ),
     "stream_count_windows": on_packets(
         """select capture_file, packet_no // 50 as window_id, count(*) as packet_count, min(packet_no) as first_no,
              max(packet_no) as last_no, cast(sum(packet_length) as bigint) as bytes
