@@ -84,6 +84,7 @@ def test_documents(spark, odd_docs, no_docs, small):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert bpe.shared_ids(docs, tokens.vocabulary())
     check(bpe.digests(bpe.encode(docs)).collect(), rows)
+    check(bpe.report(docs).collect(), rows)
     assert bpe.digests(bpe.encode(no_docs)).count() == 0
 
 

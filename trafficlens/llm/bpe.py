@@ -18,7 +18,7 @@ controls at which Python splits and the tokenizer does not are encoded whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ SHARED_BYTES = 16 << 20
 #: What a shared chunk takes beside its text.
 KEY_BYTES = 48
 #: Characters of the texts that are put together at once.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: The rolling hash's value for each byte, from a fixed rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=7) for b in range(256)], dtype=np.uint32)
 SPACE = np.zeros(256, dtype=bool)
@@ -228,7 +228,16 @@ def join(encoder: tokens.WordEncoder, raw: bytes, parts: list[tuple[int, bytes]]
 
 def encode(docs: DataFrame, vocabulary: str | None = None, shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every row."""
+    return _encoded(docs, vocabulary or tokens.vocabulary(), shared_bytes, lambda batch: batch, "doc_id long, ids binary")
+
+
+def report(docs: DataFrame, vocabulary: str | None = None, shared_bytes: int = SHARED_BYTES) -> DataFrame:
+    """``digests`` of what ``encode`` gives, taken where the ids are made, so no second worker holds them."""
     vocabulary = vocabulary or tokens.vocabulary()
+    return _encoded(docs, vocabulary, shared_bytes, lambda batch: _digest(batch, vocabulary), DIGESTS)
+
+
+def _encoded(docs: DataFrame, vocabulary: str, shared_bytes: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(shared_ids(docs, vocabulary, shared_bytes))
 
     def encode_block(encoder: tokens.WordEncoder, texts: list[str]) -> Iterator[bytes]:
@@ -254,9 +263,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, shared_bytes: int = S
             for a, b in zip(edges, edges[1:]):
                 part = batch.slice(a, b - a)
                 ids = list(encode_block(encoder, part["text"].to_pylist()))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                yield finish(pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"]))
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 _surfaces: dict[str, np.ndarray] = {}
@@ -265,25 +274,27 @@ _surfaces: dict[str, np.ndarray] = {}
 def decode(ids: bytes, vocabulary: str) -> str:
     """As the library decodes without a decoder and without skipping special tokens: the tokens, a blank between two."""
     if vocabulary not in _surfaces:
-        tokenizer = tokens.load(vocabulary)
+        tokenizer = tokens.encoder(vocabulary).tokenizer
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         _surfaces[vocabulary] = np.array([tokenizer.id_to_token(i) or "" for i in range(size)], dtype=object)
     return " ".join(_surfaces[vocabulary][np.frombuffer(ids, dtype="<u4")].tolist())
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest(batch: pa.RecordBatch, vocabulary: str) -> pa.RecordBatch:
+    ids = batch["ids"].to_pylist()
+    columns = [
+        batch["doc_id"],
+        pa.array([len(x) // 4 for x in ids], pa.int64()),
+        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+        pa.array([hashlib.sha256(decode(x, vocabulary).encode()).hexdigest() for x in ids], pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of ``encode``'s rows."""
     vocabulary = vocabulary or tokens.vocabulary()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["ids"].to_pylist()
-            columns = [
-                batch["doc_id"],
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(decode(x, vocabulary).encode()).hexdigest() for x in ids]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(lambda batches: (_digest(batch, vocabulary) for batch in batches), DIGESTS)

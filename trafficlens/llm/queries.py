@@ -77,7 +77,7 @@ def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents from shared chunks, decoded again."""
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.report(table(spark, sf_dir, "documents"))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,12 +26,12 @@ SIMPLE = re.compile("[\t-\r -;=-~À-ÖØ-öø-ÿ]*")
 #: A mark at the end of a word is a token of its own.
 LAST_MARK = r"([a-zà-öø-ÿ])([.,])(\s|$)"
 #: Bytes of words and ids that a worker remembers as columns, and as single words; beyond that it starts anew.
-KNOWN_BYTES = 64 << 20
-NEAR_BYTES = 24 << 20
+KNOWN_BYTES = 48 << 20
+NEAR_BYTES = 16 << 20
 #: What a single word takes beside its letters and ids.
 WORD_BYTES = 160
 #: Characters whose words are held at once; longer texts are cut between words.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 
 _encoders: dict[str, WordEncoder] = {}
 
