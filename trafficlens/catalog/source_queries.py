@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -154,16 +156,44 @@ def same_name_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(captures.status_of_pieces(captures.pieces_of_contents(blobs), captures.capture_name(1)), E).select(*E, "n", "packets", "status")
 
 
+def _overwrite(path: str, at: int, content: bytes) -> None:
+    """Put bytes into a file, or make it of them."""
+    system, inner = captures.file_system(path)
+    before = b""
+    if system.get_file_info(inner).is_file:
+        with system.open_input_file(inner) as stream:
+            before = stream.readall()
+    with system.open_output_stream(inner) as stream:
+        stream.write(before[:at] + content + before[at + len(content) :])
+
+
 def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of packet files one of which is no Parquet file, by status."""
+    """Status of the files of a folder, one without a footer, one damaged inside, one of no rows."""
+    folder = fresh_path(spark, "packets")
+    p = packets(spark, sf_dir)
+    p.write.parquet(folder)
+    for name, rows in (("damaged", p), ("none", p.where("packet_id < 0"))):
+        part = fresh_path(spark, name)
+        rows.coalesce(1).write.parquet(part)
+        system, inner = captures.file_system(part)
+        source = next(f.path for f in system.get_file_info(pa.fs.FileSelector(inner)) if f.path.endswith(".parquet"))
+        system.copy_file(source, f"{captures.file_system(folder)[1]}/{name}.parquet")
+    _overwrite(f"{folder}/broken.parquet", 0, b"no table")
+    _overwrite(f"{folder}/damaged.parquet", 4, b"\xff" * 200)  # the first page's header
+    return tables.table_status(spark, folder).groupBy("status", "error").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows")).select(
+        "status", "error", F.when(F.col("error").isNotNull(), F.col("files")).alias("files"), "rows"
+    )
+
+
+def landed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of captures that lie in many files each, numbered as they are read: how many there are, and the numbers they take."""
     folder = fresh_path(spark, "packets")
-    packets(spark, sf_dir).write.parquet(folder)
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/broken.parquet")
-    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
-    stream.write(bytearray(b"no table"))
-    stream.close()
-    return tables.table_status(spark, folder).groupBy("status", "error").agg(F.sum("rows").alias("rows"))
+    p = packets(spark, sf_dir).drop("label")
+    p.repartition(64, "packet_id").write.parquet(folder)
+    landed = tables.with_file(tables.read_parquet_dir(spark, folder), folder)
+    return landed.groupBy(*E).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("packet_no").alias("numbers"), F.min("packet_no").alias("first_no"), F.max("packet_no").alias("last_no")
+    )
 
 
 FILE = "lpad(cast(packet_no // 1000 as varchar), 9, '0') || '_' || capture_file"
@@ -185,6 +215,7 @@ QUERIES = {
     "combine_features": combine_features,
     "capture_decode": capture_decode,
     "capture_status": capture_status,
+    "landed_numbers": landed_numbers,
     "capture_folder": capture_folder,
     "capture_source": capture_source,
     "capture_split_decode": capture_split_decode,
@@ -199,8 +230,13 @@ ORACLES = {
             from numbered group by 1"""
     ),
     "table_status": on_packets(
-        """select 'ok' as status, cast(null as varchar) as error, count(*) as rows from packets
-           union all select 'error', 'no readable rows', 0"""
+        """select 'ok' as status, cast(null as varchar) as error, cast(null as bigint) as files, count(*) as rows from packets
+           union all select 'error', 'no readable rows', 1, 0
+           union all select 'error', 'fewer rows than its footer tells', 1, 0"""
+    ),
+    "landed_numbers": on_packets(
+        """select capture_file, count(*) as n, count(*) as numbers, cast(0 as bigint) as first_no, count(*) - 1 as last_no
+           from packets group by capture_file"""
     ),
     "scan_parquet_pushed": "select l_orderkey, l_linenumber, l_quantity, l_returnflag from lineitem where l_quantity > 45",
     "scan_parquet_dir": on_packets(

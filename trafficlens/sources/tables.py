@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from trafficlens.functions.expressions import label_from_name, path_below, to_timestamp
 from trafficlens.operators.ordering import with_position
 from trafficlens.schema import PACKET_FIELDS
 from trafficlens.session import folder_depth
+from trafficlens.sources.captures import file_system
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -41,25 +44,47 @@ def with_file(df: DataFrame, folder: str, numbered: bool = True) -> DataFrame:
     """Add ``capture_file``, the file's path below ``folder``, and, for Parquet, ``packet_no``, the row's place in its file.
 
     Both come from the scan itself, so file order costs neither a sort nor a shuffle.
-    Landed tables that already name their capture or number their packets keep what they have; a
-    landed table without numbers gets them by file, which breaks ties within a capture.
+    Landed tables that already name their capture or number their packets keep what they have. Where a capture's packets lie in
+    several files without numbers, they are numbered file by file in the order of the files' names, which takes a sort.
     """
     file = path_below(F.col("_metadata.file_path"), folder_depth(df.sparkSession, folder))
     added = {} if "capture_file" in df.columns else {"capture_file": file}
     if numbered and "packet_no" not in df.columns:
         number = F.col("_metadata.row_index")
-        # In a table of many files the numbers of two files must not collide.
-        added["packet_no"] = number if added else F.pmod(F.xxhash64(file), F.lit(1 << 20)) * (1 << 40) + number
+        if not added:
+            placed = df.select("*", file.alias("_file"), number.alias("_row"))
+            return with_position(placed, ["capture_file"], ["_file", "_row"], "packet_no").drop("_file", "_row")
+        added["packet_no"] = number
     return df.select("*", *[c.alias(name) for name, c in added.items()])
 
 
+FOOTERS = pa.schema([("path", pa.string()), ("expected", pa.int64())])
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each Parquet file by its footer; null where it has none that can be read."""
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        expected = []
+        for path in batch["path"].to_pylist():
+            system, inner = file_system(path)
+            try:
+                with system.open_input_file(inner) as stream:
+                    expected.append(pq.read_metadata(stream).num_rows)
+            except (OSError, pa.ArrowException):
+                expected.append(None)
+        yield pa.RecordBatch.from_arrays([batch["path"], pa.array(expected, pa.int64())], schema=FOOTERS)
+
+
 def table_status(
     spark: SparkSession, folder: str, kind: str = "parquet", fields: Sequence[str] | None = None
 ) -> DataFrame:
     """capture_file, status, rows and error of every Parquet or CSV file of a folder.
 
-    All columns of all files are read. A Parquet file that gives no rows is ``error``; so is a CSV file with lines that
-    do not fit (``rows`` counts those that do).
+    All columns of all files are read. A Parquet file without a readable footer is ``error``, and so is one that gives fewer rows than its
+    footer tells (``rows`` counts those before the damage); a file of no rows is ``ok``. A CSV file is ``error`` where lines do not fit
+    (``rows`` counts those that do).
     """
     glob = {"parquet": "*.parquet", "csv": "*.csv"}[kind]
     depth = folder_depth(spark, folder)
@@ -67,10 +92,15 @@ def table_status(
     files = listing.select(path_below(F.col("path"), depth).alias("capture_file"))
     if kind == "parquet":
         readable = read_parquet_dir(spark, folder, skip_broken=True)
-        # A hash over all columns makes the scan read all of them.
+        # The hash over all columns is kept, so that the scan reads all of them.
         rows = readable.select(path_below(F.col("_metadata.file_path"), depth).alias("capture_file"), F.xxhash64(*readable.columns).alias("x"))
-        read = rows.groupBy("capture_file").agg(F.count("x").alias("rows"))
-        error = F.when(F.col("rows").isNull(), "no readable rows")
+        found = rows.groupBy("capture_file").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor("x").alias("content"))
+        footers = listing.select("path").repartition(max(1, min(10_000, 2 * spark.sparkContext.defaultParallelism)))
+        told = footers.mapInArrow(_footers, from_arrow_schema(FOOTERS)).select(path_below(F.col("path"), depth).alias("capture_file"), "expected")
+        read = told.join(found, "capture_file", "left").where(F.col("content").isNotNull() | F.col("rows").isNull())
+        error = F.when(F.col("expected").isNull(), "no readable rows").when(
+            F.coalesce("rows", F.lit(0)) < F.col("expected"), "fewer rows than its footer tells"
+        )
     else:
         lines = read_packets_csv(spark, folder, fields)
         # Only columns that are asked for are parsed, so the condition looks at all of them.
