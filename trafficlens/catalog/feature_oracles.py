@@ -284,6 +284,26 @@ ORACLES: dict[str, str] = {
         f"select {CAP}, col, val, n, cast(rank as int) as rank, round(n * 1e0 / total, 6) as ratio from ranked where rank <= 5",
         TOP5,
     ),
+    "frequent_values": on_packets(
+        f"""select {CAP}, col, val, n, cast(rank as int) as rank, round(n * 1e0 / total, 6) as ratio
+            from (select *, row_number() over (partition by {CAP}, col order by n desc, val) as rank,
+                sum(n) over (partition by {CAP}, col) as total
+              from (select {CAP}, col, val, count(*) as n
+                from (unpivot (select {CAP}, tcp_flags, http_method, cast(dst_port as varchar) as dst_port,
+                    cast(packet_length as varchar) as packet_length, cast(ts_us as varchar) as ts_us from packets)
+                  on tcp_flags, http_method, dst_port, packet_length, ts_us into name col value val)
+                group by all))
+            where rank <= 5"""
+    ),
+    "sketch_quantiles": on_packets(
+        f"""select {CAP}, count(*) as n, true as packet_length_5_ok, true as packet_length_50_ok, true as packet_length_95_ok,
+              true as ts_us_5_ok, true as ts_us_50_ok, true as ts_us_95_ok from packets group by {CAP}"""
+    ),
+    "sketch_uniques": on_packets(
+        f"""unpivot (select {CAP}, count(distinct ip_src) as ip_src, count(distinct dst_port) as dst_port,
+                count(distinct packet_length) as packet_length, count(distinct ts_us) as ts_us from packets group by {CAP})
+              on ip_src, dst_port, packet_length, ts_us into name col value exact""",
+    ).replace("unpivot (select", "select *, true as near from (unpivot (select", 1) + ")",
     "feature_maps": on_packets(
         f"""select {CAP}, col || '_ratio' as feature, val, round(n * 1e0 / total, 6) as ratio from ranked where rank <= 5
             union all select {CAP}, 'protocol_ratio', cast(protocol as varchar),

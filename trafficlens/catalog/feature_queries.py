@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trafficlens.catalog.fixture import numbered_packets, packets, table
 from trafficlens.catalog.shape import rounded
 from trafficlens.functions import expressions as X
-from trafficlens.operators import assemble, counted, flows, lengths, livewindows, statistical, tallies, timing
+from trafficlens.operators import assemble, counted, flows, lengths, livewindows, sketches, statistical, tallies, timing
 from trafficlens.schema import FIXED_FEATURES, MAP_FEATURES
 
 E = ["capture_file"]
@@ -128,6 +128,41 @@ def top5_ratios(p: DataFrame) -> DataFrame:
     return tallies.top_values(p, E, ["tcp_flags", "icmp_type", "http_method"], 5)
 
 
+def frequent_values(p: DataFrame) -> DataFrame:
+    """The first five values by counters of each task; lengths and times have too many even values for these."""
+    return sketches.frequent_values(p, E, ["tcp_flags", "http_method", "dst_port", "packet_length", "ts_us"], 5, 16)
+
+
+def sketch_quantiles(p: DataFrame) -> DataFrame:
+    """Hourly summaries merged by capture: whether each estimate's rank is within the bound."""
+    hourly = sketches.summaries(p.withColumn("hour", F.floor(F.col("ts_us") / 3_600_000_000)), [*E, "hour"], ["packet_length", "ts_us"])
+    found = sketches.merged(hourly, E)
+    shares = (0.05, 0.5, 0.95)
+    out = [F.col("n")]
+    for column in ("packet_length", "ts_us"):
+        out += [sketches.quantile(column, s).alias(f"{column}_{round(100 * s)}") for s in shares]
+    guesses = found.select(*E, *out)
+    checks = [
+        (
+            (F.avg(F.when(F.col(column) < F.col(f"{column}_{at}"), 1.0).otherwise(0.0)) <= s + sketches.RANK_ERROR)
+            & (F.avg(F.when(F.col(column) <= F.col(f"{column}_{at}"), 1.0).otherwise(0.0)) >= s - sketches.RANK_ERROR)
+        ).alias(f"{column}_{at}_ok")
+        for column in ("packet_length", "ts_us")
+        for s, at in ((s, round(100 * s)) for s in shares)
+    ]
+    return p.join(guesses, E).groupBy(*E, "n").agg(*checks)
+
+
+def sketch_uniques(p: DataFrame) -> DataFrame:
+    """Hourly distinct sketches merged by capture, against the exact counts."""
+    columns = ["ip_src", "dst_port", "packet_length", "ts_us"]
+    hourly = sketches.summaries(p.withColumn("hour", F.floor(F.col("ts_us") / 3_600_000_000)), [*E, "hour"], uniques=columns)
+    found = sketches.merged(hourly, E).select(*E, *[sketches.unique(c).alias(c) for c in columns])
+    exact = tallies.value_freq(p, E, columns).groupBy(*E, "col").agg(F.count(F.lit(1)).alias("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), sketches.COUNT_ERROR * F.col("exact"))
+    return found.unpivot(E, columns, "col", "estimate").join(exact, [*E, "col"]).select(*E, "col", "exact", near.alias("near"))
+
+
 def count_windows(p: DataFrame) -> DataFrame:
     w = timing.time_windows(p, E, tie=TIE)
     return w.select(*E, "window_no", "n", "t0", "t1", "bytes")
@@ -243,6 +278,9 @@ QUERIES: dict[str, Query] = {
     "entropy_length_bins": on_packets(lambda p: lengths.entropy_length_bins(p, E)),
     "direction_ratio": on_packets(lambda p: counted.direction_ratio(p, E)),
     "top5_ratios": on_packets(top5_ratios),
+    "frequent_values": on_packets(frequent_values),
+    "sketch_quantiles": on_packets(sketch_quantiles),
+    "sketch_uniques": on_packets(sketch_uniques),
     "feature_maps": feature_maps,
     "feature_row": feature_row,
     "window_features": window_features,
