@@ -230,6 +230,9 @@ def test_training_run_from_folders(spark, packets, tmp_path):
     assert {r["label"]: r["count"] for r in result.classes.collect()} == {"normal": 16, "ddos": 8}
     assert result.metrics["train"]["accuracy"] > 0.9 and result.cv.count() == 5
     assert models.TrafficModel.load(result.model_path).feature_names == result.model.feature_names
+    status = result.inputs.collect()
+    assert len(status) == 24 and {(r["label"], r["status"]) for r in status} == {("normal", "ok"), ("ddos", "ok")}
+    assert sum(r["rows"] for r in status) == packets.count()
     assert START > 0
 
 

@@ -13,6 +13,7 @@ from trafficlens.catalog.fixture import numbered_packets, packets
 from trafficlens.catalog.shape import rounded
 from trafficlens.functions.expressions import file_name, path_below
 from trafficlens.operators import counted
+from trafficlens.plans import training
 from trafficlens.schema import PACKET_FIELDS
 from trafficlens.session import folder_depth, fresh_path, store
 from trafficlens.sources import captures, sinks, tables
@@ -185,6 +186,18 @@ def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def training_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of the inputs of a training run: a Parquet folder, and a CSV folder one file of which has a line that does not fit."""
+    p = packets(spark, sf_dir)
+    fields = [f.name for f in PACKET_FIELDS.fields]
+    normal = sinks.write_packets(p.where(F.col("label") == "normal").drop("label"), fresh_path(spark, "normal"))
+    ddos = sinks.write_csv(p.where(F.col("label") == "ddos").select(*fields), fresh_path(spark, "ddos"))
+    good = "1.5," + "," * (len(fields) - 2)
+    _overwrite(f"{ddos}/misfit.csv", 0, "\n".join([",".join(fields), good, good.replace("1.5,,,", "1.5,,,no port"), good, ""]).encode())
+    folders = [{"folder": normal, "label": "normal"}, {"folder": ddos, "label": "ddos", "kind": "csv"}]
+    return training.input_status(spark, folders).groupBy("label", "status", "error").agg(F.sum("rows").alias("rows"))
+
+
 def landed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of captures that lie in many files each, numbered as they are read: how many there are, and the numbers they take."""
     folder = fresh_path(spark, "packets")
@@ -216,6 +229,7 @@ QUERIES = {
     "capture_decode": capture_decode,
     "capture_status": capture_status,
     "landed_numbers": landed_numbers,
+    "training_inputs": training_inputs,
     "capture_folder": capture_folder,
     "capture_source": capture_source,
     "capture_split_decode": capture_split_decode,
@@ -234,6 +248,10 @@ ORACLES = {
            union all select 'error', 'no readable rows', 1, 0
            union all select 'error', 'fewer rows than its footer tells', 1, 0"""
     ),
+    "training_inputs": on_packets(
+        """select label, 'ok' as status, cast(null as varchar) as error, count(*) as rows from packets group by label
+           union all select 'ddos', 'error', '1 lines do not fit', 2"""
+    ),
     "landed_numbers": on_packets(
         """select capture_file, count(*) as n, count(*) as numbers, cast(0 as bigint) as first_no, count(*) - 1 as last_no
            from packets group by capture_file"""

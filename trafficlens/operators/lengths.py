@@ -108,15 +108,15 @@ def entropy_length_bins(packets: DataFrame, by: Sequence[str]) -> DataFrame:
 def bin_counts(packets: DataFrame, by: Sequence[str], column: str, bins: int = LENGTH_BINS) -> DataFrame:
     """Rows in each of ``bins`` equal-width bins of a column (right-closed, minimum in bin 1).
 
-    The range comes from its own small aggregate, so columns with any number of distinct
-    values are binned without gathering a group in one place.
+    Rows are first counted by value, with map-side combining, and only different values meet the range of their group, which comes from
+    its own small aggregate. So no group is gathered in one place, whatever the number of its values.
     """
     x = F.col(column)
-    bounds = packets.groupBy(*by).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
+    values = packets.where(x.isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    bounds = values.groupBy(*by).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
     return (
-        packets.join(bounds, list(by))
+        values.join(bounds, list(by))
         .withColumn("bin", equal_width_bin(column, "_low", "_high", bins))
-        .where(F.col("bin").isNotNull())
         .groupBy(*by, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_n").alias("n"))
     )

@@ -17,7 +17,7 @@ from trafficlens.schema import ENTITY
 from trafficlens.session import store
 from trafficlens.settings import FeatureSettings, ModelSettings
 from trafficlens.sources import tables
-from trafficlens.sources.captures import read_captures
+from trafficlens.sources.captures import CaptureFolder, read_captures
 
 
 @dataclass
@@ -29,6 +29,21 @@ class TrainingResult:
     classes: DataFrame
     importances: DataFrame
     cv: DataFrame | None = None
+    #: Status of every input file (see ``input_status``); read when it is asked for.
+    inputs: DataFrame | None = None
+
+
+def input_status(spark: SparkSession, folders: Sequence[dict[str, Any]]) -> DataFrame:
+    """capture_file, status, rows, error, folder and label of every file of the folders: what is broken or left out in part."""
+    parts = []
+    for f in folders:
+        kind = f.get("kind", "parquet")
+        if kind == "capture":
+            found = CaptureFolder(spark, f["folder"]).status().withColumnRenamed("packets", "rows")
+        else:
+            found = tables.table_status(spark, f["folder"], kind)
+        parts.append(found.select("capture_file", "status", "rows", "error", F.lit(f["folder"]).alias("folder"), F.lit(f.get("label")).cast("string").alias("label")))
+    return tables.stack(parts)
 
 
 def features_of_folder(
@@ -104,4 +119,6 @@ def run_training(
     ]
     if not tables_:
         raise ValueError("no folders to train on")
-    return train_from_features(tables_, model_settings, ENTITY, model_path, folds)
+    result = train_from_features(tables_, model_settings, ENTITY, model_path, folds)
+    result.inputs = input_status(spark, folders)
+    return result
