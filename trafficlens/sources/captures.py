@@ -51,6 +51,8 @@ from trafficlens.sources.framing import CaptureError, Run, State, Walker
 SEGMENT_BYTES = 64 * 1024 * 1024
 #: Small files are put together until a task has so many bytes.
 TASK_BYTES = 64 * 1024 * 1024
+OPEN_BYTES = 4 * 1024 * 1024
+LEAST_TASKS = 32
 ROWS_PER_BATCH = 20_000
 GLOB = "*.[pP][cC][aA][pP]*"
 
@@ -157,13 +159,16 @@ class Task(InputPartition):
 
 
 def tasks_of(pieces: list[Piece]) -> list[Task]:
-    tasks, size = [], TASK_BYTES
+    """Pieces in turn, to tasks of even size; opening a file counts as some bytes, and a small folder still gives some tasks."""
+    total = sum(OPEN_BYTES + piece.bytes() for piece in pieces)
+    most = min(TASK_BYTES, max(OPEN_BYTES, total // LEAST_TASKS))
+    tasks, size = [], most
     for piece in pieces:
-        if size + piece.bytes() > TASK_BYTES:
+        if size + OPEN_BYTES + piece.bytes() > most:
             tasks.append(Task([]))
             size = 0
         tasks[-1].pieces.append(piece)
-        size += piece.bytes()
+        size += OPEN_BYTES + piece.bytes()
     return tasks or [Task([])]
 
 
