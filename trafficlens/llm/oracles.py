@@ -34,10 +34,10 @@ sc as (unpivot (select doc_id, stratum, base_failed, cast(symbols as double) as
   cast(dup_lines as double) as dup_lines, cast(shouting as double) as shouting, cast(marks as double) as marks,
   cast(sameness as double) as sameness from f) on symbols, repeats, dup_lines, shouting, marks, sameness into name rule value score),
 good as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
-own as (select stratum from f join good using (doc_id) where not base_failed group by stratum having count(*) >= {rules.MIN_GOOD}
-  order by count(*) desc, stratum limit {rules.MAX_STRATA}),
-h as (select case when stratum in (select stratum from own) then stratum else '{rules.POOLED}' end as stratum, rule, score
-  from sc join good using (doc_id) where not base_failed),
+sizes as (select stratum, count(*) as good from f join good using (doc_id) where not base_failed group by stratum),
+own as (select stratum from sizes where pow(1 - {rules.ALPHA}, good)
+  <= {rules.DELTA} / ({len(rules.GRID)} * (select count(*) from sizes as larger where larger.good >= sizes.good))),
+h as (select stratum, rule, score from sc join good using (doc_id) where not base_failed and stratum in (select stratum from own)),
 grid(rule, j, cutoff) as (values {_GRID}),
 tests as (select stratum, rule, j, cutoff, count(*) as n, count(*) filter (score > cutoff) as k
   from h join grid using (rule) group by all),
@@ -46,9 +46,7 @@ passed as (select stratum, rule, min(cutoff) as cutoff from tests, m
   where k < n * {rules.ALPHA} and list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
     + i * ln({rules.ALPHA}) + (n - i) * ln(1 - {rules.ALPHA})))) <= {rules.DELTA} / m group by stratum, rule),
 hits as (select doc_id, string_agg(sc.rule, ',' order by list_position({list(rules.GRID)}, sc.rule)) as rejected_by
-  from sc join passed on passed.rule = sc.rule and score > cutoff
-    and passed.stratum = case when sc.stratum in (select stratum from own) then sc.stratum else '{rules.POOLED}' end
-  group by doc_id)
+  from sc join passed on passed.rule = sc.rule and passed.stratum = sc.stratum and score > cutoff group by doc_id)
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by
 from f left join hits using (doc_id)

@@ -7,6 +7,10 @@ a rule and a Bonferroni correction across strata and rules, so with probability
 stratum rejects at most a share ``alpha`` of the good documents, and all rules together at most ``rules * alpha``.
 The strictest certified cutoff is used; a rule without one rejects nothing.
 
+Every stratum stands on its own evidence. Those with too few good documents for any certificate are not tested, count in no
+correction and reject nothing: of the strata by falling number of good documents, the r-th is tested if no rejection at all
+would pass among r, ``(1 - alpha) ** good <= delta / (r * rules)``. That looks at the numbers of good documents alone, never at their scores.
+
 Defined cases: a null or empty text has no words and fails the base rules. A null label or language is no label, or
 the stratum ''. Repeated label rows of a document count once, as good only if all of them are 1. Repeated document
 rows are judged one by one. Without labels only the base rules reject. Other columns are ignored or handed through,
@@ -33,11 +37,6 @@ GRID = {
 }
 ALPHA = 0.005
 DELTA = 0.05
-#: A language needs as many good labelled documents to be a stratum of its own; the others share the stratum "*".
-MIN_GOOD = 2000
-#: At most as many strata of their own (those with the most good documents), which bounds the table of cutoffs.
-MAX_STRATA = 64
-POOLED = "*"
 #: Terms of the binomial tail that are summed one by one; what is left is bounded by a geometric series.
 TAIL_TERMS = 2000
 
@@ -99,7 +98,7 @@ def _is_above() -> Column:
     ])
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, min_good: int = MIN_GOOD) -> DataFrame:
+def calibrate(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Certified cutoffs: stratum, rule, n_good, n_rejected, p_value, cutoff; one row per stratum and certified rule.
 
     ``scored`` holds doc_id, stratum, failed (by the base rules) and scores. Only good documents that pass the base rules count.
@@ -110,29 +109,23 @@ def calibrate(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     )
     holdout = scored.where(~F.col("failed")).join(good, "doc_id").select("stratum", F.explode(_is_above()).alias("r"))
     levels = holdout.groupBy("stratum", F.col("r.rule").alias("rule"), F.col("r.above").alias("above")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = levels.groupBy("stratum", "rule").agg(F.sum("n").alias("good")).groupBy("stratum").agg(F.max("good").alias("good"))
-    named = sizes.where(F.col("good") >= min_good).orderBy(F.desc("good"), "stratum").limit(MAX_STRATA).select("stratum", F.lit(True).alias("own"))
-    pooled = (
-        levels.join(F.broadcast(named), "stratum", "left")
-        .groupBy(F.when(F.col("own"), F.col("stratum")).otherwise(F.lit(POOLED)).alias("stratum"), "rule", "above")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("stratum", "rule")
-        .agg(F.collect_list(F.struct("above", "n")).alias("levels"), F.sum("n").alias("n_good"))
-    )
+    counted = levels.groupBy("stratum", "rule").agg(F.collect_list(F.struct("above", "n")).alias("levels"), F.sum("n").alias("n_good"))
+
+    def may_pass(n_tests: Column | int) -> Column:
+        return F.col("n_good") * F.log1p(F.lit(-alpha)) <= F.log(F.lit(delta) / n_tests)
+
+    # Windows of a rule see one row per stratum, and only strata with some hundreds of labels each (956 at the defaults).
+    by_size = Window.partitionBy("rule").orderBy(F.desc("n_good"))
+    sized = counted.where(may_pass(len(GRID))).withColumn("rank", F.count(F.lit(1)).over(by_size))
+    tested = sized.where(may_pass(F.col("rank") * len(GRID))).withColumn("n_tests", F.count(F.lit(1)).over(Window.partitionBy("rule")) * len(GRID))
     grid = F.create_map(*[x for rule, cutoffs in GRID.items() for x in (F.lit(rule), F.array(*map(F.lit, cutoffs)))])
     tests = (
-        pooled.select("stratum", "rule", "levels", "n_good", F.posexplode(grid[F.col("rule")]).alias("j", "cutoff"))
+        tested.select("stratum", "rule", "levels", "n_good", "n_tests", F.posexplode(grid[F.col("rule")]).alias("j", "cutoff"))
         # The cutoffs fall, so a score above the j-th is above all that follow: above len - j cutoffs at least.
         .withColumn("least", F.size(grid[F.col("rule")]) - F.col("j"))
         .withColumn("n_rejected", F.aggregate(F.filter("levels", lambda x: x["above"] >= F.col("least")), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     )
-    # Every stratum has a row for each rule, so the rows of a rule are the strata.
-    n_tests = F.count(F.lit(1)).over(Window.partitionBy("rule", "j")) * len(GRID)
-    passed = (
-        tests.withColumn("n_tests", n_tests)
-        .withColumn("p_value", binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha))
-        .where(F.col("p_value") <= F.lit(delta) / F.col("n_tests"))
-    )
+    passed = tests.withColumn("p_value", binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha)).where(F.col("p_value") <= F.lit(delta) / F.col("n_tests"))
     best = F.max_by(F.struct("n_good", "n_rejected", "p_value", "cutoff"), "j").alias("best")
     return passed.groupBy("stratum", "rule").agg(best).select("stratum", "rule", "best.*")
 
@@ -140,21 +133,17 @@ def calibrate(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 def judge(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """``scored`` with ``rejected_by`` (names of the rules that reject, in the order of GRID) and ``kept``.
 
-    ``cutoffs`` has at most (MAX_STRATA + 1) * rules rows, so it is broadcast.
+    ``cutoffs`` has a row for each certified rule of a stratum; Spark broadcasts it if it is as small as its files say.
     """
-    table = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("own"))
-    own = F.broadcast(table)
-    rest = F.broadcast(table.where(F.col("stratum") == POOLED).select(F.col("own").alias("rest"), F.col("stratum").alias("pooled")))
+    own = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
     joined = scored.join(own, "stratum", "left")
-    joined = joined.withColumn("pooled", F.when(F.col("own").isNull(), F.lit(POOLED))).join(rest, "pooled", "left")
-    limits = F.coalesce("own", "rest")
     rejecting = F.array_compact(F.array(*[
-        F.when(F.col(f"scores.{rule}") > limits[rule], F.lit(rule)) for rule in GRID
+        F.when(F.col(f"scores.{rule}") > F.col("limits")[rule], F.lit(rule)) for rule in GRID
     ]))
     return (
         joined.withColumn("rejected_by", F.array_join(rejecting, ","))
         .withColumn("kept", ~F.col("failed") & (F.col("rejected_by") == ""))
-        .drop("own", "rest", "pooled")
+        .drop("limits")
     )
 
 

@@ -28,7 +28,7 @@ from trafficlens.llm.tables import fresh_path, shuffle_width, store, table
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of the quality rules on every document."""
     scored = store(quality_rules.score(table(spark, sf_dir, "documents")), "quality")
-    cutoffs = quality_rules.calibrate(scored, table(spark, sf_dir, "labels"))
+    cutoffs = store(quality_rules.calibrate(scored, table(spark, sf_dir, "labels")), "cutoffs")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return quality_rules.judge(scored, cutoffs).select(
         "doc_id", *[F.col(f"stats.{c}").alias(c) for c in counts], F.col("failed").alias("base_failed"), "kept", "rejected_by"
