@@ -71,8 +71,19 @@ def test_repeated_rows_and_missing_ids(spark, odd_docs, labels, no_docs):
     kept = corpus_pipeline.drop_near_copies(spark, odd_docs, "").collect()
     left = [r.doc_id for r in kept]
     assert left.count(5) == 1 and 6 not in left and left.count(None) == 2 and {1, 2, 3, 4, 7, 8, 9, 40} <= set(left)
+    assert kept[0].asDict().keys() == set(odd_docs.columns)
     assert corpus_pipeline.drop_near_copies(spark, no_docs, "").count() == 0
 
 
+def test_rows_are_linked_not_ids(spark):
+    """Two texts under one id, a copy under the smaller id, copies without an id."""
+    a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, c), (None, c), (None, a), (9, "words"), (9, "others"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    want = [(1, a), (2, b), (None, c), (9, "words"), (9, "others"), (None, None), (None, None)]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_run(spark, small, stages):
     assert corpus_pipeline.run(spark, small).count() == stages[5].count()
