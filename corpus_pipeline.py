@@ -6,7 +6,7 @@ row where it filters, so repeated rows and null ids go the way of their text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm import classifier, jaccard, packing, pii, quality_rules, textstats
@@ -30,16 +30,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked, the one with the smallest doc_id (of equal ids: the smallest text).
+    """One row of each group that is linked, the one with the smallest doc_id (null comes last; of equal ids: the smallest hash of the text).
 
-    Documents without words are linked with nothing and stay, as do all without an id.
+    Rows are linked, not ids: each has a number of its own, stored before use, so two different texts under one id both
+    stay, and rows without an id are compared like all others. Rows without words are linked with nothing and stay.
     """
-    groups = store(jaccard.link(docs).where("doc_id = component_id").select("doc_id").distinct(), "groups")
-    # One shuffle of the texts, by doc_id; the window stays in it.
-    by_id = Window.partitionBy("doc_id").orderBy("text")
     row = F.struct(*docs.columns).alias("row")
-    named = docs.join(groups, "doc_id").select("doc_id", "text", row).withColumn("place", F.row_number().over(by_id))
-    return named.where("place = 1").select("row.*").unionByName(docs.where("doc_id is null"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash")).alias("rank")
+    numbered = store(docs.select(F.monotonically_increasing_id().alias("number"), rank, F.col("text"), row), "numbered")
+    linked = jaccard.link(numbered.select(F.col("number").alias("doc_id"), "text")).select(F.col("doc_id").alias("number"), "component_id")
+    # A group's rows meet as one candidate per task, so a group of any size is one small aggregate.
+    ranked = linked.join(numbered.select("number", "rank"), "number")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct("rank", "number")).alias("first")).select("first.number")
+    return numbered.select("number", "row").join(store(first, "firsts"), "number").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
