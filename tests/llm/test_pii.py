@@ -129,3 +129,76 @@ def test_counts_of_many_false_ones_are_not_balanced_away():
     assert pii.calibrate_counts({60_000: (2_000, 400), 9: (18_000, 0)}) == float("inf")
     assert pii.is_bounded(0, 149, 0.02) and not pii.is_bounded(0, 148, 0.02)
     assert pii.is_bounded(190_000, 10_000_000, 0.02) and not pii.is_bounded(200_000, 10_000_000, 0.02)
+
+
+def stump(feature, threshold, low, high):
+    return [[feature, threshold, 1, 2, 0.0], [-1, 0.0, 1, 1, low], [-1, 0.0, 2, 2, high]]
+
+
+def hand_made(thresholds):
+    """Three small trees: long spans, digits, a cue before."""
+    out = pii.Trees(weights=[1.0, 0.5, 0.7], thresholds=thresholds)
+    nodes = [stump(1, 9.0, -0.6, 0.4), stump(2, 5.0, -0.3, 0.5), stump(10, 0.5, -0.2, 0.6)]
+    for tree in nodes:
+        f, t, lo, hi, v = zip(*tree)
+        for name, column in (("feature", f), ("left", lo), ("right", hi)):
+            getattr(out, name).append(np.array(column, dtype=np.int64))
+        out.threshold.append(np.array(t))
+        out.value.append(np.array(v))
+    return out, nodes
+
+
+def brute_select(text, trees, nodes):
+    """Each tree walked node by node, each candidate compared with each span."""
+    base = brute(text)
+    scored = []
+    for kind, s, e in set(pii.candidates(text)):
+        if any(s < b and a < e for _, a, b in base):
+            continue
+        x, total = pii.describe(kind, text, s, e), 0.0
+        for weight, tree in zip(trees.weights, nodes):
+            at = 0
+            while tree[at][0] >= 0:
+                at = tree[at][2] if x[tree[at][0]] <= tree[at][1] else tree[at][3]
+            total += weight * tree[at][4]
+        p = 1 / (1 + np.exp(-2 * total))
+        if p >= trees.thresholds.get(kind, 2):
+            scored.append((-p, s - e, s, kind, e))
+    taken = []
+    for _, _, s, kind, e in sorted(scored):
+        if all(e <= a or b <= s for _, a, b in taken):
+            taken.append((kind, s, e))
+    return sorted(base + taken, key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_selected_spans_against_brute_force(seed):
+    rng = random.Random(seed)
+    trees, nodes = hand_made({"email": 0.3, "ip": 0.4, "card": 0.5, "phone": 0.35})
+    parts = ["a.b@c.d", "ann [at] mail [dot] org", "jo at home.net", "10[.]2[.]3[.]4", "1,2,3,4", "4468.5665.8659.6931", "0049 30 555 1234",
+             "(030) 555-12-34", "1.2.3.4", "call", "mail", "card", " ", ", ", "12", "-", "+1 929 555 1803", "é"]
+    added = 0
+    for _ in range(400):
+        text = " ".join(rng.choices(parts, k=rng.randint(1, 14)))
+        want = brute_select(text, trees, nodes)
+        assert pii.select(text, pii.base_spans(text), trees) == want, text
+        added += len(want) - len(brute(text))
+    assert added > 200
+
+
+def test_long_names_and_hosts_go_whole():
+    name, host = "n" * 200, ".".join(["h" * 80] * 9)
+    text = f"mail {name} (at) {host} now"
+    trees, _ = hand_made({"email": 0.0})
+    assert pii.select(text, pii.base_spans(text), trees) == [("email", 5, len(text) - 4)]
+
+
+def test_texts_full_of_addresses_take_time_in_proportion():
+    """Five million characters: seconds, where comparing all with all would take hours."""
+    trees, _ = hand_made({"email": 0.0, "ip": 0.0, "card": 0.0, "phone": 0.0})
+    line = "write to a.b@c.example or jo [at] mail [dot] org, 10.0.0.1 and 10[.]2[.]3[.]4, call 030 555 1234 " + "and then some more words " * 8
+    n = 5_000_000 // len(line)
+    spans = pii.select(line * n, pii.base_spans(line * n), trees)
+    one = pii.select(line * 3, pii.base_spans(line * 3), trees)
+    inner = [x for x in one if len(line) <= x[1] < 2 * len(line)]
+    assert [x for x in spans if 7 * len(line) <= x[1] < 8 * len(line)] == [(k, s + 6 * len(line), e + 6 * len(line)) for k, s, e in inner]

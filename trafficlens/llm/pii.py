@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import exp, lgamma, log, log1p
 
 import numpy as np
@@ -46,13 +48,11 @@ BASE = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-_AT = r"(?:\x20?@\x20?|\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)"
-_DOT = r"(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20)"
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: A sign between name and host, plain or written out, and a host with plain or written dots.
 _AT = re.compile(r"\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20|\x20?@\x20?", re.IGNORECASE)
-_WIDE_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
+_WIDE_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+", re.IGNORECASE)
 #: Every match of a pattern of digits lies in one of these areas.
 AREA = re.compile(r"[+0-9(][\x20()+.,/_\[\]0-9-]*")
 #: Looser patterns; each match is a candidate only.
@@ -140,7 +140,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     for sign in _AT.finditer(text):
-        start = _names_before(text, sign.start(), max(0, sign.start() - 64))
+        # Names and hosts go whole, however long: those of different signs share no character, so the walk is linear.
+        start = _names_before(text, sign.start(), 0)
         host = _WIDE_HOST.match(text, sign.end()) if start < sign.start() else None
         if host:
             yield "email", start, host.end()
@@ -151,6 +152,19 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, m.start(), m.end()
 
 
+def outside(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """A test whether a range overlaps none of ``spans``: of those that start before its end, the furthest end counts."""
+    ordered = sorted((start, end) for _, start, end in spans)
+    starts = [start for start, _ in ordered]
+    reach = list(accumulate((end for _, end in ordered), max))
+
+    def is_free(start: int, end: int) -> bool:
+        at = bisect_left(starts, end)
+        return at == 0 or reach[at - 1] <= start
+
+    return is_free
+
+
 def describe(kind: str, text: str, start: int, end: int) -> list[float]:
     """FEATURES of the span in its context."""
     span, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
@@ -209,7 +223,7 @@ def spoiled(kind: str, span: str, form: int, words: list[str]) -> str:
 def examples(text: str, seed: str) -> Iterator[tuple[str, int, list[float], int]]:
     """(kind, label, features, order): what a text teaches; a pseudo-random ``order`` from ``seed`` and place."""
     base = base_spans(text)
-    taken = {(s, e) for _, s, e in base}
+    is_free = outside(base)
     for kind, start, end in base:
         order = xxhash.xxh32_intdigest(f"{seed}:{start}:{kind}")
         yield kind, 1, describe(kind, text, start, end), order
@@ -224,7 +238,7 @@ def examples(text: str, seed: str) -> Iterator[tuple[str, int, list[float], int]
                     if whole or not label:
                         yield kind, label, describe(kind, near, a, b), order ^ (2 - label)
     for kind, start, end in candidates(text):
-        if any(start < e and s < end for s, e in taken):
+        if not is_free(start, end):
             continue
         features = describe(kind, text, start, end)
         cue = features[FEATURES.index("cue_before")] or features[FEATURES.index("cue_after")]
@@ -405,15 +419,19 @@ def select(text: str, base: list[tuple[str, int, int]], trees: Trees) -> list[tu
     """All spans, by start and then kind: ``base``, and the selected candidates outside of it."""
     spans = list(base)
     if trees.weights:
-        free = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
-        free = list(dict.fromkeys(free))
+        is_free = outside(base)
+        free = list(dict.fromkeys(c for c in candidates(text) if is_free(c[1], c[2])))
         if free:
             scores = trees.score(np.array([describe(k, text, s, e) for k, s, e in free]))
             chosen = [(-p, s - e, s, k, e) for p, (k, s, e) in zip(scores, free) if p >= trees.thresholds.get(k, float("inf"))]
-            taken: list[tuple[int, int]] = []
+            # What was taken is disjoint and in order, so only the last one that starts before an end can reach into a span.
+            starts: list[int] = []
+            ends: list[int] = []
             for _, _, start, kind, end in sorted(chosen):
-                if not any(start < e and s < end for s, e in taken):
-                    taken.append((start, end))
+                at = bisect_left(starts, end)
+                if at == 0 or ends[at - 1] <= start:
+                    starts.insert(at, start)
+                    ends.insert(at, end)
                     spans.append((kind, start, end))
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
