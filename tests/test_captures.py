@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import random
+import re
 import struct
 
 import pyarrow as pa
@@ -334,3 +335,13 @@ def test_raw_link_types(spark, tmp_path):
     (tmp_path / "sll.pcap").write_bytes(classic([b"\0" * 14 + b"\x08\0" + raw], link=113))
     rows = read_captures(spark, tmp_path.as_uri()).collect()
     assert [(r["dst_port"], r["ip_src"]) for r in rows] == [(8080, "10.0.0.1")] * 3
+
+
+def test_batch_status_of_held_captures(spark, small):
+    from trafficlens.catalog import learning_queries
+
+    rows = {r["capture_file"]: r for r in learning_queries.batch_status(spark, small).collect()}
+    days = {name: int(re.search(r"cap_(\d+)", name)[1]) for name in rows}
+    assert {rows[n]["status"] for n, day in days.items() if day % 5 and day % 7} == {"ok"}
+    assert {(rows[n]["status"], rows[n]["total_packets"]) for n, day in days.items() if not (day % 5 and day % 7)} == {("error", 0)}
+    assert all(rows[n]["total_packets"] > 0 for n in rows if rows[n]["status"] == "ok")

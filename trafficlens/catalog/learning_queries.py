@@ -166,7 +166,7 @@ def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every capture of a batch: decoded, cut short, or no capture at all."""
     files = broken_files(numbered_packets(spark, sf_dir))
     status = captures.status_of_pieces(captures.pieces_of_contents(files))
-    counts = lengths.basic_counts(captures.packets_of_frames(captures.frames_of_contents(files)), E)
+    counts = lengths.basic_counts(captures.packets_of_contents(files), E)
     return status.join(counts, E, "left").select(
         *E, "status", F.coalesce(F.col("total_packets"), F.lit(0)).alias("total_packets"), "error"
     )
