@@ -283,3 +283,12 @@ def test_lines_are_numbered_in_file_order(spark, tmp_path):
     (tmp_path / "a.csv").write_text(f"{head}\n{lines}\n")
     numbered = tables.number_lines(tables.good_rows(tables.read_packets_csv(spark, tmp_path.as_uri())))
     assert numbered.where("packet_no = src_port").count() == 500
+
+
+def test_score_batch_keeps_a_row_for_each_broken_capture(spark, small):
+    from trafficlens.catalog import learning_queries
+
+    rows = learning_queries.score_batch(spark, small).collect()
+    assert {r["status"] for r in rows} >= {"ok", "error"}
+    for r in rows:
+        assert (r["status"] == "ok") == (r["prediction"] is not None) == (r["error"] is None)

@@ -270,7 +270,7 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _capture_model(spark, sf_dir)
     files = store(broken_files(numbered_packets(spark, sf_dir)), "files")
     status = captures.status_of_pieces(captures.pieces_of_contents(files))
-    decoded = store(captures.packets_of_frames(captures.frames_of_contents(files)), "packets")
+    decoded = store(captures.packets_of_contents(files), "packets")
     return scoring.score_captures(model, decoded, status).select("file_name", "status", "prediction", "error")
 
 
