@@ -34,15 +34,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are linked, not ids: each has a number of its own, stored before use, so two different texts under one id both
     stay, and rows without an id are compared like all others. Rows without words are linked with nothing and stay.
+    The stored rows hold each text once.
     """
     row = F.struct(*docs.columns).alias("row")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash")).alias("rank")
-    numbered = store(docs.select(F.monotonically_increasing_id().alias("number"), rank, F.col("text"), row), "numbered")
-    linked = jaccard.link(numbered.select(F.col("number").alias("doc_id"), "text")).select(F.col("doc_id").alias("number"), "component_id")
+    numbered = store(docs.select(F.monotonically_increasing_id().alias("number"), rank, row), "numbered")
+    linked = jaccard.link(numbered.select(F.col("number").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("number"), "component_id")
     # A group's rows meet as one candidate per task, so a group of any size is one small aggregate.
     ranked = linked.join(numbered.select("number", "rank"), "number")
     first = ranked.groupBy("component_id").agg(F.min(F.struct("rank", "number")).alias("first")).select("first.number")
-    return numbered.select("number", "row").join(store(first, "firsts"), "number").select("row.*")
+    # Merged at every size, as a list of this length may not be sent to all tasks: the texts are shuffled once.
+    return numbered.select("number", "row").join(store(first, "firsts").hint("merge"), "number").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

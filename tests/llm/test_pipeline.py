@@ -87,3 +87,17 @@ def test_rows_are_linked_not_ids(spark):
 
 def test_run(spark, small, stages):
     assert corpus_pipeline.run(spark, small).count() == stages[5].count()
+
+
+def test_stored_rows_hold_each_text_once(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(200))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    stored, plain = {}, corpus_pipeline.store
+    monkeypatch.setattr(corpus_pipeline, "store", lambda df, name: stored.setdefault(name, plain(df, name)))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    strings = [f for f in stored["numbered"].select("*", "row.*").schema.fields if f.dataType.simpleString() == "string"]
+    assert [f.name for f in strings] == ["text"] and kept.count() == 200
+    assert "SortMergeJoin" in kept._jdf.queryExecution().toString()
