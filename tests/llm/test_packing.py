@@ -69,3 +69,18 @@ def test_groups_and_odd_inputs(odd_docs, no_docs):
         check_sequences(rows, 64)
     assert sum(r.doc_id is None for r in rows) == 2 and sum(r.doc_id == 6 and r.piece == 0 for r in rows) == 2
     assert packing.pack_documents(no_docs).count() == 0
+
+
+def test_a_block_costs_its_own_words_and_hashes_only_lead_to_words(monkeypatch):
+    rng = np.random.default_rng(3)
+    drawn = ["".join(w) for w in rng.choice(list("abcdéñ"), (3000, 5)).tolist()]
+    texts = [" ".join(drawn), "one, two. three " + drawn[0], " " + drawn[7], ""]
+    want = [ids.tobytes() for ids in library_ids(texts)]
+    encoder = tokens.WordEncoder(tokens.vocabulary())
+    assert list(encoder.encode(texts)) == want
+    hashed, plain = [], tokens._hashes
+    monkeypatch.setattr(tokens, "_hashes", lambda words: hashed.append(len(words)) or plain(words))
+    assert list(encoder.encode(texts[1:])) == want[1:] and sum(hashed) < 12
+    monkeypatch.setattr(tokens, "_hashes", lambda words: np.full(len(words), 5, np.uint64))
+    alike = tokens.WordEncoder(tokens.vocabulary())
+    assert list(alike.encode(texts)) == want and list(alike.encode(texts[::-1])) == want[::-1]

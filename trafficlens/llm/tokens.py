@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -23,6 +24,7 @@ ANY_SPACE = re.compile(r"\s")
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Letters of which no two case forms are longer or shorter, ASCII without controls, and no sign that could open a special token.
 SIMPLE = re.compile("[\t-\r -;=-~À-ÖØ-öø-ÿ]*")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: A mark at the end of a word is a token of its own.
 LAST_MARK = r"([a-zà-öø-ÿ])([.,])(\s|$)"
 #: Bytes of words and ids that a worker remembers as columns, and as single words; beyond that it starts anew.
@@ -64,9 +66,9 @@ class WordEncoder:
         self.tokenizer = load(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        #: Words met in plain texts, and where the ids of each lie in ``flat``.
-        self.words = pa.array([""], pa.large_string())
-        self.starts, self.lengths, self.flat = np.zeros(1, np.int32), np.zeros(1, np.int32), np.empty(0, "<u4")
+        #: Whether the model alone, without normalizer and pre-tokenizer, gives the ids of words of small ASCII letters.
+        self.direct = all(self.whole(w) == ids for w, ids in self._by_model([LETTERS, *LETTERS, "a" + LETTERS]).items())
+        self._forget()
         #: Words met elsewhere.
         self.near: dict[str, bytes] = {}
         self.near_bytes = 0
@@ -74,8 +76,22 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _by_model(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of small ASCII letters, which normalizer and pre-tokenizer leave as they are."""
+        tokenize = self.tokenizer.model.tokenize
+        found = [[t.id for t in tokenize(w)] for w in words]
+        raw = np.array([i for ids in found for i in ids], dtype="<u4").tobytes()
+        ends = np.cumsum([4 * len(ids) for ids in found], dtype=np.int64).tolist()
+        return {w: raw[end - 4 * len(ids) : end] for w, ids, end in zip(words, found, ends)}
+
     def _learn_plain(self, words: list[str]) -> dict[str, bytes]:
         """``words`` are lower case and match PLAIN: each gives exactly one token that ends a word."""
+        if self.direct:
+            known = self._by_model([w for w in words if w.isascii()])
+            return known | self._learn_joined([w for w in words if not w.isascii()])
+        return self._learn_joined(words)
+
+    def _learn_joined(self, words: list[str]) -> dict[str, bytes]:
         groups = [words[i : i + 100] for i in range(0, len(words), 100)]
         encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
         known = {}
@@ -98,7 +114,7 @@ class WordEncoder:
             if word.isascii() and word.islower() and word.isalpha():
                 base.add(word)
                 continue
-            stem = word[:-1] if word[-1] in ".," else word
+            stem = word[:-1] if word[-1:] in (".", ",") else word
             if stem and PLAIN.fullmatch(stem):
                 lower = stem.lower()
                 base.add(lower)
@@ -164,24 +180,49 @@ class WordEncoder:
         for a, b in zip(edges, edges[1:]):
             yield out[a:b].tobytes()
 
+    def _forget(self) -> None:
+        #: Words met in plain texts, and where the ids of each lie in ``flat``.
+        self.words = pa.array([""], pa.large_string())
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int32), np.zeros(1, np.int32), np.empty(0, "<u4")
+        #: Hashes of the words in order, and the number of each one's word.
+        self.hashes, self.numbers = _hashes(self.words), np.zeros(1, np.int32)
+
+    def _find(self, unique: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1. Hashes only lead to a word, which is then compared."""
+        number = self.numbers[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)]
+        same = pc.equal(unique, self.words.take(pa.array(number)))
+        return np.where(same.to_numpy(zero_copy_only=False), number, -1)
+
     def _places(self, unique: pa.Array) -> np.ndarray:
         """Where each word of a block is known; new ones are learnt, and if that gets too much, all before are forgotten."""
-        place = pc.index_in(unique, value_set=self.words)
-        missing = unique.filter(place.is_null())
-        if len(missing):
-            if self.words.nbytes + self.flat.nbytes + self.starts.nbytes + self.lengths.nbytes > KNOWN_BYTES:
-                self.words, self.flat = pa.array([""], pa.large_string()), np.empty(0, "<u4")
-                self.starts, self.lengths = np.zeros(1, np.int32), np.zeros(1, np.int32)
-                missing = unique.filter(pc.not_equal(unique, ""))
-            learnt = self.learn(missing.to_pylist())
-            ids = [learnt[w] for w in missing.to_pylist()]
+        hashes = _hashes(unique)
+        place = self._find(unique, hashes)
+        if (place < 0).any():
+            held = (self.words, self.flat, self.starts, self.lengths, self.hashes, self.numbers)
+            if sum(x.nbytes for x in held) > KNOWN_BYTES:
+                self._forget()
+                place = self._find(unique, hashes)
+            new = np.flatnonzero(place < 0)
+            missing = unique.take(pa.array(new))
+            words = missing.to_pylist()
+            learnt = self.learn(words)
+            ids = [learnt[w] for w in words]
+            place[new] = len(self.words) + np.arange(len(new))
             lengths = np.array([len(x) // 4 for x in ids], dtype=np.int32)
             self.starts = np.r_[self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)]
             self.lengths = np.r_[self.lengths, lengths]
             self.flat = np.r_[self.flat, np.frombuffer(b"".join(ids), dtype="<u4")]
             self.words = pa.concat_arrays([self.words, missing])
-            place = pc.index_in(unique, value_set=self.words)
-        return place.to_numpy(zero_copy_only=False)
+            # The table of hashes is kept in order instead of being made anew for each block.
+            new = new[np.argsort(hashes[new])]
+            at = np.searchsorted(self.hashes, hashes[new])
+            self.hashes = np.insert(self.hashes, at, hashes[new])
+            self.numbers = np.insert(self.numbers, at, place[new])
+        return place
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
 
 
 def _blocks(texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[bool]]]:
