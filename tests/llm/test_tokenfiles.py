@@ -74,3 +74,11 @@ def test_files_roll_over(spark, small, monkeypatch):
     assert len(system.get_file_info(fs.FileSelector(root))) == files.count()
     starts = [r.start for r in tokenfiles.read(files, folder).orderBy("doc_id").collect()]
     assert starts == sorted(starts) and len(set(starts)) == docs.count()
+
+
+def test_words_from_the_model_alone():
+    rng = np.random.default_rng(5)
+    words = ["".join(w) for w in rng.choice(list(tokens.LETTERS), (500, 6)).tolist()] + ["a", "the", "x" * 300]
+    encoder = tokens.WordEncoder(tokens.vocabulary())
+    found = encoder._by_model(words)
+    assert encoder.direct and [found[w] for w in words] == [ids.tobytes() for ids in library_ids(words)]
