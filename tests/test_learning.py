@@ -292,3 +292,20 @@ def test_score_batch_keeps_a_row_for_each_broken_capture(spark, small):
     assert {r["status"] for r in rows} >= {"ok", "error"}
     for r in rows:
         assert (r["status"] == "ok") == (r["prediction"] is not None) == (r["error"] is None)
+
+
+def test_score_batch_with_files_of_too_few_packets_equals_sql(spark, small, tmp_path):
+    from oracle import connect, differences
+
+    from trafficlens.catalog import learning_queries
+
+    sql = learning_queries.ORACLES["score_batch"]
+    connect(small).execute(
+        f"""copy (select * from events qualify day(ts) not in (4, 7, 9)
+              or row_number() over (partition by day(ts) order by event_id) <= case day(ts) when 9 then 9 else 5 end)
+            to '{tmp_path}/events.parquet' (format parquet)"""
+    )
+    con = connect(str(tmp_path))
+    found = con.execute(f"select file_name, status from ({sql}) where status = 'too_few_packets' order by 1").fetchall()
+    assert [name for name, _ in found] == ["000000000_cap_04.pcap", "000000000_cap_09.pcap"]
+    assert differences(learning_queries.score_batch(spark, str(tmp_path)), con, sql) == []

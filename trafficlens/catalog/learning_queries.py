@@ -271,7 +271,9 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = store(broken_files(numbered_packets(spark, sf_dir)), "files")
     status = captures.status_of_pieces(captures.pieces_of_contents(files))
     decoded = store(captures.packets_of_contents(files), "packets")
-    return scoring.score_captures(model, decoded, status).select("file_name", "status", "prediction", "error")
+    # A file of too few packets is whole: its status says why it has no verdict, and it has no error.
+    error = F.when(F.col("status") == "error", F.col("error")).alias("error")
+    return scoring.score_captures(model, decoded, status).select("file_name", "status", "prediction", error)
 
 
 def window_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
