@@ -41,6 +41,11 @@ def test_equal_width_bins(spark):
     assert one(spark, X.equal_width_bin("3D", "3D", "3D")) == 1
 
 
+def test_equal_width_bins_of_integers_do_not_overflow(spark):
+    values = [-(2**31) + 1, 0, 2**30, 2**31 - 1]
+    assert [one(spark, X.equal_width_bin(f"({v})", f"({values[0]})", f"{values[-1]}")) for v in values] == [1, 5, 8, 10]
+
+
 def test_histogram_bins(spark):
     import numpy as np
 

@@ -309,3 +309,28 @@ def test_score_batch_with_files_of_too_few_packets_equals_sql(spark, small, tmp_
     found = con.execute(f"select file_name, status from ({sql}) where status = 'too_few_packets' order by 1").fetchall()
     assert [name for name, _ in found] == ["000000000_cap_04.pcap", "000000000_cap_09.pcap"]
     assert differences(learning_queries.score_batch(spark, str(tmp_path)), con, sql) == []
+
+
+@pytest.mark.parametrize(
+    "events",
+    [
+        # No user on day 8, no value on day 2 and on some of the few packets of day 4, no props on day 1.
+        """select event_id, ts, if(day(ts) = 8, null, user_id) as user_id, event_type,
+             if(day(ts) = 2 or day(ts) = 4 and event_id % 2 = 0, null, value) as value, if(day(ts) = 1, null, props) as props
+           from events qualify day(ts) <> 4 or row_number() over (partition by day(ts) order by event_id) <= 12""",
+        # Lengths whose range times nine is no 32-bit integer.
+        "select * replace (if(event_id % 50 = 0, 5e8, value) as value) from events",
+        # No window has enough packets to learn from.
+        "select * from events qualify row_number() over (partition by day(ts) order by event_id) <= 5",
+        "select * from events where false",
+    ],
+    ids=["nulls", "lengths", "few", "empty"],
+)
+def test_score_batch_of_odd_events_equals_sql(spark, small, tmp_path, events):
+    from oracle import connect, differences
+
+    from trafficlens.catalog import learning_queries
+
+    connect(small).execute(f"copy ({events}) to '{tmp_path}/events.parquet' (format parquet)")
+    found = learning_queries.score_batch(spark, str(tmp_path))
+    assert differences(found, connect(str(tmp_path)), learning_queries.ORACLES["score_batch"]) == []

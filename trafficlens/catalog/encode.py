@@ -54,13 +54,17 @@ def frame_hex(decoys: bool = False) -> Column:
     return F.concat(F.lit("00" * 12 + "0800"), ip, transport)
 
 
+#: Ethernet without a network header, for packets that lack a field of theirs: no packet may be missing from its capture.
+BARE = "00" * 14
+
+
 def _parts(packets: DataFrame, decoys: bool = False) -> DataFrame:
     """capture_file, part and the records (hex) of each thousand packets of a capture."""
-    body = frame_hex(decoys)
+    body = F.coalesce(frame_hex(decoys), F.lit(BARE))
     size = F.length(body) / 2
     record = F.concat(
         _little(F.floor(F.col("ts_us") / 1_000_000)), _little(F.col("ts_us") % 1_000_000),
-        _little(size), _little(F.col("packet_length")), body,
+        _little(size), _little(F.coalesce(F.col("packet_length"), size)), body,
     )
     part = F.floor(F.col("packet_no") / PACKETS_PER_FILE).cast("bigint")
     return (

@@ -267,9 +267,14 @@ def score_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture files to verdicts; files that are cut short or no captures keep an error row."""
-    model = _capture_model(spark, sf_dir)
+    features = windows(spark, sf_dir)
     files = store(broken_files(numbered_packets(spark, sf_dir)), "files")
     status = captures.status_of_pieces(captures.pieces_of_contents(files))
+    if features.where(F.col("status") == assemble.STATUS_OK).isEmpty():
+        # Files begin with a window, so none has enough packets either: there is no model, and no verdict that needs one.
+        few = F.when(F.col("status") == "error", "error").otherwise(assemble.STATUS_FEW).alias("status")
+        return status.select(F.col("capture_file").alias("file_name"), few, F.lit(None).cast("string").alias("prediction"), "error")
+    model = models.train(features, FOREST, W, stored=True)
     decoded = store(captures.packets_of_contents(files), "packets")
     # A file of too few packets is whole: its status says why it has no verdict, and it has no error.
     error = F.when(F.col("status") == "error", F.col("error")).alias("error")

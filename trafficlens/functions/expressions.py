@@ -54,8 +54,11 @@ def ratio(part: Column, whole: Column, scale: float = 1.0) -> Column:
 
 
 def equal_width_bin(x: str, low: str, high: str, bins: int = 10) -> Column:
-    """1-based bin of the SQL value ``x``; bins are closed on the right, the minimum is in bin 1."""
-    above = [f"if({x} > {low} + {i} * ({high} - {low}) / {bins}, 1, 0)" for i in range(1, bins)]
+    """1-based bin of the SQL value ``x``; bins are closed on the right, the minimum is in bin 1.
+
+    Edges are doubles: multiples of a range of integers may not fit their type.
+    """
+    above = [f"if({x} > {low} + {i} * (cast({high} as double) - {low}) / {bins}, 1, 0)" for i in range(1, bins)]
     return F.expr(f"if({x} is null, null, 1 + {' + '.join(above)})")
 
 
