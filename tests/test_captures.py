@@ -223,6 +223,49 @@ def test_payloads_like_headers(seed):
             same_as_sequential(data, size)
 
 
+def test_guesses_lead_on_from_decoys():
+    """Payloads of records that end with their frame, whose walks run into the true one, need no second round; nor do short wire lengths."""
+    rng = random.Random(3)
+    decoys = struct.pack("<IIII", START, 0, 8, 8) + b"\xab" * 8
+    frames = [b"\1" * 42 + decoys * 20 if rng.random() < 0.4 else rng.randbytes(rng.randrange(50, 90)) for _ in range(400)]
+    data = bytearray(classic(frames))
+    assert same_as_sequential(bytes(data), 1 << 10) == 0
+    at = 24
+    for frame in frames:
+        struct.pack_into("<I", data, at + 12, 60)  # on the wire
+        at += 16 + len(frame)
+    assert same_as_sequential(bytes(data), 1 << 10) == 0
+
+
+def test_segments_are_read_once():
+    """Walking segment by segment reads about the file's size, not a block or the reach of a guess for each of them."""
+
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.taken += len(data)
+            return data
+
+    data = classic([b"\1" * 100] * 20_000)
+    stream = Counting(data)
+    sight = framing.Sight(stream, len(data))
+    for begin in range(0, len(data), 1 << 13):
+        assert list(framing.split_walks(stream, len(data), begin, min(begin + (1 << 13), len(data)), sight))
+    assert stream.taken < 6 * len(data)
+
+
+def test_pieces_that_follow_are_one_to_a_task():
+    pieces = [source.Piece("a", 100 << 20, k << 13, k + 1 << 13, k, 1, "s") for k in range(12_800)] + [source.Piece("b", 10)]
+    tasks = source.tasks_of(pieces)
+    assert len(tasks) <= 2 * source.LEAST_TASKS
+    found = [p for t in tasks for p in t.pieces]
+    assert len(found) <= len(tasks) + 1 and found[-1].path == "b"
+    assert [p.start for p in found[1:-1]] == [p.end for p in found[:-2]] and sum(p.packets for p in found[:-1]) == 12_800
+    assert all(p.first_no == p.start >> 13 for p in found[:-1])
+
+
 def test_interfaces_and_sections_in_the_middle():
     """Interfaces declared between packets, and sections of the other byte order."""
     rng = random.Random(8)

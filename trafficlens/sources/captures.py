@@ -21,7 +21,9 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +56,14 @@ TASK_BYTES = 64 * 1024 * 1024
 OPEN_BYTES = 4 * 1024 * 1024
 LEAST_TASKS = 32
 ROWS_PER_BATCH = 20_000
+WALKS_PER_BATCH = 500
 GLOB = "*.[pP][cC][aA][pP]*"
 
 _LONG, _TEXT = pa.int64(), pa.string()
 WALKS = pa.schema(
     [("path", _TEXT), ("length", _LONG), ("begin", _LONG), ("stop", _LONG), ("start", _LONG), ("end", _LONG), ("packets", _LONG)]
     + [("entry", _TEXT), ("order", _TEXT), ("resets", pa.bool_()), ("interfaces", _TEXT), ("needs", _LONG), ("problem", _TEXT), ("state", _TEXT)]
+    + [("entries", pa.binary())]
 )
 PIECES = pa.schema(
     [("path", _TEXT), ("length", _LONG), ("begin", _LONG), ("start", _LONG), ("end", _LONG), ("first_no", _LONG), ("packets", _LONG)]
@@ -158,17 +162,46 @@ class Task(InputPartition):
         self.pieces = pieces
 
 
+def joined(pieces: list[Piece]) -> list[list[Piece]]:
+    """Pieces in turn, those that follow on one another in a file put together: the walk of the first leads through the others."""
+    chains: list[list[Piece]] = []
+    for piece in pieces:
+        last = chains[-1][-1] if chains else None
+        if last is not None and last.path == piece.path and last.end is not None and last.end == piece.start:
+            chains[-1].append(piece)
+        else:
+            chains.append([piece])
+    return chains
+
+
+def _whole(chain: list[Piece]) -> Piece:
+    first, last = chain[0], chain[-1]
+    counts = [piece.packets for piece in chain]
+    return Piece(first.path, first.length, first.start, last.end, first.first_no, None if None in counts else sum(counts), first.state)
+
+
 def tasks_of(pieces: list[Piece]) -> list[Task]:
-    """Pieces in turn, to tasks of even size; opening a file counts as some bytes, and a small folder still gives some tasks."""
-    total = sum(OPEN_BYTES + piece.bytes() for piece in pieces)
+    """Pieces in turn, to tasks of even size; opening a file counts as some bytes, and a small folder still gives some tasks.
+
+    Pieces that follow on one another become one in a task, so that pieces of any size are read at the same cost.
+    """
+    chains = joined(pieces)
+    total = sum(OPEN_BYTES + sum(piece.bytes() for piece in chain) for chain in chains)
     most = min(TASK_BYTES, max(OPEN_BYTES, total // LEAST_TASKS))
     tasks, size = [], most
-    for piece in pieces:
-        if size + OPEN_BYTES + piece.bytes() > most:
-            tasks.append(Task([]))
-            size = 0
-        tasks[-1].pieces.append(piece)
-        size += OPEN_BYTES + piece.bytes()
+    for chain in chains:
+        left: list[Piece] = []
+        for piece in chain:
+            more = piece.bytes() + (0 if left else OPEN_BYTES)
+            if size + more > most:
+                if left:
+                    tasks[-1].pieces.append(_whole(left))
+                tasks.append(Task([]))
+                # Every task opens a file; only further ones count.
+                left, size, more = [], 0, piece.bytes()
+            size += more
+            left.append(piece)
+        tasks[-1].pieces.append(_whole(left))
     return tasks or [Task([])]
 
 
@@ -286,18 +319,43 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def _guessed_walks(folder: str):
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches, whatever the number of files or segments that they come from."""
+    while part := list(islice(rows, WALKS_PER_BATCH)):
+        yield _batch(part, schema)
+
+
+def _dealt(spark: SparkSession, pieces: list[Piece]) -> DataFrame:
+    """One row and one partition for each task of ``tasks_of``: its pieces as (path, length, begin, stop)."""
+    rows = [([(p.path, p.length, p.start or 0, p.length if p.end is None else p.end) for p in task.pieces],) for task in tasks_of(pieces)]
+    schema = "pieces array<struct<path string, length bigint, begin bigint, stop bigint>>"
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), schema)
+
+
+def _pieces_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for row in _rows_of(batches):
+        yield from row["pieces"]
+
+
+def _guessed_walks(folder: str, segment_bytes: int):
+    """Walks of the segments of the pieces; a file is opened, and its header read, once for all segments in a piece."""
+
+    def walks_in(piece: dict) -> Iterator[dict]:
+        length, state, broken = piece["length"], None, None
+        with open_file(folder, piece["path"]) as stream:
+            try:
+                sight = framing.Sight(stream, length)
+                state = sight.state.to_json()
+            except CaptureError as error:
+                broken = framing.Walk(0, 0, 0, "<", "<", False, "[]", 0, str(error))
+            for begin in range(piece["begin"], max(piece["stop"], 1), segment_bytes):
+                segment = {"path": piece["path"], "length": length, "begin": begin, "stop": min(begin + segment_bytes, length)}
+                walks = [broken] if broken else list(framing.split_walks(stream, length, begin, segment["stop"], sight))
+                # A segment without a good guess is a segment all the same.
+                yield from [{**segment, "state": state, **vars(w)} for w in walks] or [segment]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment in _rows_of(batches):
-            length, begin, stop = (segment[c] for c in ("length", "begin", "stop"))
-            with open_file(folder, segment["path"]) as stream:
-                try:
-                    state = framing.open_state(stream)[0].to_json()
-                    walks = list(framing.split_walks(stream, length, begin, stop))
-                except CaptureError as error:
-                    state, walks = None, [framing.Walk(0, 0, 0, "<", "<", False, "[]", 0, str(error))]
-            # A segment without a good guess is a segment all the same.
-            yield _batch([{**segment, "state": state, **vars(w)} for w in walks] or [segment], WALKS)
+        yield from _batches((row for piece in _pieces_in(batches) for row in walks_in(piece)), WALKS)
 
     return run
 
@@ -324,6 +382,20 @@ def _known_walks(folder: str, n_segments: int, segment_bytes: int):
     return run
 
 
+def _through(walks: list[dict], at: int, order: str) -> tuple[dict | None, int]:
+    """The walk of a segment that starts at ``at``, or else one that passes there, with the number of its packets before."""
+    walks = [w for w in walks if w["entry"] == order]
+    for walk in reversed(walks):
+        if walk["start"] == at:
+            return walk, 0
+    for walk in walks:
+        places = np.frombuffer(walk["entries"] or b"", dtype=np.uint32)
+        k = int(np.searchsorted(places, at - walk["begin"]))
+        if k < len(places) and places[k] == at - walk["begin"]:
+            return walk, k
+    return None, 0
+
+
 def _stitch(walks: pa.Table) -> pa.Table:
     """The pieces of one file as far as walks lead from its start; a last row without a count where they lead no further."""
     found = walks.sort_by([("begin", "ascending"), ("start", "ascending")]).to_pylist()
@@ -332,21 +404,23 @@ def _stitch(walks: pa.Table) -> pa.Table:
         broken = dict(path=path, length=length, begin=0, start=0, end=0, first_no=0, packets=0, error=first["problem"])
         return pa.Table.from_pylist([broken], schema=PIECES)
     state, at, number, rows = State.from_json(first["state"]), first["start"], 0, []
-    by_place = {(w["begin"], w["start"], w["entry"]): w for w in found}
-    for begin, stop in sorted({(w["begin"], w["stop"]) for w in found}):
+    by_segment: dict[tuple[int, int], list[dict]] = {}
+    for w in found:
+        by_segment.setdefault((w["begin"], w["stop"]), []).append(w)
+    for (begin, stop), walks in sorted(by_segment.items()):
         if at >= stop or at >= length:
             continue
-        walk = by_place.get((begin, at, state.order))
+        walk, ahead = _through(walks, at, state.order)
         known = dict(path=path, length=length, begin=begin, start=at, first_no=number, state=state.to_json())
         if walk is None or walk["needs"] > len(state.interfaces):
             rows.append({**known, "end": stop})
             break
-        rows.append({**known, "end": walk["end"], "packets": walk["packets"], "error": walk["problem"]})
+        rows.append({**known, "end": walk["end"], "packets": walk["packets"] - ahead, "error": walk["problem"]})
         if walk["problem"]:
             break
         fresh = json.loads(walk["interfaces"])
         state.order, state.interfaces = walk["order"], fresh if walk["resets"] else state.interfaces + fresh
-        at, number = walk["end"], number + walk["packets"]
+        at, number = walk["end"], number + walk["packets"] - ahead
     # A file without records is a file all the same.
     rows = rows or [dict(path=path, length=length, begin=0, start=at, end=at, first_no=0, packets=0, state=state.to_json())]
     return pa.Table.from_pylist(rows, schema=PIECES)
@@ -354,26 +428,29 @@ def _stitch(walks: pa.Table) -> pa.Table:
 
 def cut_into_pieces(spark: SparkSession, folder: str, files: list[CaptureFile], segment_bytes: int) -> DataFrame:
     """Stored pieces (see PIECES) of the files, none much longer than a segment, numbered as one walk through each file would."""
-    listed = spark.createDataFrame([(f.path, f.length) for f in files], "path string, length bigint")
-    begins = F.explode(F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(segment_bytes)))
-    segments = listed.select("path", "length", begins.alias("begin")).withColumn("stop", F.least(F.col("begin") + segment_bytes, F.col("length")))
-    n = sum(-(-f.length // segment_bytes) for f in files)
-    # A row stands for a segment, so rows are dealt out evenly whatever their size.
-    spread = segments.repartition(max(1, min(n, 100_000)))
-    walks = store(spread.mapInArrow(_guessed_walks(folder), from_arrow_schema(WALKS)), "walks")
-    n_segments = 1
+    segments = [
+        Piece(f.path, f.length, begin, min(begin + segment_bytes, f.length)) for f in files for begin in range(0, max(f.length, 1), segment_bytes)
+    ]
+    walks = store(_dealt(spark, segments).mapInArrow(_guessed_walks(folder, segment_bytes), from_arrow_schema(WALKS)), "walks")
+    n_segments, finished = 1, None
     while True:
         pieces = store(walks.groupBy("path").applyInArrow(_stitch, from_arrow_schema(PIECES)), "pieces")
         open_ends = pieces.where("packets is null")
         left = open_ends.count()
         if not left:
-            return pieces
+            return pieces if finished is None else finished.unionByName(pieces)
+        # Files that are done are not stitched again.
+        paths = open_ends.select("path")
+        done = pieces.join(paths, "path", "left_anti")
+        finished = done if finished is None else finished.unionByName(done)
         # Nearly always the guesses suffice. Where they keep failing, walks get longer, so that the rounds stay few.
-        again = open_ends.repartition(left).mapInArrow(_known_walks(folder, n_segments, segment_bytes), from_arrow_schema(WALKS))
+        tasks = min(left, max(LEAST_TASKS, left * (OPEN_BYTES + n_segments * segment_bytes) // TASK_BYTES))
+        again = open_ends.repartition(tasks).mapInArrow(_known_walks(folder, n_segments, segment_bytes), from_arrow_schema(WALKS))
         known = store(again, "walks")
         places = known.select("path", "begin").distinct()
         # A walk from a known place replaces the guesses for its segment, but for the file's header.
-        walks = walks.join(places.where("begin > 0"), ["path", "begin"], "left_anti").unionByName(known)
+        kept = walks.join(paths, "path", "left_semi").join(places.where("begin > 0"), ["path", "begin"], "left_anti")
+        walks = store(kept.unionByName(known), "walks")
         n_segments *= 2
 
 
@@ -404,15 +481,16 @@ class CaptureFolder:
         """One row per capture: packets read, ``ok`` or ``error``, and the message."""
         folder = self.folder
 
+        def count(piece: dict) -> dict:
+            with open_file(folder, piece["path"]) as stream:
+                n, problem = framing.count(stream, piece["length"])
+            return {"path": piece["path"], "packets": n, "error": problem}
+
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in _rows_of(batches):
-                with open_file(folder, row["path"]) as stream:
-                    n, problem = framing.count(stream, row["length"])
-                yield _batch([{"path": row["path"], "packets": n, "error": problem}], COUNTS)
-
-        listed = self.spark.createDataFrame([(f.path, f.length) for f in self.small], "path string, length bigint")
-        tasks = max(1, min(len(self.small), 100_000))
-        found = listed.repartition(tasks).mapInArrow(walk, from_arrow_schema(COUNTS))
+            yield from _batches((count(piece) for piece in _pieces_in(batches)), COUNTS)
+
+        listed = _dealt(self.spark, [Piece(f.path, f.length) for f in self.small])
+        found = listed.mapInArrow(walk, from_arrow_schema(COUNTS))
         if self.cut is not None:
             found = found.unionByName(self.cut.select("path", "packets", "error"))
         return status_of_pieces(found, F.col("path"))

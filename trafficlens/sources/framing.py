@@ -32,6 +32,10 @@ BLOCK = 16 << 20
 #: A guessed start needs so many plausible headers in a row, and is looked for in so many bytes of a segment.
 CHAIN = 8
 REACH = 1 << 20
+#: Bytes read behind what a walk is asked for, as the last record may end there; more are read where it is longer.
+SLACK = 1 << 12
+#: A guessed walk tells which records it meets in so many bytes of its segment, as the first record may be any of them.
+NEAR = 1 << 16
 #: Chains of one segment that are followed to its end; if none of them is right, the segment is walked again.
 MAX_CHAINS = 16
 #: Frames are not longer than this where a file does not say so itself.
@@ -129,7 +133,7 @@ class Walker:
         while self.problem is None and self.at < min(stop, self.size):
             base, before = self.at, self.at
             self.stream.seek(base)
-            data = self.stream.read(min(self.block + more, self.size - base))
+            data = self.stream.read(min(min(self.block, stop - base + SLACK) + more, self.size - base))
             again = True
             while again:
                 # One list of interfaces holds for a run, so a run ends before the next one is declared.
@@ -139,7 +143,7 @@ class Walker:
             if self.at == before and self.problem is None:
                 if base + len(data) >= self.size:
                     self.problem = CUT
-                more = 2 * more + self.block  # a record longer than the block
+                more = 2 * more + min(self.block, NEAR)  # a record longer than the block
             else:
                 more = 0
 
@@ -150,7 +154,7 @@ class Walker:
         longest = max(self.state.snap, LONGEST)
         while at < stop and at + 16 <= end:
             _, fraction, stored, wire = unpack(data, at - base)
-            if strict and (stored > longest or not wire or wire < stored or fraction >= self.state.units):
+            if strict and (stored > longest or not wire or fraction >= self.state.units):
                 self.problem = "implausible header"
                 break
             after = at + 16 + stored
@@ -259,6 +263,7 @@ class Walk:
     interfaces: str  # ng: those declared since then, or since the start
     needs: int  # ng: interfaces that must be known before the start
     problem: str | None
+    entries: bytes = b""  # places of its records (32 bits, from the segment's begin) as far as the interfaces are those at ``start``
 
 
 def walk_segment(stream: BinaryIO, size: int, state: State, start: int, stop: int, known: bool, strict: bool = False) -> Walk:
@@ -273,16 +278,16 @@ def walk_segment(stream: BinaryIO, size: int, state: State, start: int, stop: in
 def _plausible(data: np.ndarray, state: State, order: str, room: int) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of ``data`` whether a record could start there, and where the next one would."""
     n = max(0, len(data) - 16)
-    x = data.astype(np.uint32)
     at = np.arange(n, dtype=np.int64)
 
     def number(shift: int) -> np.ndarray:
-        b = [x[shift + k : shift + k + n] for k in (range(4) if order == "<" else range(3, -1, -1))]
-        return (b[0] | b[1] << 8 | b[2] << 16 | b[3] << 24).astype(np.int64)
+        # Overlapping words, one from each byte on.
+        return np.ndarray((n,), f"{order}u4", data, shift, (1,)).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
 
     if not state.ng:
         stored, wire = number(8), number(12)
-        good = (stored <= max(state.snap, LONGEST)) & (wire > 0) & (wire >= stored) & (number(4) < state.units)
+        # A length on the wire below the stored one is odd, but there are writers of it.
+        good = (stored <= max(state.snap, LONGEST)) & (wire > 0) & (number(4) < state.units)
         after = at + 16 + stored
     else:
         length = number(4)
@@ -297,13 +302,32 @@ def _plausible(data: np.ndarray, state: State, order: str, room: int) -> tuple[n
     return good & (after <= room), after
 
 
-def guesses(stream: BinaryIO, size: int, state: State, begin: int, stop: int) -> Iterator[tuple[int, str]]:
+class Sight:
+    """The header of a file, and which bytes of a stretch of it could start a record; the stretch is kept for the segments that follow in it."""
+
+    def __init__(self, stream: BinaryIO, size: int):
+        self.stream, self.size = stream, size
+        self.state, self.start = open_state(stream)
+        self.base, self.data = 0, np.zeros(0, dtype=np.uint8)
+        self.seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, begin: int, stop: int, order: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """Where the stretch begins, and ``_plausible`` of it: from ``begin`` on it has the segment and what its records may lead to."""
+        end = min(self.size, begin + min(REACH, stop - begin + LONGEST))
+        if not self.base <= begin or end > self.base + len(self.data):
+            self.stream.seek(begin)
+            self.base, self.seen = begin, {}
+            self.data = np.frombuffer(self.stream.read(min(REACH, self.size - begin)), dtype=np.uint8)
+        if order not in self.seen:
+            self.seen[order] = _plausible(self.data, self.state, order, self.size - self.base)
+        return self.base, *self.seen[order]
+
+
+def guesses(sight: Sight, begin: int, stop: int) -> Iterator[tuple[int, str]]:
     """Positions from ``begin`` on that could start a record, by the chain of headers behind them, with the byte order."""
-    stream.seek(begin)
-    data = np.frombuffer(stream.read(min(REACH, size - begin)), dtype=np.uint8)
-    for order in "<>" if state.ng else state.order:
-        good, after = _plausible(data, state, order, size - begin)
-        alive = np.nonzero(good[: stop - begin])[0]
+    for order in "<>" if sight.state.ng else sight.state.order:
+        base, good, after = sight.at(begin, stop, order)
+        alive = begin - base + np.nonzero(good[begin - base : stop - base])[0]
         here = alive.copy()
         for _ in range(CHAIN):
             inside = here < len(good)  # what lies beyond is not looked at: the walk will tell
@@ -311,27 +335,51 @@ def guesses(stream: BinaryIO, size: int, state: State, begin: int, stop: int) ->
             alive, here, inside = alive[fine], here[fine], inside[fine]
             here = np.where(inside, after[np.minimum(here, max(len(good) - 1, 0))], here) if len(good) else here
         for at in alive:
-            yield begin + int(at), order
+            yield base + int(at), order
 
 
-def split_walks(stream: BinaryIO, size: int, begin: int, stop: int) -> Iterator[Walk]:
-    """Walks through [begin, stop) from all starts that look right; from the file's start there is only one."""
-    state, start = open_state(stream)
+def split_walks(stream: BinaryIO, size: int, begin: int, stop: int, sight: Sight | None = None) -> Iterator[Walk]:
+    """Walks through [begin, stop) from all starts that look right; from the file's start there is only one.
+
+    Each walk tells the records that it meets near ``begin``. A guess on one of them is no other walk, and a walk that gets to one of them
+    goes on as the walk before it. ``sight`` is kept from segment to segment.
+    """
+    sight = sight or Sight(stream, size)
+    state, start = sight.state, sight.start
     if begin == 0:
-        yield walk_segment(stream, size, state, start, stop, known=True)
+        yield walk_segment(stream, size, State.from_json(state.to_json()), start, stop, known=True)
         return
-    met: set[int] = set()
+    near = min(stop, begin + NEAR)
+    met: dict[tuple[str, int], tuple[Walk | None, int]] = {}
     chains = 0
-    for at, order in guesses(stream, size, state, begin, stop):
-        if at in met or chains == MAX_CHAINS:
+    for at, order in guesses(sight, begin, stop):
+        if chains == MAX_CHAINS:
+            break
+        if (order, at) in met:
             continue
+        chains += 1
         own = State.from_json(state.to_json())
         own.order = order
-        walker, packets = Walker(stream, size, own, at, known=False), 0
-        for run in walker.runs(stop, strict=True):
-            packets += len(run.heads)
-            # A later guess on the same chain is no other chain.
-            met.update((run.base + run.heads[run.heads < begin + REACH - run.base]).tolist())
-        chains += 1
-        if walker.problem is None:
-            yield Walk(at, walker.at, packets, order, own.order, walker.sections > 0, json.dumps(own.interfaces), walker.needs, None)
+        walker, packets, places, joined = Walker(stream, size, own, at, known=False), 0, [], None
+        for run in walker.runs(near, strict=True):
+            heads = (run.base + run.heads).tolist()
+            if not own.interfaces and not walker.sections:
+                joined = next(((k, met[order, head]) for k, head in enumerate(heads) if (order, head) in met), None)
+                places += heads if joined is None else heads[: joined[0]]
+            packets += len(heads) if joined is None else joined[0]
+            if joined is not None:
+                break
+        entries = (np.array(places, dtype=np.int64) - begin).astype(np.uint32).tobytes()
+        walk = None
+        if joined is not None:
+            other, ahead = joined[1]
+            if other is not None:
+                needs = max(walker.needs, other.needs)
+                walk = Walk(at, other.end, packets + other.packets - ahead, order, other.order, other.resets, other.interfaces, needs, None, entries)
+        else:
+            packets += sum(len(run.heads) for run in walker.runs(stop, strict=True))
+            if walker.problem is None:
+                walk = Walk(at, walker.at, packets, order, own.order, walker.sections > 0, json.dumps(own.interfaces), walker.needs, None, entries)
+        met.update(((order, place), (walk, k)) for k, place in enumerate(places))
+        if walk is not None:
+            yield walk
