@@ -139,6 +139,7 @@ class _Windows(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.window.get()
         seen, given, last_ms, timer = held if held else (None, False, None, None)
+        arrived = []
         bits = np.zeros(self.size, np.uint8) if seen is None else np.unpackbits(np.frombuffer(seen, np.uint8), count=self.size)
         for batch in rows:
             batch = batch[batch["packet_no"].notna()]  # a packet without a number belongs to no window
@@ -146,13 +147,17 @@ class _Windows(StatefulProcessor):
             if len(times):
                 last_ms = max(last_ms if last_ms is not None else -(1 << 62), int(times.max()) // 1000)
             fresh = self.fresh(bits, batch["packet_no"].to_numpy().astype(np.int64))
-            if not given:
-                self.keep(batch[fresh])
+            if not given and fresh.any():
+                arrived.append(batch[fresh])
         complete = bool(bits.all())
         timer = self.wait(timer, last_ms, timerValues)
         self.window.update((np.packbits(bits).tobytes(), given or complete, last_ms, timer))
         if complete and not given:
-            yield from self.give(key)
+            # What completes a window is not kept first: a window that arrives at once is given without being stored.
+            yield from self.give(key, arrived, bool(held))
+        else:
+            for rows in arrived:
+                self.keep(rows)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seen, given, last_ms, timer = self.window.get() or (None, True, None, None)
@@ -170,8 +175,8 @@ class _Windows(StatefulProcessor):
     def keep(self, rows: pd.DataFrame) -> None:
         raise NotImplementedError
 
-    def give(self, key) -> Iterator[pd.DataFrame]:
-        """The window's rows; what is kept of them is forgotten."""
+    def give(self, key, arrived: Sequence[pd.DataFrame] = (), kept: bool = True) -> Iterator[pd.DataFrame]:
+        """The window's rows, those that are kept and then those that arrived just now; what is kept of them is forgotten."""
         raise NotImplementedError
 
 
@@ -183,14 +188,16 @@ class _Packets(_Windows):
         self.chunks = handle.getListState("packets", "chunk binary")
 
     def keep(self, rows: pd.DataFrame) -> None:
-        if len(rows):
-            self.chunks.appendValue((_pack(rows),))
+        self.chunks.appendValue((_pack(rows),))
 
-    def give(self, key) -> Iterator[pd.DataFrame]:
+    def give(self, key, arrived: Sequence[pd.DataFrame] = (), kept: bool = True) -> Iterator[pd.DataFrame]:
         # Parts are handed on one by one: a column without values in one of them has no type in common with the others.
-        parts = [_unpack(chunk) for (chunk,) in self.chunks.get()]
-        self.chunks.clear()
+        parts = []
+        if kept:
+            parts = [_unpack(chunk) for (chunk,) in self.chunks.get()]
+            self.chunks.clear()
         yield from parts
+        yield from arrived
 
 
 class _Totals(_Windows):
@@ -202,31 +209,35 @@ class _Totals(_Windows):
         super().init(handle)
         self.sums = handle.getValueState("sums", self.SUMS)
 
-    def keep(self, rows: pd.DataFrame) -> None:
-        if not len(rows):
-            return
+    @staticmethod
+    def added(sums: tuple | None, rows: pd.DataFrame) -> tuple:
         numbers, times = rows["packet_no"], rows[TIME_US].dropna()
-        n, first, last, size, t0, t1 = self.sums.get() or (0, None, None, 0, None, None)
+        n, first, last, size, t0, t1 = sums or (0, None, None, 0, None, None)
         least = lambda a, b: b if a is None else a if b is None else min(a, b)
         most = lambda a, b: b if a is None else a if b is None else max(a, b)
         low, high = (int(times.min()), int(times.max())) if len(times) else (None, None)
-        self.sums.update(
-            (
-                n + len(rows),
-                least(first, int(numbers.min())),
-                most(last, int(numbers.max())),
-                size + int(rows["packet_length"].fillna(0).sum()),
-                least(t0, low),
-                most(t1, high),
-            )
+        return (
+            n + len(rows),
+            least(first, int(numbers.min())),
+            most(last, int(numbers.max())),
+            size + int(rows["packet_length"].fillna(0).sum()),
+            least(t0, low),
+            most(t1, high),
         )
 
-    def give(self, key) -> Iterator[pd.DataFrame]:
+    def keep(self, rows: pd.DataFrame) -> None:
+        self.sums.update(self.added(self.sums.get(), rows))
+
+    def give(self, key, arrived: Sequence[pd.DataFrame] = (), kept: bool = True) -> Iterator[pd.DataFrame]:
         names = [field.split()[0] for field in self.SUMS.split(", ")]
-        if not self.sums.exists():
+        sums = self.sums.get() if kept else None
+        for rows in arrived:
+            sums = self.added(sums, rows)
+        if not sums:
             return
-        row = dict(zip(("capture_file", "window_id"), key, strict=True)) | dict(zip(names, self.sums.get(), strict=True))
-        self.sums.clear()
+        if kept:
+            self.sums.clear()
+        row = dict(zip(("capture_file", "window_id"), key, strict=True)) | dict(zip(names, sums, strict=True))
         yield pd.DataFrame([row]).astype({c: "Int64" for c in names})
 
 
@@ -316,10 +327,18 @@ def live_verdicts(
     A batch goes to its own ``batch=<n>`` folder and replaces it when it is repeated after
     a failure, so every window appears once.
     """
+    spark = packets.sparkSession
 
     def score(batch: DataFrame, number: int) -> None:
-        rows = batch.drop("window_id")
-        score_windows(model, rows, window_size).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # Features read the packets many times, and each time the stream's state would be worked through again. The stored rows are
+        # read by the session from outside, as that of the stream runs without AQE.
+        stored = fresh_path(spark, "closed")
+        batch.drop("window_id").write.parquet(stored)
+        rows = spark.read.schema(batch.drop("window_id").schema).parquet(stored)
+        scored = score_windows(model, rows, window_size)
+        if rows.isEmpty():
+            scored = scored.limit(0)  # known to be empty, so nothing is computed
+        scored.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         closed_windows(packets, window_size, idle_seconds)
