@@ -193,12 +193,12 @@ def tasks_of(pieces: list[Piece]) -> list[Task]:
         left: list[Piece] = []
         for piece in chain:
             more = piece.bytes() + (0 if left else OPEN_BYTES)
-            if size + more > most:
+            # What a task has opened it may as well read for some bytes.
+            if size + more > most + (OPEN_BYTES if left else 0):
                 if left:
                     tasks[-1].pieces.append(_whole(left))
                 tasks.append(Task([]))
-                # Every task opens a file; only further ones count.
-                left, size, more = [], 0, piece.bytes()
+                left, size, more = [], 0, OPEN_BYTES + piece.bytes()
             size += more
             left.append(piece)
         tasks[-1].pieces.append(_whole(left))
