@@ -266,6 +266,21 @@ def test_pieces_that_follow_are_one_to_a_task():
     assert all(p.first_no == p.start >> 13 for p in found[:-1])
 
 
+def test_many_files_are_few_tasks(spark, tmp_path):
+    """Status and guesses deal files and segments out by bytes, not one to a task."""
+    for k in range(200):
+        (tmp_path / f"{k:03d}.pcap").write_bytes(classic(BYTES))
+    captures = CaptureFolder(spark, tmp_path.as_uri())
+    plans = []
+    found = source._dealt(spark, [source.Piece(f.path, f.length) for f in captures.small])
+    plans.append(found.rdd.getNumPartitions())
+    segments = [source.Piece(f.path, f.length, at, min(at + 100, f.length)) for f in captures.small for at in range(0, f.length, 100)]
+    plans.append(source._dealt(spark, segments).rdd.getNumPartitions())
+    assert all(source.LEAST_TASKS <= n <= source.LEAST_TASKS + 8 for n in plans)
+    assert {(r["status"], r["packets"]) for r in captures.status().collect()} == {("ok", len(FRAMES))}
+    assert captures.status().count() == 200
+
+
 def test_interfaces_and_sections_in_the_middle():
     """Interfaces declared between packets, and sections of the other byte order."""
     rng = random.Random(8)
